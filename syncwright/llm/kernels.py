@@ -37,6 +37,13 @@ _LOWER = _RAW.copy()
 _LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Byte classes; a word is a run of one class, class 0 stands between words.
+WORDS = (~SPACE).astype(np.uint8)
+#: Letters (with all non-ASCII), digits and symbols apart.
+RUNS = np.full(256, 3, np.uint8)
+RUNS[48:58] = 2
+RUNS[65:91] = RUNS[97:123] = RUNS[128:] = 1
+RUNS[SPACE] = 0
 _BASE, _BASE_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _WORD_LEN = seeds(1, 2)[0]
 
@@ -71,16 +78,18 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def _hash_piece(raw: np.ndarray, bounds: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hash_piece(raw: np.ndarray, bounds: np.ndarray, lower: bool, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of the words of one piece; bounds: positions where a text begins."""
     n = len(raw)
     if n == 0:
         empty = np.zeros(0, np.int64)
         return np.zeros(0, _U64), empty, empty
-    solid = ~SPACE[raw]
+    kind = classes[raw]
+    solid = kind != 0
     opens, shuts = solid.copy(), solid.copy()
-    opens[1:] &= ~solid[:-1]
-    shuts[:-1] &= ~solid[1:]
+    turn = kind[1:] != kind[:-1]
+    opens[1:] &= turn
+    shuts[:-1] &= turn
     bounds = bounds[(bounds > 0) & (bounds < n)]
     opens[bounds] = solid[bounds]
     shuts[bounds - 1] = solid[bounds - 1]
@@ -92,36 +101,36 @@ def _hash_piece(raw: np.ndarray, bounds: np.ndarray, lower: bool) -> tuple[np.nd
     return mix64(h + (ends - starts).astype(_U64) * _WORD_LEN), starts, ends
 
 
-def hashed_words(raw: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hashed_words(raw: np.ndarray, lower: bool = True, classes: np.ndarray = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, byte starts and byte ends of the words of one text of any length."""
     if len(raw) <= CHUNK_BYTES:
-        return _hash_piece(raw, np.zeros(0, np.int64), lower)
+        return _hash_piece(raw, np.zeros(0, np.int64), lower, classes)
     out, at = [], 0
     while at < len(raw):
         to = min(len(raw), at + CHUNK_BYTES)
         while to < len(raw) and not SPACE[raw[to]]:  # a word is never cut
             gap = np.flatnonzero(SPACE[raw[to : to + CHUNK_BYTES]])
             to = to + int(gap[0]) if len(gap) else min(len(raw), to + CHUNK_BYTES)
-        h, s, e = _hash_piece(raw[at:to], np.zeros(0, np.int64), lower)
+        h, s, e = _hash_piece(raw[at:to], np.zeros(0, np.int64), lower, classes)
         out.append((h, s + at, e + at))
         at = to
     return tuple(np.concatenate(x) for x in zip(*out))  # type: ignore[return-value]
 
 
-def words_by_text(column, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def words_by_text(column, lower: bool = True, classes: np.ndarray = WORDS) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(row, word hashes, byte starts, byte ends) of every text; starts count from the text."""
     raw, offsets = text_buffers(column)
     n, row = len(offsets) - 1, 0
     while row < n:
         to = int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, side="right")) - 1
         if to <= row:  # one long text
-            h, s, e = hashed_words(raw[offsets[row] : offsets[row + 1]], lower)
+            h, s, e = hashed_words(raw[offsets[row] : offsets[row + 1]], lower, classes)
             yield row, h, s, e
             row += 1
             continue
         to = min(to, n)
         base = offsets[row]
-        h, s, e = _hash_piece(raw[base : offsets[to]], offsets[row:to] - base, lower)
+        h, s, e = _hash_piece(raw[base : offsets[to]], offsets[row:to] - base, lower, classes)
         cuts = np.searchsorted(s, offsets[row : to + 1] - base)
         for k in range(row, to):
             a, b = cuts[k - row], cuts[k - row + 1]
@@ -131,7 +140,6 @@ def words_by_text(column, lower: bool = True) -> Iterator[tuple[int, np.ndarray,
 
 
 _SHINGLE = seeds(64, 3)
-_SHORT = seeds(1, 4)[0]
 
 
 def ngrams(words: np.ndarray, k: int) -> np.ndarray:
@@ -146,9 +154,10 @@ def ngrams(words: np.ndarray, k: int) -> np.ndarray:
 
 
 def shingle_set(words: np.ndarray, k: int = 5) -> np.ndarray:
-    """Sorted distinct k-word shingles; with fewer words, the whole sequence as one."""
+    """Sorted distinct k-word shingles (k < 32); with fewer words, the whole sequence as one."""
     if len(words) == 0:
         return np.zeros(0, _U64)
     if len(words) < k:
-        return mix64(np.array([(words * _SHINGLE[: len(words)]).sum(dtype=_U64) ^ _SHORT * _U64(len(words))], _U64))
+        total = (words * _SHINGLE[: len(words)]).sum(dtype=_U64, keepdims=True)
+        return mix64(total ^ _SHINGLE[k + len(words) : k + len(words) + 1])
     return np.unique(ngrams(words, k))
