@@ -78,7 +78,7 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def _hash_piece(raw: np.ndarray, bounds: np.ndarray, lower: bool, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hash_piece(raw: np.ndarray, bounds: np.ndarray, lower: bool, classes: np.ndarray, prefix: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of the words of one piece; bounds: positions where a text begins."""
     n = len(raw)
     if n == 0:
@@ -97,40 +97,41 @@ def _hash_piece(raw: np.ndarray, bounds: np.ndarray, lower: bool, classes: np.nd
     up, down = _tables(n + 1)
     total = np.zeros(n + 1, _U64)
     np.cumsum(_BYTE[(_LOWER if lower else _RAW)[raw]] * up[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix64(h + (ends - starts).astype(_U64) * _WORD_LEN), starts, ends
+    last = np.minimum(ends, starts + prefix) if prefix else ends
+    h = (total[last] - total[starts]) * down[starts]
+    return mix64(h + (last - starts).astype(_U64) * _WORD_LEN + _U64(prefix)), starts, ends
 
 
-def hashed_words(raw: np.ndarray, lower: bool = True, classes: np.ndarray = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, byte starts and byte ends of the words of one text of any length."""
+def hashed_words(raw: np.ndarray, lower: bool = True, classes: np.ndarray = WORDS, prefix: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, byte starts and byte ends of the words of one text of any length; prefix: bytes of a word that count, 0 for all."""
     if len(raw) <= CHUNK_BYTES:
-        return _hash_piece(raw, np.zeros(0, np.int64), lower, classes)
+        return _hash_piece(raw, np.zeros(0, np.int64), lower, classes, prefix)
     out, at = [], 0
     while at < len(raw):
         to = min(len(raw), at + CHUNK_BYTES)
         while to < len(raw) and not SPACE[raw[to]]:  # a word is never cut
             gap = np.flatnonzero(SPACE[raw[to : to + CHUNK_BYTES]])
             to = to + int(gap[0]) if len(gap) else min(len(raw), to + CHUNK_BYTES)
-        h, s, e = _hash_piece(raw[at:to], np.zeros(0, np.int64), lower, classes)
+        h, s, e = _hash_piece(raw[at:to], np.zeros(0, np.int64), lower, classes, prefix)
         out.append((h, s + at, e + at))
         at = to
     return tuple(np.concatenate(x) for x in zip(*out))  # type: ignore[return-value]
 
 
-def words_by_text(column, lower: bool = True, classes: np.ndarray = WORDS) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def words_by_text(column, lower: bool = True, classes: np.ndarray = WORDS, prefix: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(row, word hashes, byte starts, byte ends) of every text; starts count from the text."""
     raw, offsets = text_buffers(column)
     n, row = len(offsets) - 1, 0
     while row < n:
         to = int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, side="right")) - 1
         if to <= row:  # one long text
-            h, s, e = hashed_words(raw[offsets[row] : offsets[row + 1]], lower, classes)
+            h, s, e = hashed_words(raw[offsets[row] : offsets[row + 1]], lower, classes, prefix)
             yield row, h, s, e
             row += 1
             continue
         to = min(to, n)
         base = offsets[row]
-        h, s, e = _hash_piece(raw[base : offsets[to]], offsets[row:to] - base, lower, classes)
+        h, s, e = _hash_piece(raw[base : offsets[to]], offsets[row:to] - base, lower, classes, prefix)
         cuts = np.searchsorted(s, offsets[row : to + 1] - base)
         for k in range(row, to):
             a, b = cuts[k - row], cuts[k - row + 1]
