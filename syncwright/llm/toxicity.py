@@ -66,22 +66,22 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+def fit_linear(x: np.ndarray, y: np.ndarray, steps: int = 150, rate: float = 0.1, decay: float = 1e-4) -> np.ndarray:
     """Logistic weights, the last one the bias, by full-batch Adam."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
     w = np.zeros(x.shape[1])
     if len(y) == 0 or y.max() == 0:
         w[-1] = -60.0
         return w
     m, v = np.zeros_like(w), np.zeros_like(w)
     for k in range(1, steps + 1):
-        g = x.T @ (_sigmoid(x @ w) - y) / len(y) + decay * w
+        g = x.T @ (_sigmoid(x @ w.astype(np.float32)) - y).astype(np.float32) / len(y) + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     return w
 
 
-def fit_chain(x: np.ndarray, targets: np.ndarray, folds: int = 5) -> list[np.ndarray]:
+def fit_chain(x: np.ndarray, targets: np.ndarray, folds: int = 3) -> list[np.ndarray]:
     """One weight vector for each category; later ones see out-of-fold probabilities of earlier ones."""
     fold = np.arange(len(x)) % folds
     models = []
@@ -114,7 +114,7 @@ def _score_rows(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(p[:, k]) for k in range(len(CHAIN)))], names=["doc_id", *(f"p_{c}" for c in CHAIN)])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 20_000, features: int = 512, threshold: float = 0.5) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 20_000, features: int = 384, threshold: float = 0.5) -> DataFrame:
     """(doc_id, p_<category> ..., p_toxic, toxic) for every row of docs; labels: (doc_id, toxic)."""
     spark = docs.sparkSession
     small_batches(spark)
