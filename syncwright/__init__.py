@@ -1,0 +1 @@
+"""Record reconciliation between two peers, as Spark DataFrame operations."""
