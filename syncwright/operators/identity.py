@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 POLICIES = ("review", "create", "skip")
 
 
-def keys_of(records: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
-    """(id, key_name, key_value) of the non-empty keys of each record; keys: column names."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("key_name"), F.col(k).cast("string").alias("key_value")) for k in keys])
+def keys_of(records: DataFrame, id_col: str, keys: list[str] | dict[str, str]) -> DataFrame:
+    """(id, key_name, key_value) of the non-empty keys of each record; keys: column names, or key names with their columns."""
+    columns = keys if isinstance(keys, dict) else {k: k for k in keys}
+    pairs = F.array(*[F.struct(F.lit(k).alias("key_name"), F.col(c).cast("string").alias("key_value")) for k, c in columns.items()])
     return records.select(F.col(id_col).alias("id"), F.explode(pairs).alias("k")).select("id", "k.key_name", "k.key_value").where("key_value is not null and key_value <> ''")
 
 
@@ -20,7 +21,7 @@ def linked_peer(records: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
     return records.join(ends, F.col(id_col) == F.col("_end"), "left").drop("_end")
 
 
-def candidates(near: DataFrame, far: DataFrame, near_id: str, far_id: str, keys: list[str]) -> DataFrame:
+def candidates(near: DataFrame, far: DataFrame, near_id: str, far_id: str, keys: list[str] | dict[str, str]) -> DataFrame:
     """(id, candidates, matched_on) by any equal key: distinct far ids in order, and the names of keys that met."""
     mine, theirs = keys_of(near, near_id, keys), keys_of(far, far_id, keys).withColumnRenamed("id", "far")
     # the far ids of a key are gathered first: one row for each key goes on to the join
@@ -40,10 +41,10 @@ def outcome(linked: Column, found: Column, matched_on: Column, peer: str, on_amb
     return what, who, why.otherwise(F.concat(n.cast("string"), F.lit(f" records on {peer} match on "), matched_on))
 
 
-def resolve(near: DataFrame, far: DataFrame, links: DataFrame, near_id: str, far_id: str, keys: list[str], peer: str, on_ambiguous: str = "review") -> DataFrame:
+def resolve(near: DataFrame, far: DataFrame, links: DataFrame, near_id: str, far_id: str, keys: list[str] | dict[str, str], peer: str, on_ambiguous: str = "review") -> DataFrame:
     """near with outcome, peer_id and reason.  Only records without a link look for keys."""
     known = linked_peer(near, links, near_id)
-    found = candidates(known.where("linked is null"), far, near_id, far_id, keys)
-    joined = known.join(found, F.col(near_id) == F.col("id"), "left").drop("id")
+    found = candidates(known.where("linked is null"), far, near_id, far_id, keys).withColumnRenamed("id", "_found_id")
+    joined = known.join(found, F.col(near_id) == F.col("_found_id"), "left")
     what, who, why = outcome(F.col("linked"), F.col("candidates"), F.col("matched_on"), peer, on_ambiguous)
     return joined.select(*near.columns, what.alias("outcome"), who.alias("peer_id"), why.alias("reason"))

@@ -40,11 +40,13 @@ def _state(alias: str, base: str) -> Column:
 def planned(left: DataFrame, right: DataFrame, links: DataFrame, snapshots: DataFrame, sync: Sync) -> DataFrame:
     """(action, target, source, fields, reason, review) of each change or open question.
 
+    Both sides are read several times: pass tables that are written or persisted.
+
     left, right: canonical records; links: (a, b) of remote ids; snapshots:
     (ref, hash, fields).  Records of either side without a partner are created on
     the other; pairs are compared once; an ambiguous record waits for a decision.
     """
-    keys = [f"key_{k}" for k in sync.keys]
+    keys = {k: f"key_{k}" for k in sync.keys}
     kind = F.lit(sync.mapping.kind)
     near = identity.resolve(left, right, links, "remote_id", "remote_id", keys, sync.right, sync.on_ambiguous)
     far = identity.resolve(right, left, links, "remote_id", "remote_id", keys, sync.left, sync.on_ambiguous)
