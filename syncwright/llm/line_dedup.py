@@ -9,9 +9,10 @@ removed if an earlier line, by (doc_id, line number), is that similar.
 
 Equal lines are aggregated by content before anything else, so a line that a
 third of all rows repeat is one row from then on.  Shingles of a high hashed
-count are dealt out over salts.  The contents under one shingle are compared
-with two leaders, the earliest and the most repeated one; only contents that
-neither removes go on to a filtered join with the others.
+count are dealt out over salts.  The leaders of a shingle are its earliest and its
+most repeated content; each content is compared with the earlier leader that it
+shares most shingles with, and only what that does not remove goes on to a
+filtered join with all earlier contents under its shingles.
 
 Defined cases: null texts have no lines; a line of fewer than five words has no
 shingle and always stays; rows that repeat a doc_id are one document, whose equal
@@ -34,8 +35,10 @@ FILTER_BYTES = 1 << 18  # line filter, six bits a byte; a fixed size too
 HOT_CLASS = 13  # shingles counted 2**13 times more than usual are dealt out over salts
 
 
-def _words(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, rf"^{SPACES}|{SPACES}$", ""), SPACES)
+def _words(line: Column) -> Column:
+    """The words of one line; splitting at a single plain space takes no regular expression."""
+    plain = F.when(line.rlike(r"[\x09\x0B-\x0D]"), F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line)
+    return F.array_remove(F.split(plain, " ", -1), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -95,12 +98,11 @@ def _in_filter(table: bytes) -> Column:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The later content `h` of every pair (a, b) whose full sets have a similarity of 0.75."""
-    left = sets.select(F.col("h").alias("a"), F.col("items").alias("x"), F.struct("doc_id", "line_no").alias("at_x"))
-    right = sets.select(F.col("h").alias("b"), F.col("items").alias("y"), F.struct("doc_id", "line_no").alias("at_y"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
-    both = both.where(4 * F.col("both") >= 3 * (F.size("x") + F.size("y") - F.col("both")))
-    return both.select(F.when(F.col("at_x") > F.col("at_y"), F.col("a")).otherwise(F.col("b")).alias("h")).distinct()
+    """The contents h of the pairs (h, earlier) whose full sets have a similarity of 0.75."""
+    left = sets.select("h", F.col("items").alias("x"))
+    right = sets.select(F.col("h").alias("earlier"), F.col("items").alias("y"))
+    both = pairs.join(left, "h").join(right, "earlier").withColumn("both", F.size(F.array_intersect("x", "y")))
+    return both.where(4 * F.col("both") >= 3 * (F.size("x") + F.size("y") - F.col("both"))).select("h").distinct()
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,39 +118,47 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     content = keyed.select("h", "n", prefix.alias("prefix")).groupBy("h").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     posting = content.select("h", "n", F.posexplode("prefix").alias("i", "token"))
     salts = F.pow(F.lit(2), F.greatest(F.lit(0), F.shiftright("token", 57) - HOT_CLASS + 1)).cast("long")
-    posting = posting.withColumn("salt", F.pmod("h", salts))
-    group = Window.partitionBy("token", "salt")
+    # narrow rows: the group, the content, n and i in one, and the token of dealt-out groups only
+    posting = posting.select(
+        F.when(salts > 1, F.xxhash64("token", F.pmod("h", salts))).otherwise(F.col("token")).alias("g"),
+        "h",
+        (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("ni"),
+        F.when(salts > 1, F.col("token")).alias("hot"),
+    )
+    group = Window.partitionBy("g")
     posting = posting.withColumn("lo", F.min("h").over(group)).withColumn("hi", F.max("h").over(group))
-    shared = posting.where((F.col("lo") != F.col("hi")) | (salts > 1)).drop("lo", "hi")
+    shared = posting.where("lo <> hi or hot is not null")
+    shared = shared.select(F.coalesce("hot", "g").alias("token"), "h", F.shiftright("ni", 32).cast("int").alias("n"), F.col("ni").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("i"))
     first = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("copies"))
-    first = store.save(first.select("h", "at.doc_id", "at.line_no", "copies"), "first")
-    shared = store.save(shared.join(first, "h"), "shared")
+    first = store.save(first.select("h", "at", "copies"), "first")
+    shared = store.save(shared.join(first, "h").withColumn("salt", F.pmod("h", salts)), "shared")
 
     # the sets of the contents that share a shingle, each from its first place
-    spots = shared.select("h", "doc_id", "line_no").distinct()
+    spots = shared.select("h", "at.doc_id", "at.line_no").distinct()
     near = lines.where(_in_filter(_line_filter(spots))).drop("h")
-    sets = near.join(spots, ["doc_id", "line_no"]).select("doc_id", "line_no", "h", _words(F.col("line")).alias("words"))
-    sets = store.save(sets.select("doc_id", "line_no", "h", _shingles().alias("items")), "sets")
-
-    me = F.struct("h", "n", "i")
-    leaders = shared.groupBy("token").agg(F.count("*").alias("size"), F.min_by(me, F.struct("doc_id", "line_no")).alias("early"), F.max_by(me, F.struct("copies", "h")).alias("common")).where("size > 1")
-    led = shared.join(leaders, "token")
-    pairs = led.select("h", "n", "i", F.explode(F.array("early", "common")).alias("with")).where(F.col("h") != F.col("with.h"))
-    pairs = pairs.where(_may_match(F.col("n"), F.col("i"), F.col("with.n"), F.col("with.i")))
-    pairs = pairs.select(F.least("h", "with.h").alias("a"), F.greatest("h", "with.h").alias("b")).distinct()
-    later = store.save(_similar(pairs, sets), "later")
-
-    # what no leader removes meets the rest of its group; hot groups one salt at a time
-    rest = led.where("size > 2").join(later, "h", "left_anti").where((F.col("h") != F.col("early.h")) | (F.col("early.h") != F.col("common.h")))
-    rest = rest.select("token", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), "h", "n", "i", F.col("early.h").alias("e"), F.col("common.h").alias("c"))
-    other = shared.select("token", "salt", F.col("h").alias("h2"), F.col("n").alias("n2"), F.col("i").alias("i2"))
-    rest = rest.join(other, ["token", "salt"]).where("h <> h2 and h2 <> e and h2 <> c").where(_may_match(F.col("n"), F.col("i"), F.col("n2"), F.col("i2")))
-    rest = rest.select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b")).distinct()
+    sets = near.join(spots, ["doc_id", "line_no"]).select("h", _words(F.col("line")).alias("words"))
+    sets = store.save(sets.select("h", _shingles().alias("items")), "sets")
+
+    # each content first meets the earlier leader that it shares most shingles with
+    me = F.struct("h", "n", "i", "at")
+    leaders = shared.groupBy("token").agg(F.min_by(me, "at").alias("early"), F.max_by(me, F.struct("copies", "h")).alias("common"))
+    led = shared.join(leaders, "token").select("h", "n", "i", "at", F.explode(F.array("early", "common")).alias("with"))
+    led = led.where(F.col("with.at") < F.col("at")).where(_may_match(F.col("n"), F.col("i"), F.col("with.n"), F.col("with.i")))
+    led = led.groupBy("h", F.col("with.h").alias("earlier")).agg(F.count("*").alias("met"))
+    tried = store.save(led.groupBy("h").agg(F.max_by("earlier", F.struct("met", "earlier")).alias("earlier")), "tried")
+    later = store.save(_similar(tried, sets), "later")
+
+    # what no leader removes meets the rest of its groups; dealt-out groups one salt at a time
+    rest = shared.join(later, "h", "left_anti")
+    rest = rest.select("token", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), "h", "n", "i", "at")
+    other = shared.select("token", "salt", F.col("h").alias("earlier"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("at").alias("at2"))
+    rest = rest.join(other, ["token", "salt"]).where("at2 < at").where(_may_match(F.col("n"), F.col("i"), F.col("n2"), F.col("i2")))
+    rest = rest.select("h", "earlier").distinct().join(tried, ["h", "earlier"], "left_anti")
     later = later.union(_similar(rest, sets)).distinct()
 
-    near_copies = first.join(later, "h", "left_semi").select("doc_id", "line_no", "h")
-    repeated = first.where("copies > 1").select("h", F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
-    equal = lines.select("doc_id", "line_no", "h").join(repeated, "h").where("doc_id <> d or line_no <> l")
+    near_copies = first.join(later, "h", "left_semi").select("at.doc_id", "at.line_no", "h")
+    repeated = first.where("copies > 1").select("h", "at")
+    equal = lines.select("doc_id", "line_no", "h").join(repeated, "h").where("doc_id <> at.doc_id or line_no <> at.line_no")
     return near_copies.union(equal.select("doc_id", "line_no", "h"))
 
 
