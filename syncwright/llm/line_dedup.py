@@ -31,7 +31,7 @@ from .store import Store
 
 SPACES = r"[\x20\x09-\x0D]+"
 CELLS = 1 << 16  # hashed counts behind the rarity order; a fixed size, so it travels in the plan
-FILTER_BYTES = 1 << 18  # line filter, six bits a byte; a fixed size too
+FILTER_BYTES = 1 << 19  # line filter, six bits a byte; a fixed size too
 HOT_CLASS = 13  # shingles counted 2**13 times more than usual are dealt out over salts
 
 
@@ -93,15 +93,23 @@ def _line_filter(ids: DataFrame) -> bytes:
 
 def _in_filter(table: bytes) -> Column:
     cell = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(6 * FILTER_BYTES))
-    bit = F.shiftright(_byte(table, (cell / 6).cast("int")), 0)
-    return F.expr("1").cast("int") == F.get(F.array(*[F.shiftright(bit, k).bitwiseAND(1) for k in range(6)]), F.pmod(cell, F.lit(6)).cast("int"))
+    bits = F.get(F.array(*[F.lit(1 << k) for k in range(6)]), F.pmod(cell, F.lit(6)).cast("int"))
+    return _byte(table, (cell / 6).cast("int")).bitwiseAND(bits) != 0
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The contents h of the pairs (h, earlier) whose full sets have a similarity of 0.75."""
-    left = sets.select("h", F.col("items").alias("x"))
-    right = sets.select(F.col("h").alias("earlier"), F.col("items").alias("y"))
-    both = pairs.join(left, "h").join(right, "earlier").withColumn("both", F.size(F.array_intersect("x", "y")))
+def _similar(pairs: DataFrame, lines: DataFrame, first: DataFrame, store: Store, name: str) -> DataFrame:
+    """The contents h of the pairs (h, earlier) whose full sets have a similarity of 0.75.
+
+    Only lines of contents in a pair are read again, each from its first place.
+    """
+    wanted = pairs.select("h").union(pairs.select("earlier")).distinct()
+    spots = first.join(wanted, "h", "left_semi").select("h", "at.doc_id", "at.line_no")
+    near = lines.where(_in_filter(_line_filter(spots))).drop("h")
+    text = store.save(near.join(spots, ["doc_id", "line_no"]).select("h", "line"), name)
+    both = pairs.join(text.withColumnRenamed("line", "x"), "h").join(text.select(F.col("h").alias("earlier"), F.col("line").alias("y")), "earlier")
+    for side in ("x", "y"):
+        both = both.select("h", *[F.col(c) for c in both.columns if c not in ("h", "earlier", side)], _words(F.col(side)).alias("words")).withColumn(side, _shingles()).drop("words")
+    both = both.withColumn("both", F.size(F.array_intersect("x", "y")))
     return both.where(4 * F.col("both") >= 3 * (F.size("x") + F.size("y") - F.col("both"))).select("h").distinct()
 
 
@@ -133,12 +141,6 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = store.save(first.select("h", "at", "copies"), "first")
     shared = store.save(shared.join(first, "h").withColumn("salt", F.pmod("h", salts)), "shared")
 
-    # the sets of the contents that share a shingle, each from its first place
-    spots = shared.select("h", "at.doc_id", "at.line_no").distinct()
-    near = lines.where(_in_filter(_line_filter(spots))).drop("h")
-    sets = near.join(spots, ["doc_id", "line_no"]).select("h", _words(F.col("line")).alias("words"))
-    sets = store.save(sets.select("h", _shingles().alias("items")), "sets")
-
     # each content first meets the earlier leader that it shares most shingles with
     me = F.struct("h", "n", "i", "at")
     leaders = shared.groupBy("token").agg(F.min_by(me, "at").alias("early"), F.max_by(me, F.struct("copies", "h")).alias("common"))
@@ -146,15 +148,15 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     led = led.where(F.col("with.at") < F.col("at")).where(_may_match(F.col("n"), F.col("i"), F.col("with.n"), F.col("with.i")))
     led = led.groupBy("h", F.col("with.h").alias("earlier")).agg(F.count("*").alias("met"))
     tried = store.save(led.groupBy("h").agg(F.max_by("earlier", F.struct("met", "earlier")).alias("earlier")), "tried")
-    later = store.save(_similar(tried, sets), "later")
+    later = store.save(_similar(tried, lines, first, store, "tried-lines"), "later")
 
     # what no leader removes meets the rest of its groups; dealt-out groups one salt at a time
     rest = shared.join(later, "h", "left_anti")
     rest = rest.select("token", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), "h", "n", "i", "at")
     other = shared.select("token", "salt", F.col("h").alias("earlier"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("at").alias("at2"))
     rest = rest.join(other, ["token", "salt"]).where("at2 < at").where(_may_match(F.col("n"), F.col("i"), F.col("n2"), F.col("i2")))
-    rest = rest.select("h", "earlier").distinct().join(tried, ["h", "earlier"], "left_anti")
-    later = later.union(_similar(rest, sets)).distinct()
+    rest = store.save(rest.select("h", "earlier").distinct().join(tried, ["h", "earlier"], "left_anti"), "rest")
+    later = later.union(_similar(rest, lines, first, store, "rest-lines")).distinct()
 
     near_copies = first.join(later, "h", "left_semi").select("at.doc_id", "at.line_no", "h")
     repeated = first.where("copies > 1").select("h", "at")
