@@ -37,7 +37,8 @@ HOT_CLASS = 13  # shingles counted 2**13 times more than usual are dealt out ove
 
 def _words(line: Column) -> Column:
     """The words of one line; splitting at a single plain space takes no regular expression."""
-    plain = F.when(line.rlike(r"[\x09\x0B-\x0D]"), F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line)
+    odd = line.contains("\t") | line.contains("\x0b") | line.contains("\x0c") | line.contains("\r")
+    plain = F.when(odd, F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line)
     return F.array_remove(F.split(plain, " ", -1), "")
 
 
@@ -100,17 +101,17 @@ def _in_filter(table: bytes) -> Column:
 def _similar(pairs: DataFrame, lines: DataFrame, first: DataFrame, store: Store, name: str) -> DataFrame:
     """The contents h of the pairs (h, earlier) whose full sets have a similarity of 0.75.
 
-    Only lines of contents in a pair are read again, each from its first place.
+    Only lines of contents in a pair are read again, each from its first place;
+    their sets are made once and written, so that no later filter repeats that work.
     """
     wanted = pairs.select("h").union(pairs.select("earlier")).distinct()
     spots = first.join(wanted, "h", "left_semi").select("h", "at.doc_id", "at.line_no")
     near = lines.where(_in_filter(_line_filter(spots))).drop("h")
-    text = store.save(near.join(spots, ["doc_id", "line_no"]).select("h", "line"), name)
-    both = pairs.join(text.withColumnRenamed("line", "x"), "h").join(text.select(F.col("h").alias("earlier"), F.col("line").alias("y")), "earlier")
-    for side in ("x", "y"):
-        both = both.select("h", *[F.col(c) for c in both.columns if c not in ("h", "earlier", side)], _words(F.col(side)).alias("words")).withColumn(side, _shingles()).drop("words")
-    both = both.withColumn("both", F.size(F.array_intersect("x", "y")))
-    return both.where(4 * F.col("both") >= 3 * (F.size("x") + F.size("y") - F.col("both"))).select("h").distinct()
+    text = near.join(spots, ["doc_id", "line_no"]).select("h", _words(F.col("line")).alias("words"))
+    sets = store.save(text.select("h", _shingles().alias("items")), name)
+    both = pairs.join(sets.withColumnRenamed("items", "x"), "h").join(sets.select(F.col("h").alias("earlier"), F.col("items").alias("y")), "earlier")
+    # 4 both >= 3 (n + m - both)
+    return both.where(7 * F.size(F.array_intersect("x", "y")) >= 3 * (F.size("x") + F.size("y"))).select("h").distinct()
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,7 +138,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     posting = posting.withColumn("lo", F.min("h").over(group)).withColumn("hi", F.max("h").over(group))
     shared = posting.where("lo <> hi or hot is not null")
     shared = shared.select(F.coalesce("hot", "g").alias("token"), "h", F.shiftright("ni", 32).cast("int").alias("n"), F.col("ni").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("i"))
-    first = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("copies"))
+    place = store.save(lines.select("doc_id", "line_no", "h"), "places")
+    first = place.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("copies"))
     first = store.save(first.select("h", "at", "copies"), "first")
     shared = store.save(shared.join(first, "h").withColumn("salt", F.pmod("h", salts)), "shared")
 
@@ -160,7 +162,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     near_copies = first.join(later, "h", "left_semi").select("at.doc_id", "at.line_no", "h")
     repeated = first.where("copies > 1").select("h", "at")
-    equal = lines.select("doc_id", "line_no", "h").join(repeated, "h").where("doc_id <> at.doc_id or line_no <> at.line_no")
+    equal = place.join(repeated, "h").where("doc_id <> at.doc_id or line_no <> at.line_no")
     return near_copies.union(equal.select("doc_id", "line_no", "h"))
 
 
