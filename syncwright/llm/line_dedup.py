@@ -45,15 +45,22 @@ def _words(line: Column) -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, h) of the lower-cased lines of five words or more."""
     lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("line_no", "line"))
-    return lines.where(F.col("line").rlike(rf"(?:[^\x20\x09-\x0D]+{SPACES}){{4}}[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
+    return lines.where(F.col("line").rlike(rf"^{SPACES[:-1]}*+(?:[^\x20\x09-\x0D]++{SPACES}+){{4}}[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
 
 
 def _shingle_at(i: Column) -> Column:
-    return F.xxhash64(*[F.get("words", i + j) for j in range(5)])
+    """The hash of five words, in halves: of two pairs, then of the fifth word."""
+    w = [F.xxhash64(F.get("words", i + j)) for j in range(5)]
+    return F.xxhash64(F.xxhash64(F.xxhash64(w[0], w[1]), F.xxhash64(w[2], w[3])), w[4])
 
 
-def _shingles() -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - 5), _shingle_at))
+def _with_items(rows: DataFrame, *keep: str) -> DataFrame:
+    """(keep, items) of rows (keep, words) of five words or more; items: their distinct _shingle_at."""
+    n, both = F.size("hashed"), lambda a, b: F.xxhash64(a, b)
+    rows = rows.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("hashed"))
+    rows = rows.select(*keep, "hashed", F.zip_with("hashed", F.slice("hashed", F.lit(2), n), both).alias("pair"))
+    four = F.zip_with("pair", F.slice("pair", F.lit(3), n), both)
+    return rows.select(*keep, F.array_distinct(F.slice(F.zip_with(four, F.slice("hashed", F.lit(5), n), both), F.lit(1), n - 4)).alias("items"))
 
 
 def _byte(table: bytes, at: Column) -> Column:
@@ -108,7 +115,7 @@ def _similar(pairs: DataFrame, lines: DataFrame, first: DataFrame, store: Store,
     spots = first.join(wanted, "h", "left_semi").select("h", "at.doc_id", "at.line_no")
     near = lines.where(_in_filter(_line_filter(spots))).drop("h")
     text = near.join(spots, ["doc_id", "line_no"]).select("h", _words(F.col("line")).alias("words"))
-    sets = store.save(text.select("h", _shingles().alias("items")), name)
+    sets = store.save(_with_items(text, "h"), name)
     both = pairs.join(sets.withColumnRenamed("items", "x"), "h").join(sets.select(F.col("h").alias("earlier"), F.col("items").alias("y")), "earlier")
     # 4 both >= 3 (n + m - both)
     return both.where(7 * F.size(F.array_intersect("x", "y")) >= 3 * (F.size("x") + F.size("y"))).select("h").distinct()
@@ -121,7 +128,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = _rarity_classes(lines)
 
     # one row for each content, with its rarest shingles
-    ordered = lines.select("h", _words(F.col("line")).alias("words")).select("h", _shingles().alias("items"))
+    ordered = _with_items(lines.select("h", _words(F.col("line")).alias("words")), "h")
     keyed = ordered.select("h", F.size("items").alias("n"), F.sort_array(F.transform("items", lambda x: F.shiftleft(_byte(classes, F.pmod(x, F.lit(CELLS)).cast("int")).cast("long"), 57) + F.shiftrightunsigned(x, 7))).alias("keys"))
     prefix = F.slice("keys", 1, F.col("n") - F.ceil(F.col("n") * 0.75).cast("int") + 1)
     content = keyed.select("h", "n", prefix.alias("prefix")).groupBy("h").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
