@@ -259,7 +259,7 @@ def _span_rows(batches: Iterator[pa.RecordBatch], field, sure: float) -> Iterato
         base, graphs = [base_spans(t) for t in texts], [graph(t) for t in texts]
         sizes = [len(g[0]) for g in graphs]
         starts = np.cumsum([0, *sizes])
-        rows = np.array([r for g in graphs for r in g[1]], np.int64).reshape(starts[-1], -1)
+        rows = np.array([r for g in graphs for r in g[1]], np.int64).reshape(starts[-1], -1 if starts[-1] else 0)
         edges = np.array([(i + s, j + s, k) for g, s in zip(graphs, starts) for i, j, k in g[2]], np.int64).reshape(-1, 3)
         belief = model.beliefs(rows, edges) if len(rows) else np.zeros((0, len(LABELS)))
         counts, digests, all_spans = [], [], []

@@ -26,8 +26,7 @@ STEP, ZERO = 1 << 10, 1 << 13  # weights of -8 to 8, as two bytes under 128 each
 
 
 def _words(text: Column) -> Column:
-    trimmed = F.regexp_replace(text, rf"^{SPACES}|{SPACES}$", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES))
+    return F.array_remove(F.split(text, SPACES, -1), "")
 
 
 def _range(n: Column) -> Column:
