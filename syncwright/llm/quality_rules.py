@@ -101,4 +101,5 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     table = ratio_weights(rows.select("doc_id", "words"), labels, max_labels)
     rows = with_ratio(with_counts(rows), table)
     rows = rows.withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "ratio", "base_failed", "kept")
+    # a generator between the counts and the caller: a filter on the verdict is not pushed into the counts, which it would repeat
+    return rows.select(F.inline(F.array(F.struct("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "ratio", "base_failed", "kept"))))
