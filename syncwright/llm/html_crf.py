@@ -106,6 +106,21 @@ def blocks(page: str) -> list[tuple[str, tuple[tuple[str, tuple[str, ...]], ...]
     return out
 
 
+# Names that page layouts give to the parts around an article.
+_AROUND = {
+    "menu": ("nav", "menu navbar navigation topnav breadcrumb breadcrumbs tabs"),
+    "header": ("header", "header masthead banner topbar site branding"),
+    "footer": ("footer", "footer bottom colophon legal copyright"),
+    "sidebar": ("aside", "sidebar related widget recommended trending popular more"),
+    "notice": ("div", "notice cookie consent alert gdpr paywall subscribe popup modal"),
+    "advert": ("div", "ad ads advert advertisement sponsored promo promotion banner"),
+    "form": ("form", "form newsletter signup search login contact"),
+    "comments": ("section", "comments comment discussion replies responses disqus thread"),
+    "share": ("div", "share social sharing toolbar tags meta"),
+}
+_PART_OF = {name: part for part, (_, names) in _AROUND.items() for name in names.split()}
+
+
 def features(found: list) -> list[list[str]]:
     """Names of the features that each block of a page has."""
     out = []
@@ -113,6 +128,9 @@ def features(found: list) -> list[list[str]]:
         words = text.count(" ") + 1
         stops = sum(text.count(c) for c in ".,;!?")
         own = {f"in {t}" for t, _ in ancestors if t in BLOCKS} | {f"named {w}" for _, names in ancestors for w in names}
+        own |= {f"part {_PART_OF[w]}" for _, names in ancestors for w in names if w in _PART_OF}
+        if any(w in _PART_OF for _, names in ancestors for w in names):
+            own.add("part")
         own.add(f"under {next((t for t, _ in reversed(ancestors) if t in BLOCKS), '')}")
         own.add(f"words {min(6, words.bit_length())}")
         own.add(f"linked {int(linked * 3.99)}")
@@ -129,19 +147,6 @@ def features(found: list) -> list[list[str]]:
 # ---- labelled pages -------------------------------------------------------
 
 _SYLLABLES = "ka lo mi ter an den sol vi ra ne pul fo er ing ist om".split()
-# Names that page layouts give to the parts around an article.
-_AROUND = {
-    "menu": ("nav", "menu navbar navigation topnav breadcrumb breadcrumbs tabs"),
-    "header": ("header", "header masthead banner topbar site branding"),
-    "footer": ("footer", "footer bottom colophon legal copyright"),
-    "sidebar": ("aside", "sidebar related widget recommended trending popular more"),
-    "notice": ("div", "notice cookie consent alert gdpr paywall subscribe popup modal"),
-    "advert": ("div", "ad ads advert advertisement sponsored promo promotion banner"),
-    "form": ("form", "form newsletter signup search login contact"),
-    "comments": ("section", "comments comment discussion replies responses disqus thread"),
-    "share": ("div", "share social sharing toolbar tags meta"),
-}
-
 
 def labelled_pages(n: int, seed: int = 3) -> list[tuple[str, list[str]]]:
     """(page, texts of its article's blocks) drawn from many layouts."""
@@ -211,7 +216,7 @@ def labelled_pages(n: int, seed: int = 3) -> list[tuple[str, list[str]]]:
             piece, texts = item()
             inner += piece
             truth += texts
-            if draw.random() < 0.06:
+            if draw.random() < 0.12:
                 inner += around(draw.choice(("advert", "share", "form", "notice")))
         body = draw.choice(("<article>{}</article>", "<article>{}</article>", "<main><article>{}</article></main>", "<main>{}</main>", '<div class="content">{}</div>', '<div id="article">{}</div>', '<div class="post entry">{}</div>', '<section class="story body">{}</section>')).format(inner)
         before = "".join(around(k) for k in ("header", "menu", "notice", "advert", "share") if draw.random() < 0.5)
@@ -229,7 +234,7 @@ def _log_sum(a: np.ndarray, axis: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 250, steps: int = 120, decay: float = 3e-4) -> tuple[dict[str, float], np.ndarray]:
+def trained(pages: int = 400, steps: int = 160, decay: float = 1e-4) -> tuple[dict[str, float], np.ndarray]:
     """(weight of label `article` for each feature, 2 x 2 transition scores) from labelled pages."""
     data = []
     for page, truth in labelled_pages(pages):
