@@ -107,10 +107,11 @@ def chain_scores(x: np.ndarray, models: list[np.ndarray]) -> np.ndarray:
 
 
 def _score_rows(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    chosen, models = model.value
+    chosen, models, shares = model.value
     for batch in batches:
         x = np.array([counts_of(h, chosen) for h in _hashes(batch.column(1))]).reshape(batch.num_rows, len(chosen) + 1)
         p = chain_scores(x, models)
+        p[x[:, -1] == 0] = shares  # no words
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(p[:, k]) for k in range(len(CHAIN)))], names=["doc_id", *(f"p_{c}" for c in CHAIN)])
 
 
@@ -144,7 +145,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     order = np.lexsort([*x.T, y]) if len(y) else np.zeros(0, np.int64)
     x, y = x[order], y[order]
     targets = np.stack([*(y * (x[:, np.searchsorted(chosen, m)].sum(axis=1) > 0) for m in marks.values()), y], axis=1)
-    model = spark.sparkContext.broadcast((chosen, fit_chain(x, targets)))
+    model = spark.sparkContext.broadcast((chosen, fit_chain(x, targets), targets.mean(axis=0) if len(y) else np.zeros(len(CHAIN))))
     names = [f"p_{c}" for c in CHAIN]
     scored = rows.mapInArrow(partial(_score_rows, model=model), "doc_id long, " + ", ".join(f"{n} double" for n in names))
     return scored.withColumn("toxic", F.col("p_toxic") >= threshold)
