@@ -89,9 +89,10 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 def _packed_rows(batches: Iterator[pa.RecordBatch], capacity: int, enough: int, last: int) -> Iterator[pa.RecordBatch]:
     """Items (fill, pieces) of one task, packed; `done` sequences are final.  last: number of the round."""
-    table = pa.Table.from_batches(list(batches)) if batches else None
-    if table is None or table.num_rows == 0:
+    found = [b for b in batches if b.num_rows]
+    if not found:
         return
+    table = pa.Table.from_batches(found)
     table = table.combine_chunks()
     fill = table.column("fill").to_numpy().astype(np.int64)
     pieces = table.column("pieces").combine_chunks()
