@@ -89,6 +89,16 @@ def _may_match(n: Column, i: Column, m: Column, j: Column) -> Column:
     return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (1 + F.least(n - i, m - j) - 1 >= _least_overlap(n, m))
 
 
+def _enough_met(n: Column, m: Column, met: Column) -> Column:
+    """Whether two sets that share `met` items of their prefixes may be that similar.
+
+    What a set shares beyond its prefix is no more than what it holds there, and
+    the set whose prefix ends first in the order shares all before that end within
+    both prefixes.
+    """
+    return met + F.ceil(0.75 * F.greatest(n, m)) - 1 >= _least_overlap(n, m)
+
+
 def _line_filter(ids: DataFrame) -> bytes:
     """A fixed-size hashed set of (doc_id, line_no)."""
     cell = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(6 * FILTER_BYTES))
@@ -163,8 +173,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rest = shared.join(later, "h", "left_anti")
     rest = rest.select("token", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), "h", "n", "i", "at")
     other = shared.select("token", "salt", F.col("h").alias("earlier"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("at").alias("at2"))
-    rest = rest.join(other, ["token", "salt"]).where("at2 < at").where(_may_match(F.col("n"), F.col("i"), F.col("n2"), F.col("i2")))
-    rest = store.save(rest.select("h", "earlier").distinct().join(tried, ["h", "earlier"], "left_anti"), "rest")
+    met = rest.join(other, ["token", "salt"]).where("at2 < at").where(4 * F.least("n", "n2") >= 3 * F.greatest("n", "n2"))
+    met = met.groupBy("h", "earlier", "n", "n2").agg(F.count("*").alias("met"), F.max(_may_match(F.col("n"), F.col("i"), F.col("n2"), F.col("i2"))).alias("may"))
+    met = met.where("may").where(_enough_met(F.col("n"), F.col("n2"), F.col("met"))).select("h", "earlier")
+    rest = store.save(met.join(tried, ["h", "earlier"], "left_anti"), "rest")
     later = later.union(_similar(rest, lines, first, store, "rest-lines")).distinct()
 
     near_copies = first.join(later, "h", "left_semi").select("at.doc_id", "at.line_no", "h")
