@@ -440,7 +440,8 @@ def test_pipeline_is_its_stages(spark, tmp_path):
     spark.createDataFrame([(1, rows[-1][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     now = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, now = now, stage(spark, now, str(tmp_path))
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        before, now = now, spark.read.parquet(f"{tmp_path}/{name}")
         assert now.columns == docs.columns, name
         assert now.select("doc_id").subtract(before.select("doc_id")).count() == 0
     left = [(r["doc_id"], r["text"]) for r in now.collect()]
