@@ -14,8 +14,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; those of repeated lines only go."""
-    return line_dedup.clean_documents(docs)
+    """Documents without repeated lines, short ones included; those of repeated lines only go."""
+    return line_dedup.clean_documents(docs, short_lines=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

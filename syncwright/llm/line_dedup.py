@@ -15,10 +15,11 @@ shares most shingles with, and only what that does not remove goes on to a
 filtered join with all earlier contents under its shingles.
 
 Defined cases: null texts have no lines; a line of fewer than five words has no
-shingle and always stays; rows that repeat a doc_id are one document, whose equal
-lines at one place stay together; a null doc_id keeps its lines; clean_documents
-drops a document of which every line with words was removed; an empty table gives
-an empty result; extra columns are carried through unchanged.
+shingle and stays, unless short_lines makes its whole word sequence its one item;
+rows that repeat a doc_id are one document, whose equal lines at one place stay
+together; a null doc_id keeps its lines; clean_documents drops a document of which
+every line with words was removed; an empty table gives an empty result; extra
+columns are carried through unchanged.
 """
 
 from __future__ import annotations
@@ -42,10 +43,10 @@ def _words(line: Column) -> Column:
     return F.array_remove(F.split(plain, " ", -1), "")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, h) of the lower-cased lines of five words or more."""
+def _lines(docs: DataFrame, least_words: int = 5) -> DataFrame:
+    """(doc_id, line_no, line, h) of the lower-cased lines of least_words words or more."""
     lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("line_no", "line"))
-    return lines.where(F.col("line").rlike(rf"^{SPACES[:-1]}*+(?:[^\x20\x09-\x0D]++{SPACES}+){{4}}[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
+    return lines.where(F.col("line").rlike(rf"^{SPACES[:-1]}*+(?:[^\x20\x09-\x0D]++{SPACES}+){{{least_words - 1}}}[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
 
 
 def _shingle_at(i: Column) -> Column:
@@ -55,12 +56,13 @@ def _shingle_at(i: Column) -> Column:
 
 
 def _with_items(rows: DataFrame, *keep: str) -> DataFrame:
-    """(keep, items) of rows (keep, words) of five words or more; items: their distinct _shingle_at."""
+    """(keep, items) of rows (keep, words); items: their distinct _shingle_at, or one for all of fewer than five words."""
     n, both = F.size("hashed"), lambda a, b: F.xxhash64(a, b)
     rows = rows.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("hashed"))
     rows = rows.select(*keep, "hashed", F.zip_with("hashed", F.slice("hashed", F.lit(2), n), both).alias("pair"))
     four = F.zip_with("pair", F.slice("pair", F.lit(3), n), both)
-    return rows.select(*keep, F.array_distinct(F.slice(F.zip_with(four, F.slice("hashed", F.lit(5), n), both), F.lit(1), n - 4)).alias("items"))
+    long = F.array_distinct(F.slice(F.zip_with(four, F.slice("hashed", F.lit(5), n), both), F.lit(1), F.greatest(n - 4, F.lit(0))))
+    return rows.select(*keep, F.when(n >= 5, long).otherwise(F.array(F.xxhash64(F.lit("short"), "hashed"))).alias("items"))
 
 
 def _byte(table: bytes, at: Column) -> Column:
@@ -118,23 +120,27 @@ def _in_filter(table: bytes) -> Column:
 def _similar(pairs: DataFrame, lines: DataFrame, first: DataFrame, store: Store, name: str) -> DataFrame:
     """The contents h of the pairs (h, earlier) whose full sets have a similarity of 0.75.
 
-    Only lines of contents in a pair are read again, each from its first place;
-    their sets are made once and written, so that no later filter repeats that work.
+    Only lines of contents in a pair are read again, each from its first place
+    (where another text of a repeated doc_id may have another line); their sets are
+    made once and written, so that no later filter repeats that work.
     """
     wanted = pairs.select("h").union(pairs.select("earlier")).distinct()
     spots = first.join(wanted, "h", "left_semi").select("h", "at.doc_id", "at.line_no")
-    near = lines.where(_in_filter(_line_filter(spots))).drop("h")
-    text = near.join(spots, ["doc_id", "line_no"]).select("h", _words(F.col("line")).alias("words"))
+    near = lines.where(_in_filter(_line_filter(spots)))
+    text = near.join(spots, ["doc_id", "line_no", "h"]).select("h", _words(F.col("line")).alias("words"))
     sets = store.save(_with_items(text, "h"), name)
     both = pairs.join(sets.withColumnRenamed("items", "x"), "h").join(sets.select(F.col("h").alias("earlier"), F.col("items").alias("y")), "earlier")
     # 4 both >= 3 (n + m - both)
     return both.where(7 * F.size(F.array_intersect("x", "y")) >= 3 * (F.size("x") + F.size("y"))).select("h").distinct()
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, h) of every line that an earlier line equals or nearly equals; h: xxhash64 of it, lower-cased."""
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
+    """(doc_id, line_no, h) of every line that an earlier line equals or nearly equals; h: xxhash64 of it, lower-cased.
+
+    short_lines: lines of fewer than five words too, which are alike only if their words are the same.
+    """
     store = Store(docs.sparkSession, "line-dedup")
-    lines = _lines(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    lines = _lines(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), 1 if short_lines else 5)
     classes = _rarity_classes(lines)
 
     # one row for each content, with its rarest shingles
@@ -185,18 +191,18 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return near_copies.union(equal.select("doc_id", "line_no", "h"))
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed_lines) for every row of docs; removed_lines: numbers from 0, comma-joined."""
-    gone = repeated_lines(docs, id_col, text_col).select("doc_id", "line_no").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
+    gone = repeated_lines(docs, id_col, text_col, short_lines).select("doc_id", "line_no").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
     n = F.coalesce(F.size(F.split(F.col(text_col), "\n", -1)), F.lit(0))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long").alias("n_lines"))
     gone_here = F.coalesce("gone", F.array().cast("array<int>"))
     return rows.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.size(gone_here).cast("long").alias("n_removed"), F.array_join(gone_here.cast("array<string>"), ",").alias("removed_lines"))
 
 
-def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
     """docs with the repeated lines cut out of their texts; a document left without words, which had some, goes."""
-    gone = repeated_lines(docs, id_col, text_col).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set(F.struct("line_no", "h")).alias("_gone"))
+    gone = repeated_lines(docs, id_col, text_col, short_lines).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set(F.struct("line_no", "h")).alias("_gone"))
     joined = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone_id"), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.array_contains("_gone", F.struct(i.alias("line_no"), F.xxhash64(F.lower(x)).alias("h"))))

@@ -164,6 +164,27 @@ def test_clean_documents(spark):
     assert out == {1: f"{a}\n{b}", 2: f"short\n{c}", 4: None, None: a, 5: "short"}
 
 
+def test_pipeline_removes_short_lines(spark):
+    draw = random.Random(15)
+    a, b = prose(draw, 20), "All rights reserved."
+    rows = [(1, f"{a}\n{b}\n\n}}"), (2, f"{prose(draw, 5)}\n all  RIGHTS\treserved. \n"), (3, b), (4, f"}}\nrights reserved.\n{b} Now"), (5, b + "\n " + b), (None, b), (6, None), (7, " ")]
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, table(spark, rows), "").collect()}
+    assert out == {1: rows[0][1], 2: rows[1][1].split("\n")[0] + "\n", 4: f"rights reserved.\n{b} Now", None: b, 6: None, 7: " "}
+
+
+def test_lines_of_repeated_ids_are_compared_as_their_own(spark):
+    draw = random.Random(16)
+    keep, gone = [], []
+    for k in range(12):
+        first, tail = prose(draw, 40).split(), prose(draw, 16).split()
+        keep += [(k, " ".join(first)), (100 + k, " ".join(first[:24] + tail))]
+        gone.append((100 + k, " ".join(first[:39] + ["changed"])))
+        # what the two do not share is common, so that they meet in what they share
+        keep += [(200 + 10 * k + j, " ".join([prose(draw, 80), *first[20:], prose(draw, 80), *first[20:24], *tail])) for j in range(6)]
+    kept = line_dedup.clean_documents(table(spark, keep + gone)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted(keep)
+
+
 # ---- 3 ----------------------------------------------------------------------
 
 
