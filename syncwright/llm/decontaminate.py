@@ -1,11 +1,13 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
 1.  The word n-grams of all benchmark items go into a Bloom filter of a fixed
-    size.  Each document yields its stretches around n-grams in that filter.
+    size.  Each document yields its stretches around n-grams in that filter, with
+    as many words on both sides as a copy of the longest item can span.
 2.  The corpus counts of those n-grams order each item's n-grams by rarity; the
     rarer part (never none) are its seeds.  They join stretches to items.
-3.  Each joined pair is aligned locally, word by word; the score is the best
-    alignment as a share of a full match of the item.
+3.  The item is aligned locally, word by word, with windows of the stretch around
+    its seeds.  Windows overlap by all that a copy of the item can span, so each
+    copy lies within one; the score is the best alignment as a share of a full match.
 
 Defined cases: null and wordless texts match nothing; an item of fewer words
 than an n-gram is its own single n-gram; items without words match nothing; rows
@@ -15,6 +17,7 @@ empty table on either side gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -54,8 +57,16 @@ def _filter_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int32()), "byte": pa.array(packed[at], pa.int32())})
 
 
-def _stretch_rows(batches: Iterator[pa.RecordBatch], bloom, n: int, margin: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, start, words, at, grams): the words around hits that lie within `margin` words of each other."""
+def span(words, least_score: float):
+    """The most words of a text in an alignment of so many item words that scores least_score of a full match.
+
+    It matches no more than all item words, and each further word of the text costs at least one.
+    """
+    return words + MATCH * (1 - least_score) * words
+
+
+def _stretch_rows(batches: Iterator[pa.RecordBatch], bloom, n: int, reach: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, start, words, at, grams): the words around hits that lie within `reach` words of each other."""
     bits = np.unpackbits(np.frombuffer(bloom.value, np.uint8)).view(bool)
     for batch in batches:
         ids, rows = batch.column(0), []
@@ -65,11 +76,9 @@ def _stretch_rows(batches: Iterator[pa.RecordBatch], bloom, n: int, margin: int)
             grams = ngrams(h, n) if len(h) >= n else shingle_set(h, n)
             hits = np.flatnonzero(bits[(mix64(grams * PROBES[0]) % np.uint64(BITS)).astype(np.int64)])
             hits = hits[bits[_bloom_bits(grams[hits])].all(axis=1)]
-            for part in np.split(hits, np.flatnonzero(np.diff(hits) > margin) + 1) if len(hits) else []:
-                for at in range(0, len(part), 4 * margin):  # a long run of hits makes several stretches
-                    own = part[at : at + 4 * margin]
-                    a, b = max(0, int(own[0]) - margin), min(len(h), int(own[-1]) + n + margin)
-                    rows.append((ids[k].as_py(), a, h[a:b].view(np.int64), own - a, grams[own].view(np.int64)))
+            for part in np.split(hits, np.flatnonzero(np.diff(hits) > reach) + 1) if len(hits) else []:
+                a, b = max(0, int(part[0]) - reach), min(len(h), int(part[-1]) + n + reach)
+                rows.append((ids[k].as_py(), a, h[a:b].view(np.int64), part - a, grams[part].view(np.int64)))
         columns = list(zip(*rows)) or [()] * 5
         types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "start", "words", "at", "grams"])
@@ -101,10 +110,17 @@ def align(items: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def _scored_rows(batches: Iterator[pa.RecordBatch], size: int = 128) -> Iterator[pa.RecordBatch]:
+def _scored_rows(batches: Iterator[pa.RecordBatch], size: int = 128, cells: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """Scores of (doc_id, item_id, item_words, words), by pairs of like length, of about `cells` words in all."""
     for batch in batches:
-        for at in range(0, batch.num_rows, size):
-            part = batch.slice(at, size)
+        lengths = np.array([(len(x.values), len(y.values)) for x, y in zip(batch.column(2), batch.column(3))]).reshape(-1, 2)
+        order = np.lexsort([lengths[:, 0], lengths[:, 1]])
+        at = 0
+        while at < len(order):
+            widest = lengths[order[min(at + size, len(order)) - 1], 1]
+            take = max(1, min(size, cells // max(1, widest)))
+            part = batch.take(pa.array(order[at : at + take]))
+            at += take
             items = [np.asarray(v.values) for v in part.column(2)]
             texts = [np.asarray(v.values) for v in part.column(3)]
             full = np.array([MATCH * len(x) for x in items])
@@ -130,15 +146,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     shared = spark.sparkContext.broadcast(bloom.tobytes())
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    stretch = rows.mapInArrow(partial(_stretch_rows, bloom=shared, n=n, margin=margin), "doc_id long, start long, words array<long>, at array<long>, grams array<long>")
-    stretch = store.save(stretch, "stretches")
-    hit = stretch.select("doc_id", "start", "words", F.explode(F.array_distinct("grams")).alias("gram"))
+    longest = items.agg(F.max(F.size("item_words"))).first()[0] or 0
+    reach = max(margin, math.ceil(span(longest, least_score)))
+    stretch = rows.mapInArrow(partial(_stretch_rows, bloom=shared, n=n, reach=reach), "doc_id long, start long, words array<long>, at array<long>, grams array<long>")
+    stretch = store.save(stretch.withColumn("text_id", F.xxhash64("doc_id", "start", "words")), "stretches")
+    hit = stretch.select("doc_id", "text_id", F.explode(F.arrays_zip("at", "grams")).alias("hit")).select("doc_id", "text_id", "hit.at", F.col("hit.grams").alias("gram"))
     seen = stretch.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
     by_item = Window.partitionBy("item_id")
     rank = gram.join(seen, "gram").withColumn("k", F.row_number().over(by_item.orderBy("df", "gram"))).withColumn("of", F.count("*").over(by_item))
-    seed = rank.where(F.col("k") <= F.ceil(F.col("of") * seed_share)).select("item_id", "gram")
-    pair = hit.join(seed, "gram").groupBy("doc_id", "start", "item_id").agg(F.count("*").alias("seeds"))
-    pair = pair.join(items.select("item_id", "item_words"), "item_id").join(stretch.select("doc_id", "start", "words").dropDuplicates(["doc_id", "start", "words"]), ["doc_id", "start"])
+    own_reach = items.select("item_id", F.greatest(F.lit(margin), F.ceil(span(F.size("item_words"), least_score))).cast("int").alias("reach")).distinct()
+    seed = rank.where(F.col("k") <= F.ceil(F.col("of") * seed_share)).join(own_reach, "item_id").select("item_id", "gram", "reach")
+    # seeds that lie within one tile of twice the reach have one window
+    pair = hit.join(seed, "gram").groupBy("doc_id", "text_id", "item_id", "reach", F.floor(F.col("at") / (2 * F.col("reach"))).alias("tile")).agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    pair = pair.join(items.select("item_id", "item_words"), "item_id").join(stretch.select("doc_id", "text_id", "words").dropDuplicates(["doc_id", "text_id"]), ["doc_id", "text_id"])
+    begin = F.greatest(F.lit(0), F.col("first") - F.col("reach")).cast("int")
+    pair = pair.withColumn("words", F.slice("words", begin + 1, (F.col("last") + n + F.col("reach")).cast("int") - begin))
     scored = pair.select("doc_id", "item_id", "item_words", "words").mapInArrow(_scored_rows, "doc_id long, item_id long, score double")
     return scored.where(F.col("score") >= least_score).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 

@@ -238,6 +238,22 @@ def test_decontamination_finds_copies_and_edits(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in clean} | {1, 2, None}
 
 
+def test_decontamination_finds_long_items(spark):
+    draw = random.Random(17)
+    word = [prose(draw, 1) + str(k) for k in range(4000)]
+    long = lambda n: " ".join(draw.choices(word, k=n))
+    items = [(1, long(1500)), (2, long(600)), (3, prose(draw, 30))]
+    item = items[0][1].split()
+    # copies: as it is, with every tenth word changed, with 300 words put in, and with one n-gram left as it is
+    sparse = [w if k % 4 or 700 <= k < 708 else "changed" for k, w in enumerate(item)]
+    texts = [items[0][1], " ".join("changed" if k % 10 == 0 else w for k, w in enumerate(item)), " ".join([*item[:700], long(300), *item[700:]]), " ".join(sparse), items[1][1]]
+    rows = [(k, f"{long(400)} {t} {long(400)}") for k, t in enumerate(texts)] + [(20, long(3000)), (21, " ".join(item[:600])), (22, " ".join([items[1][1]] * 4))]
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(found) == {(k, 1) for k in range(4)} | {(4, 2), (22, 2)}
+    assert found[0, 1] == found[4, 2] == found[22, 2] == 1.0
+    assert found[1, 1] >= (2 * 1350 - 150) / 3000 - 0.01 and found[2, 1] >= 0.9 and found[3, 1] >= 0.62
+
+
 def smith_waterman(a, b):
     best, last = 0, [0] * (len(b) + 1)
     for x in a:
