@@ -31,7 +31,8 @@ from .store import small_batches
 
 _PART = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|(?P<empty><svg(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+(?<=/)>)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|svg|iframe)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9-]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
     r"|<[!?/a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -72,7 +73,7 @@ def blocks(page: str) -> list[tuple[str, tuple[tuple[str, tuple[str, ...]], ...]
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
-            if m["raw"]:
+            if m["raw"] or m["empty"]:
                 parts.append(" ")
             continue
         if tag in BLOCKS:

@@ -385,6 +385,17 @@ def test_html_on_pages_of_unseen_layout_draws(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in found.values())
 
 
+def test_blocks_after_empty_and_similarly_named_elements():
+    text = lambda page: [t for t, _, _ in html_crf.blocks(page)]
+    assert text('<header><svg class="i"/></header><article><p>Body.</p></article>') == ["Body."]
+    assert text("<p>one<svg/>two</p><SVG viewBox='0 > 1' /><p>three</p>") == ["one two", "three"]
+    for name in ("template-card", "style-guide", "iframe-box", "script-x", "svg-icon"):
+        assert text(f"<{name} a=b><p>In.</p></{name}><p>Out.</p>") == ["In.", "Out."], name
+    for name in ("script", "style", "template", "iframe", "svg"):
+        assert text(f"<p>a</p><{name}>x</{name}><{name} a='/'\n>y</{name} ><p>b</p>") == ["a", "b"], name
+    assert text("<p>a</p><script src=x />hidden</script><p>b</p>") == ["a", "b"]
+
+
 def test_viterbi_is_the_best_labelling():
     model = html_crf.trained()
     page = "<body><nav><a href=x>home</a></nav><article><h1>A title</h1><p>Some long text, with words. And more.</p></article><footer>(c) us</footer></body>"
