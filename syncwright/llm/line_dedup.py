@@ -1,39 +1,42 @@
 """Near-duplicate lines by an exact set-similarity join, in DataFrame operations only.
 
-A line is the set of its five-word shingles (lower-cased words).  Shingles are
-ordered by rarity: by the size class of a hashed corpus count, then by hash.
-Two lines of similarity >= 0.75 share one of their n - ceil(0.75 n) + 1 rarest
-shingles (prefix filter); length and positional filters drop most other pairs;
-the Jaccard similarity of those left is computed on the full sets.  A line is
-removed if an earlier line, by (doc_id, line number), is that similar.
-
-Equal lines are aggregated by content before anything else, so a line that a
-third of all rows repeat is one row from then on.  Shingles of a high hashed
-count are dealt out over salts.  The leaders of a shingle are its earliest and its
-most repeated content; each content is compared with the earlier leader that it
-shares most shingles with, and only what that does not remove goes on to a
-filtered join with all earlier contents under its shingles.
-
-Defined cases: null texts have no lines; a line of fewer than five words has no
-shingle and stays, unless short_lines makes its whole word sequence its one item;
-rows that repeat a doc_id are one document, whose equal lines at one place stay
-together; a null doc_id keeps its lines; clean_documents drops a document of which
-every line with words was removed; an empty table gives an empty result; extra
-columns are carried through unchanged.
+A line is the set of its five-word shingles (lower-cased words); a line of fewer
+words is the set of its whole word sequence.  A line is removed if an earlier line,
+by (doc_id, line number), has a similarity of 0.75 or more.
+
+1.  Equal lines are one content, named by its first place.  Lines that make up over
+    1 / HOT of all are left out of what follows but for their first place.
+2.  Every content names its signature: the hashes of its s smallest items.  Of a set
+    of n items at most n / 4 are missing in a similar one, so of two similar
+    sets the one whose signature ends first finds all but its missing items in the
+    other's signature.
+3.  Items of signatures are counted over all contents and ordered by rarity.
+    Those that no other content has come first and join nothing.  A content probes with
+    its n / 4 + 1 rarest items at most (prefix filter); length and positional
+    filters stand in the join: what precedes the first common item is missing.
+4.  Each content first meets the earliest and the most repeated content that it
+    shares most items with; what those remove meets nobody else.  Jaccard is
+    computed on the full sets of the pairs left, read from the texts.
+
+Defined cases: null texts have no lines; lines without words stay; rows that repeat
+a doc_id are one document, whose lines at one place are not compared with each
+other; a null doc_id keeps its lines; of equal or similar lines (ties) the first by
+(doc_id, line number) stays; texts and lines of any length are read whole;
+clean_documents drops a document of which every line with words was removed;
+an empty table gives an empty result; extra columns are carried through unchanged,
+whatever their names.  Lines and items are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import Store
 
-SPACES = r"[\x20\x09-\x0D]+"
-CELLS = 1 << 16  # hashed counts behind the rarity order; a fixed size, so it travels in the plan
-FILTER_BYTES = 1 << 19  # line filter, six bits a byte; a fixed size too
-HOT_CLASS = 13  # shingles counted 2**13 times more than usual are dealt out over salts
+HOT = 1 << 14  # a line or item with more than a HOT-th of all rows is hot: there are fewer than HOT of them
+CELLS = 1 << 20  # hashed places behind the filter of lines to be read again: a bound for its broadcast
+SAMPLE = 256  # one content of so many is looked at for hot items; how rows are dealt depends on it, not the result
 
 
 def _words(line: Column) -> Column:
@@ -43,169 +46,125 @@ def _words(line: Column) -> Column:
     return F.array_remove(F.split(plain, " ", -1), "")
 
 
-def _lines(docs: DataFrame, least_words: int = 5) -> DataFrame:
-    """(doc_id, line_no, line, h) of the lower-cased lines of least_words words or more."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, line, h) of the lower-cased lines with a word."""
     lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("line_no", "line"))
-    return lines.where(F.col("line").rlike(rf"^{SPACES[:-1]}*+(?:[^\x20\x09-\x0D]++{SPACES}+){{{least_words - 1}}}[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
-
-
-def _shingle_at(i: Column) -> Column:
-    """The hash of five words, in halves: of two pairs, then of the fifth word."""
-    w = [F.xxhash64(F.get("words", i + j)) for j in range(5)]
-    return F.xxhash64(F.xxhash64(F.xxhash64(w[0], w[1]), F.xxhash64(w[2], w[3])), w[4])
+    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
 
 
 def _with_items(rows: DataFrame, *keep: str) -> DataFrame:
-    """(keep, items) of rows (keep, words); items: their distinct _shingle_at, or one for all of fewer than five words."""
+    """(keep, items) of rows (keep, line); items: the sorted hashes of its distinct shingles, made of pairs of pairs and a fifth word."""
     n, both = F.size("hashed"), lambda a, b: F.xxhash64(a, b)
-    rows = rows.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("hashed"))
+    rows = rows.select(*keep, F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)).alias("hashed"))
     rows = rows.select(*keep, "hashed", F.zip_with("hashed", F.slice("hashed", F.lit(2), n), both).alias("pair"))
     four = F.zip_with("pair", F.slice("pair", F.lit(3), n), both)
-    long = F.array_distinct(F.slice(F.zip_with(four, F.slice("hashed", F.lit(5), n), both), F.lit(1), F.greatest(n - 4, F.lit(0))))
+    long = F.sort_array(F.array_distinct(F.slice(F.zip_with(four, F.slice("hashed", F.lit(5), n), both), F.lit(1), F.greatest(n - 4, F.lit(0)))))
     return rows.select(*keep, F.when(n >= 5, long).otherwise(F.array(F.xxhash64(F.lit("short"), "hashed"))).alias("items"))
 
 
-def _byte(table: bytes, at: Column) -> Column:
-    """Byte `at` of a fixed table of bytes under 128."""
-    return F.ascii(F.substring(F.lit(bytearray(table)), at + 1, F.lit(1)).cast("string"))
-
-
-def _rarity_classes(lines: DataFrame) -> bytes:
-    """floor(log2) of how far the count of each hashed shingle exceeds the usual cell, over all lines."""
-    shingle = lines.select(_words(F.col("line")).alias("words")).select(F.posexplode("words").alias("i", "w"), "words").where(F.col("i") <= F.size("words") - 5)
-    counted = shingle.groupBy(F.pmod(_shingle_at(F.col("i")), F.lit(CELLS)).cast("int").alias("cell")).count()
-    counts = np.zeros(CELLS, np.int64)
-    for cell, n in counted.toLocalIterator():  # CELLS rows at most
-        counts[cell] = n
-    excess = np.maximum(1, counts - 2 * int(np.median(counts)))
-    return np.log2(excess).astype(np.uint8).tobytes()
-
+def _missing(n: Column, m: Column) -> Column:
+    """How many of n items a similar set of m may lack: the overlap is 3 (n + m) / 7 at least."""
+    return n - F.floor((3 * (n + m) + 6) / 7)
 
-def _least_overlap(n: Column, m: Column) -> Column:
-    """The least overlap of sets of n and m items with a similarity of 0.75: 3 (n + m) / 7, rounded up."""
-    return F.floor((3 * (n + m) + 6) / 7)
 
-
-def _may_match(n: Column, i: Column, m: Column, j: Column) -> Column:
-    """Length and positional filters of two ordered sets that meet in their items i and j."""
-    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (1 + F.least(n - i, m - j) - 1 >= _least_overlap(n, m))
-
-
-def _enough_met(n: Column, m: Column, met: Column) -> Column:
-    """Whether two sets that share `met` items of their prefixes may be that similar.
-
-    What a set shares beyond its prefix is no more than what it holds there, and
-    the set whose prefix ends first in the order shares all before that end within
-    both prefixes.
-    """
-    return met + F.ceil(0.75 * F.greatest(n, m)) - 1 >= _least_overlap(n, m)
-
-
-def _line_filter(ids: DataFrame) -> bytes:
-    """A fixed-size hashed set of (doc_id, line_no)."""
-    cell = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(6 * FILTER_BYTES))
-    rows = ids.groupBy((cell / 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(pmod(pmod(xxhash64(doc_id, line_no), %d), 6) as int))" % (6 * FILTER_BYTES))).alias("bits"))
-    table = np.zeros(FILTER_BYTES, np.uint8)
-    for at, bits in rows.toLocalIterator():  # FILTER_BYTES rows at most
-        table[at] = bits
-    return table.tobytes()
-
-
-def _in_filter(table: bytes) -> Column:
-    cell = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(6 * FILTER_BYTES))
-    bits = F.get(F.array(*[F.lit(1 << k) for k in range(6)]), F.pmod(cell, F.lit(6)).cast("int"))
-    return _byte(table, (cell / 6).cast("int")).bitwiseAND(bits) != 0
+def _signature_size(n: Column) -> Column:
+    """A quarter more than the n / 4 + 1 items of which a similar set has one."""
+    most = F.floor(n / 4) + 1
+    return F.least(n, most + F.ceil(most / 4)).cast("int")
 
 
 def _similar(pairs: DataFrame, lines: DataFrame, first: DataFrame, store: Store, name: str) -> DataFrame:
     """The contents h of the pairs (h, earlier) whose full sets have a similarity of 0.75.
 
     Only lines of contents in a pair are read again, each from its first place
-    (where another text of a repeated doc_id may have another line); their sets are
-    made once and written, so that no later filter repeats that work.
+    (where another text of a repeated doc_id may have another line).
     """
     wanted = pairs.select("h").union(pairs.select("earlier")).distinct()
-    spots = first.join(wanted, "h", "left_semi").select("h", "at.doc_id", "at.line_no")
-    near = lines.where(_in_filter(_line_filter(spots)))
-    text = near.join(spots, ["doc_id", "line_no", "h"]).select("h", _words(F.col("line")).alias("words"))
-    sets = store.save(_with_items(text, "h"), name)
+    spots = store.save(first.join(wanted, "h", "left_semi").select("h", "doc_id", "line_no"), f"{name}-spots")
+    cell = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(CELLS))
+    near = lines.withColumn("cell", cell).join(F.broadcast(spots.select(cell.alias("cell")).distinct()), "cell", "left_semi")
+    sets = store.save(_with_items(near.join(spots, ["doc_id", "line_no", "h"]).select("h", "line").dropDuplicates(["h"]), "h"), f"{name}-sets")
     both = pairs.join(sets.withColumnRenamed("items", "x"), "h").join(sets.select(F.col("h").alias("earlier"), F.col("items").alias("y")), "earlier")
     # 4 both >= 3 (n + m - both)
     return both.where(7 * F.size(F.array_intersect("x", "y")) >= 3 * (F.size("x") + F.size("y"))).select("h").distinct()
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
-    """(doc_id, line_no, h) of every line that an earlier line equals or nearly equals; h: xxhash64 of it, lower-cased.
-
-    short_lines: lines of fewer than five words too, which are alike only if their words are the same.
-    """
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, line_no, h) of every line that an earlier line equals or nearly equals; h: xxhash64 of it, lower-cased."""
     store = Store(docs.sparkSession, "line-dedup")
-    lines = _lines(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), 1 if short_lines else 5)
-    classes = _rarity_classes(lines)
-
-    # one row for each content, with its rarest shingles
-    ordered = _with_items(lines.select("h", _words(F.col("line")).alias("words")), "h")
-    keyed = ordered.select("h", F.size("items").alias("n"), F.sort_array(F.transform("items", lambda x: F.shiftleft(_byte(classes, F.pmod(x, F.lit(CELLS)).cast("int")).cast("long"), 57) + F.shiftrightunsigned(x, 7))).alias("keys"))
-    prefix = F.slice("keys", 1, F.col("n") - F.ceil(F.col("n") * 0.75).cast("int") + 1)
-    content = keyed.select("h", "n", prefix.alias("prefix")).groupBy("h").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    posting = content.select("h", "n", F.posexplode("prefix").alias("i", "token"))
-    salts = F.pow(F.lit(2), F.greatest(F.lit(0), F.shiftright("token", 57) - HOT_CLASS + 1)).cast("long")
-    # narrow rows: the group, the content, n and i in one, and the token of dealt-out groups only
-    posting = posting.select(
-        F.when(salts > 1, F.xxhash64("token", F.pmod("h", salts))).otherwise(F.col("token")).alias("g"),
-        "h",
-        (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("ni"),
-        F.when(salts > 1, F.col("token")).alias("hot"),
-    )
-    group = Window.partitionBy("g")
-    posting = posting.withColumn("lo", F.min("h").over(group)).withColumn("hi", F.max("h").over(group))
-    shared = posting.where("lo <> hi or hot is not null")
-    shared = shared.select(F.coalesce("hot", "g").alias("token"), "h", F.shiftright("ni", 32).cast("int").alias("n"), F.col("ni").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("i"))
-    place = store.save(lines.select("doc_id", "line_no", "h"), "places")
+    lines = _lines(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+
+    # contents: their first places and how often they occur; the signatures of a few show which items are hot
+    sampled = F.when(F.pmod("h", F.lit(SAMPLE)) == 0, F.col("line"))
+    place = store.save(lines.select("doc_id", "line_no", "h", sampled.alias("line")), "places")
     first = place.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("copies"))
-    first = store.save(first.select("h", "at", "copies"), "first")
-    shared = store.save(shared.join(first, "h").withColumn("salt", F.pmod("h", salts)), "shared")
-
-    # each content first meets the earlier leader that it shares most shingles with
-    me = F.struct("h", "n", "i", "at")
-    leaders = shared.groupBy("token").agg(F.min_by(me, "at").alias("early"), F.max_by(me, F.struct("copies", "h")).alias("common"))
-    led = shared.join(leaders, "token").select("h", "n", "i", "at", F.explode(F.array("early", "common")).alias("with"))
-    led = led.where(F.col("with.at") < F.col("at")).where(_may_match(F.col("n"), F.col("i"), F.col("with.n"), F.col("with.i")))
-    led = led.groupBy("h", F.col("with.h").alias("earlier")).agg(F.count("*").alias("met"))
-    tried = store.save(led.groupBy("h").agg(F.max_by("earlier", F.struct("met", "earlier")).alias("earlier")), "tried")
-    later = store.save(_similar(tried, lines, first, store, "tried-lines"), "later")
-
-    # what no leader removes meets the rest of its groups; dealt-out groups one salt at a time
-    rest = shared.join(later, "h", "left_anti")
-    rest = rest.select("token", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), "h", "n", "i", "at")
-    other = shared.select("token", "salt", F.col("h").alias("earlier"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("at").alias("at2"))
-    met = rest.join(other, ["token", "salt"]).where("at2 < at").where(4 * F.least("n", "n2") >= 3 * F.greatest("n", "n2"))
-    met = met.groupBy("h", "earlier", "n", "n2").agg(F.count("*").alias("met"), F.max(_may_match(F.col("n"), F.col("i"), F.col("n2"), F.col("i2"))).alias("may"))
-    met = met.where("may").where(_enough_met(F.col("n"), F.col("n2"), F.col("met"))).select("h", "earlier")
-    rest = store.save(met.join(tried, ["h", "earlier"], "left_anti"), "rest")
-    later = later.union(_similar(rest, lines, first, store, "rest-lines")).distinct()
-
-    near_copies = first.join(later, "h", "left_semi").select("at.doc_id", "at.line_no", "h")
-    repeated = first.where("copies > 1").select("h", "at")
-    equal = place.join(repeated, "h").where("doc_id <> at.doc_id or line_no <> at.line_no")
+    first = store.save(first.select("h", "at.doc_id", "at.line_no", "copies"), "first")
+    total = place.count()
+    hot_line = first.where(F.col("copies") > F.greatest(F.lit(64), F.lit(total // HOT))).select("h", F.col("doc_id").alias("first_id"), F.col("line_no").alias("first_no"))
+
+    def signed(rows: DataFrame) -> DataFrame:
+        rows = _with_items(rows, "h").select("h", F.size("items").alias("n"), "items")
+        return rows.select("h", "n", F.explode(F.slice("items", F.lit(1), _signature_size(F.col("n")))).alias("item"))
+
+    seen = signed(place.where("line is not null").dropDuplicates(["h"])).groupBy("item").count()
+    seen = store.save(seen.where("count >= 16"), "sampled")
+    hot_item = seen.where(F.col("count") > F.lit(total // SAMPLE // HOT)).orderBy(F.desc("count"), "item").limit(HOT).select("item", F.lit(True).alias("hot"))
+
+    once = lines.join(F.broadcast(hot_line), "h", "left").where("first_id is null or (doc_id = first_id and line_no = first_no)")
+    posting = signed(once.select("h", "line")).join(F.broadcast(hot_item), "item", "left")
+    # hot items are dealt out: that others have them is known
+    group = Window.partitionBy(F.when(F.col("hot"), F.xxhash64("item", F.pmod("h", F.lit(1024)))).otherwise(F.col("item")))
+    posting = posting.select("item", "h", "n", "hot", F.min("h").over(group).alias("lo"), F.max("h").over(group).alias("hi"), F.count("*").over(group).alias("df"))
+    shared = posting.where("lo <> hi or hot").select("item", "h", "n", F.when(F.col("hot"), F.lit(1 << 40)).otherwise(F.col("df")).alias("df")).distinct()
+    shared = store.save(shared.join(first, "h").select("item", "df", "h", "n", F.struct("doc_id", "line_no").alias("at"), "copies"), "shared")
+
+    # items in order of rarity, after those that no other content has
+    ordered = shared.groupBy("h").agg(F.first("n").alias("n"), F.first("at").alias("at"), F.sort_array(F.collect_list(F.struct("df", "item"))).alias("order"))
+    alone = _signature_size(F.col("n")) - F.size("order")
+    ordered = ordered.withColumn("alone", alone).where(F.col("alone") <= F.floor(F.col("n") / 4))
+    probe = ordered.select("h", "n", "at", "alone", F.posexplode("order").alias("k", "o")).select("h", "n", "at", (F.col("alone") + F.col("k")).alias("i"), "o.item")
+    probe = store.save(probe.where(F.col("i") <= F.floor(F.col("n") / 4)), "probes")
+    close = (4 * F.least("n", "n2") >= 3 * F.greatest("n", "n2")) & (F.col("i") <= _missing(F.col("n"), F.col("n2")))
+
+    # the earliest and the most repeated content of each item
+    who = F.struct(F.col("h").alias("h2"), F.col("n").alias("n2"), F.col("at").alias("at2"))
+    leaders = shared.groupBy("item").agg(F.min_by(who, "at").alias("early"), F.max_by(who, F.struct("copies", "h")).alias("common"))
+    led = probe.join(leaders, "item").select("h", "n", "i", "at", F.posexplode(F.array("early", "common")).alias("kind", "with"))
+    led = led.select("h", "n", "i", "at", "kind", "with.*").where("at2 < at").where(close)
+    met = led.groupBy("h", "h2", "kind").agg(F.count("*").alias("met"))
+    tried = met.groupBy("h", "kind").agg(F.max_by("h2", F.struct("met", "h2")).alias("earlier")).select("h", "earlier").distinct()
+    tried = store.save(tried, "tried")
+    later = store.save(_similar(tried, lines, first, store, "tried"), "later")
+
+    # what no leader removes meets all that its items allow, as the one that probes and as the one that is found
+    index = shared.select("item", F.col("h").alias("h2"), F.col("n").alias("n2"), F.col("at").alias("at2"))
+    left = probe.join(later, "h", "left_anti").join(index, "item").where("at2 < at").where(close).select("h", F.col("h2").alias("earlier"))
+    found = index.join(later.withColumnRenamed("h", "h2"), "h2", "left_anti").join(probe, "item").where("at < at2").where(close).select(F.col("h2").alias("h"), F.col("h").alias("earlier"))
+    rest = store.save(left.union(found).distinct().join(tried, ["h", "earlier"], "left_anti"), "rest")
+    later = later.union(_similar(rest, lines, first, store, "rest")).distinct()
+
+    near_copies = first.join(later, "h", "left_semi").select("doc_id", "line_no", "h")
+    repeated = first.where("copies > 1").select("h", F.col("doc_id").alias("first_id"), F.col("line_no").alias("first_no"))
+    equal = place.select("doc_id", "line_no", "h").join(repeated, "h").where("doc_id <> first_id or line_no <> first_no")
     return near_copies.union(equal.select("doc_id", "line_no", "h"))
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, n_removed, removed_lines) for every row of docs; removed_lines: numbers from 0, comma-joined."""
-    gone = repeated_lines(docs, id_col, text_col, short_lines).select("doc_id", "line_no").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
+    gone = repeated_lines(docs, id_col, text_col).select("doc_id", "line_no").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
     n = F.coalesce(F.size(F.split(F.col(text_col), "\n", -1)), F.lit(0))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long").alias("n_lines"))
     gone_here = F.coalesce("gone", F.array().cast("array<int>"))
     return rows.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.size(gone_here).cast("long").alias("n_removed"), F.array_join(gone_here.cast("array<string>"), ",").alias("removed_lines"))
 
 
-def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
+def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated lines cut out of their texts; a document left without words, which had some, goes."""
-    gone = repeated_lines(docs, id_col, text_col, short_lines).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set(F.struct("line_no", "h")).alias("_gone"))
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone_id"), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("_gone", F.struct(i.alias("line_no"), F.xxhash64(F.lower(x)).alias("h"))))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    joined = joined.withColumn("_text", text).where(F.col("_gone").isNull() | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
-    return joined.select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    gone = repeated_lines(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "h")).alias("gone"))
+    # the caller's columns stand in one struct, so that no name of theirs meets one of ours
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    joined = rows.join(gone, "doc_id", "left")
+    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", F.struct(i.alias("line_no"), F.xxhash64(F.lower(x)).alias("h"))))
+    joined = joined.select("row", "gone", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))
+    joined = joined.where(F.col("gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return joined.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

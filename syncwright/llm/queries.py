@@ -78,7 +78,8 @@ OP10_SQL = r"""
 with raw as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines, text is null as missing from documents),
 line as (select doc_id, unnest(range(len(lines))) as line_no, unnest(lines) as line from raw),
 words as (select doc_id, line_no, list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from line),
-sets as (select doc_id, line_no, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as s from words where len(w) >= 5),
+sets as (select doc_id, line_no, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                                      else ['short ' || array_to_string(w, ' ')] end as s from words where len(w) > 0),
 content as (select list_sort(s) as s, min({'d': doc_id, 'l': line_no}) as first, row_number() over () as c from sets group by 1),
 items as (select c, first, len(s) as n, unnest(s) as item from content),
 near as (select b.c from items a join items b on a.item = b.item and a.first < b.first

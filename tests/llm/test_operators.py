@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from syncwright.llm import decontaminate, html_crf, licenses, line_dedup, near_dedup, packing, pii_crf, quality_classifier, quality_rules, toxicity
@@ -130,9 +131,8 @@ def removed_lines(rows):
         if i is None or t is None:
             continue
         for k, line in enumerate(t.split("\n")):
-            w = words(line.lower())
-            if len(w) >= 5:
-                by_place[i, k].append(frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)))
+            if s := frozenset(shingles(line)):
+                by_place[i, k].append(s)
     places = sorted((p, s) for p, sets in by_place.items() for s in sets)
     gone = defaultdict(set)
     for n, (p, s) in enumerate(places):
@@ -160,8 +160,36 @@ def test_clean_documents(spark):
     draw = random.Random(3)
     a, b, c = (prose(draw, 20) for _ in range(3))
     rows = [(1, f"{a}\n{b}"), (2, f"{a}\nshort\n{c}"), (3, a), (4, None), (None, a), (5, "short")]
-    out = {r["doc_id"]: r["text"] for r in line_dedup.clean_documents(table(spark, rows)).collect()}
-    assert out == {1: f"{a}\n{b}", 2: f"short\n{c}", 4: None, None: a, 5: "short"}
+    clash = table(spark, rows).withColumns({"gone": F.lit(1), "row": F.lit(2), "_text": F.lit(3), "first_id": F.lit(4), "item": F.lit(5)})
+    found = line_dedup.clean_documents(clash)
+    assert found.columns == clash.columns
+    assert all((r["gone"], r["row"], r["_text"], r["h"]) == (1, 2, 3, 7) for r in found.collect())
+    assert {r["doc_id"]: r["text"] for r in found.collect()} == {1: f"{a}\n{b}", 2: f"short\n{c}", 4: None, None: a}
+
+
+def test_line_report_short_lines(spark):
+    rows = [(k, f"Share this page\n{prose(random.Random(k), 12)}\nSubscribe  now\n\n}}\n" + ("Subscribe now" if k == 30 else "x\tY")) for k in range(50)]
+    gone = removed_lines(rows)
+    assert sum(map(len, gone.values())) > 150
+    assert got(line_dedup.line_report(table(spark, rows)), "doc_id", "removed_lines") == sorted(((i, ",".join(map(str, sorted(gone[i])))) for i, _ in rows), key=repr)
+
+
+def test_line_report_of_one_hot_line_and_item(spark, monkeypatch):
+    # a line and a passage in most rows, with bounds so low that both are dealt out
+    monkeypatch.setattr(line_dedup, "HOT", 8)
+    monkeypatch.setattr(line_dedup, "SAMPLE", 2)
+    draw = random.Random(21)
+    line, passage = prose(draw, 30), prose(draw, 24)
+    rows = [(k, f"{line}\n{prose(draw, 60)} {edited(draw, passage, 0.05)}\n{edited(draw, line, 0.04)}\n{prose(draw, 3)} {passage}") for k in range(150)]
+    gone = removed_lines(rows)
+    assert got(line_dedup.line_report(table(spark, rows)), "doc_id", "removed_lines") == sorted(((i, ",".join(map(str, sorted(gone[i])))) for i, _ in rows), key=repr)
+
+
+def test_line_report_of_a_very_long_line(spark):
+    draw = random.Random(22)
+    long = prose(draw, 60_000)
+    rows = [(1, long), (2, edited(draw, long, 0.01)), (3, prose(draw, 60_000)), (4, "y" * 300_000 + " z"), (5, "y" * 300_000 + " z")]
+    assert got(line_dedup.line_report(table(spark, rows)), "doc_id", "removed_lines") == [(1, ""), (2, "0"), (3, ""), (4, ""), (5, "0")]
 
 
 def test_pipeline_removes_short_lines(spark):
@@ -430,8 +458,6 @@ def test_toxicity_without_labels(spark):
 
 
 def test_licences(spark):
-    from pyspark.sql import functions as F
-
     draw = random.Random(12)
     rows = [
         (1, "Released under the MIT License.", "a/LICENSE"),
@@ -467,8 +493,6 @@ def test_empty_tables(spark):
     docs, marks = table(spark, []), labels(spark, [], lambda i: 1).limit(0)
     none = spark.createDataFrame([], "item_id long, text string")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
-    from pyspark.sql import functions as F
-
     for df in (
         html_crf.extracted(pages), near_dedup.near_duplicates(docs), quality_rules.judged(docs, marks), decontaminate.contaminated(docs, none), pii_crf.personal_data(docs), toxicity.toxicity(docs, marks),
         licenses.licences(docs, F.col("source")), quality_classifier.quality_scores(docs, marks), packing.packed(docs), line_dedup.line_report(docs), line_dedup.clean_documents(docs), near_dedup.one_of_each_group(docs),
