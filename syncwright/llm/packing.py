@@ -2,13 +2,13 @@
 
 Documents become token ids, then pieces of at most `capacity` ids.  Every task
 packs its pieces best-fit decreasing, emits full and nearly full sequences, and
-hands its underfull ones on as items; each round deals those to fewer tasks, of
-about items_per_task items each, until one task is left or nothing merges any
-more.  A sequence carries its pieces along (no more than `capacity`), so no round
+hands its underfull ones on as items; each round deals those to fewer tasks, bounded
+in items and pieces, until one task is left or nothing merges any more.  A sequence carries its pieces along (no more than `capacity`), so no round
 joins anything back.
 
 Defined cases: a null text is empty, and an empty document is the single id 0;
-texts of any length are cut; rows that repeat a doc_id are packed each; a null
+texts of any length are cut; of items of one size (ties) the smaller (doc_id, piece)
+is packed first; rows that repeat a doc_id are packed each; a null
 doc_id is packed as such; an empty table gives an empty result; extra columns are
 ignored.
 """
@@ -34,17 +34,29 @@ _PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str):
-    """The byte-level BPE of `vocabulary` in the public_tokenizers package; the strings of special tokens are plain text.
+    """Text -> the ids that the tokenizers library gives for `vocabulary`.json, add_special_tokens=False.
 
-    The rank file holds the same vocabulary as the json file of that name and
-    gives the same ids several times faster.
+    The rank file of that name holds the same vocabulary and gives the same ids several
+    times faster; the strings of added tokens get the json's ids.  A text that its
+    pattern cannot split (over some 100,000 blanks in a row) goes to tokenizers itself.
     """
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
+    slow = Tokenizer.from_file(public_tokenizers.path(vocabulary + ".json"))
+    added = {token.content: number for number, token in slow.get_added_tokens_decoder().items()}
     with open(public_tokenizers.path(vocabulary + ".tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+
+    def encode(text: str) -> list[int]:
+        try:
+            return fast.encode(text, allowed_special="all")
+        except ValueError:
+            return slow.encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -54,7 +66,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _piece_rows(batches: Iterator[pa.RecordBatch], vocabulary: str, capacity: int) -> Iterator[pa.RecordBatch]:
-    encode = encoder(vocabulary).encode_ordinary
+    encode = encoder(vocabulary)
     for batch in batches:
         found = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -120,11 +132,12 @@ def _packed_rows(batches: Iterator[pa.RecordBatch], capacity: int, enough: int,
         yield out.slice(at, 10_000)
 
 
-def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k", capacity: int = 2048, slack: int = 8, items_per_task: int = 200_000) -> DataFrame:
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k", capacity: int = 2048, slack: int = 8, items_per_task: int = 200_000, pieces_per_task: int = 1_000_000) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece.
 
     A document's ids end with id 0.  Sequences with at most `slack` free places
-    are final in the round that fills them.
+    are final in the round that fills them.  A task holds about items_per_task items
+    and pieces_per_task pieces, whatever the number of pieces that an item has gathered.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -135,8 +148,8 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     item = pieces.select(F.col("length").alias("fill"), F.array(F.struct(*pieces.columns)).alias("pieces"))
     done, k, before = [], 0, None
     while True:
-        waiting = item.count()
-        tasks = max(1, -(-waiting // items_per_task))
+        waiting, parts = item.agg(F.count("*"), F.coalesce(F.sum(F.size("pieces")), F.lit(0))).first()
+        tasks = max(1, -(-waiting // items_per_task), -(-parts // pieces_per_task))
         key = F.xxhash64("pieces", F.lit(k))
         result = item.repartition(tasks, key).mapInArrow(partial(_packed_rows, capacity=capacity, enough=capacity - slack, last=k), f"fill long, pieces array<struct<{PIECE.replace(' ', ':')}>>, done boolean, sequence_id long".replace(",:", ","))
         result = store.save(result, f"round-{k}")
