@@ -37,6 +37,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths: a document stands at source/lang/doc_id, so a source's language is one directory."""
     docs = _table(spark, sf_dir, "documents")
     return licenses.licences(docs, F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
 
@@ -92,4 +93,38 @@ select r.doc_id, cast(case when r.missing then 0 else len(r.lines) end as bigint
 from raw r left join listed using (doc_id)
 """
 
-ORACLE_SQL = {"op2_near_dedup": OP2_SQL, "op10_line_dedup": OP10_SQL}
+_TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}0-9]+'), lambda w: w <> '')"
+_TEMPLATES = ", ".join(f"({k}, '{licence}', '{kind}', '{w}', {n})" for k, licence, kind, w, n in licenses.ROWS)
+
+OP7_SQL = rf"""
+with recursive template(template, licence, kind, word, n) as (values {_TEMPLATES}),
+docs as (select doc_id, source || '/' || lang || '/' || doc_id as path, source || '/' || lang as dir, text from documents),
+texts as (select doc_id, regexp_replace(text, '^[^\p{{L}}0-9]+', '') as text from docs where text is not null),
+known as (select distinct word from template),
+seen as (select word, count(*) as df from (select distinct doc_id, unnest({_TOKENS.format("text")}) as word from texts) join known using (word) group by 1),
+total as (select count(*) as texts from texts),
+idf as (select word, ln((1 + total.texts) / (1 + coalesce(df, 0))) + 1 as idf from known left join seen using (word), total),
+weighed as (select template, licence, kind, word, t.n * idf as weight from template t join idf using (word)),
+size as (select template, sqrt(sum(weight * weight)) as size from weighed group by 1),
+parts as (select doc_id, 'text' as level, 0 as k, text as part from texts
+          union all select doc_id, 'paragraph', unnest(range(1, 1 + len(regexp_split_to_array(text, '\n[^\p{{L}}0-9]*\n')))), unnest(regexp_split_to_array(text, '\n[^\p{{L}}0-9]*\n')) from texts
+          union all select doc_id, 'line', unnest(range(len(string_split(text, chr(10))))), unnest(string_split(text, chr(10))) from texts),
+words as (select doc_id, level, k, {_TOKENS.format("part")} as w from parts),
+token as (select doc_id, level, k, len(w) as n, unnest(w) as word from words),
+counted as (select doc_id, level, k, n, word, count(*) as tf from token where word not in ({", ".join(f"'{w}'" for w in licenses.STOP)}) group by all),
+own as (select doc_id, level, k, n, word, tf * coalesce(idf, ln(1 + total.texts) + 1) as own_weight from counted left join idf using (word), total),
+own_size as (select doc_id, level, k, sqrt(sum(own_weight * own_weight)) as own from own group by all),
+dot as (select doc_id, level, k, n, template, licence, kind, sum(own_weight * weight) as dot from own join weighed using (word) group by all having count(*) >= 2),
+match as (select doc_id, level, k, n, licence, kind, round(dot / size / own, 6) as cosine from dot join size using (template) join own_size using (doc_id, level, k) where round(dot / size / own, 6) >= 0.7),
+best_part as (select doc_id, level, k, n, min({{'less': -cosine, 'licence': licence, 'kind': kind}}) as best from match group by all),
+held as (select doc_id, min(best) as best, bool_or(level = 'text' or (level = 'paragraph' and k = 1 and best.kind = 'heading')) as whole,
+                greatest(sum(case when level = 'paragraph' then n else 0 end), sum(case when level = 'line' then n else 0 end)) as covered from best_part group by 1),
+placed as (select docs.doc_id, path, dir, best, coalesce(whole or 2 * covered >= len({_TOKENS.format("text")}), false) as is_file from docs left join held using (doc_id)),
+given as (select dir as up, min({{'best': best, 'doc_id': doc_id}}).best.licence as handed from placed where is_file group by 1),
+nearest as (select dir, max_by(handed, length(up)) as handed from (select distinct dir from placed) join given on dir = up or starts_with(dir, up || '/') group by 1)
+select doc_id, path, coalesce(best.licence, handed) as licence, -best.less as cosine,
+       case when best is not null then case when is_file then 'file' else 'own' end when handed is not null then 'inherited' end as origin
+from placed left join nearest using (dir)
+"""
+
+ORACLE_SQL = {"op2_near_dedup": OP2_SQL, "op7_license_scan": OP7_SQL, "op10_line_dedup": OP10_SQL}

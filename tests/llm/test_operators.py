@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from syncwright.llm import decontaminate, html_crf, licenses, line_dedup, near_dedup, packing, pii_crf, quality_classifier, quality_rules, toxicity
+from syncwright.llm import queries as llm_queries
 
 SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, token string, h long, g string"
@@ -307,7 +308,6 @@ def reference_pieces(rows, capacity=2048):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     out = []
     for i, text in rows:
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
@@ -319,10 +319,23 @@ def reference_pieces(rows, capacity=2048):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("items_per_task", [200_000, 10])
-def test_packing(spark, items_per_task):
-    rows = corpus() + [(400, "<|endoftext|> plain"), (401, prose(random.Random(8), 9000))]
-    found = packing.packed(table(spark, rows), items_per_task=items_per_task)
+def test_ids_are_those_of_tokenizers():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder("byte_bpe_50k")
+    draw = random.Random(23)
+    odd = [chr(c) for c in (*range(0x20, 0x3000, 7), 0x85, 0xA0, 0x200B, 0x1680, 0x2028, 0xFEFF, 0x1F600, 0x10FFFF)] + [" ", "  ", "\n", "\t", "'s", "'ll", "<|endoftext|>", "<|", "|>", "a", "1"]
+    for _ in range(3000):
+        text = "".join(draw.choices(odd, k=draw.randint(1, 12)))
+        assert encode(text) == t.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize(("items_per_task", "pieces_per_task"), [(200_000, 1_000_000), (10, 1_000_000), (200_000, 40)])
+def test_packing(spark, items_per_task, pieces_per_task):
+    rows = corpus() + [(400, "<|endoftext|> plain"), (401, prose(random.Random(8), 9000)), (402, "hello <|endoftext|> world"), (403, "in<|endoftext|>word<|endoftext|><|endoftext|>"), (404, "<|endoftext| <|endoftext|>>")]
+    rows += [(405, " " * 400_000 + "a\n" + "\n" * 300_000), (406, "x" * 200_000)]
+    found = packing.packed(table(spark, rows), items_per_task=items_per_task, pieces_per_task=pieces_per_task)
     assert got(found, "doc_id", "piece", "start", "length", "ids_crc32") == reference_pieces(rows)
     bins = defaultdict(list)
     for r in found.collect():
@@ -475,6 +488,36 @@ def test_licences(spark):
     assert found == {1: ("MIT", "file"), 2: ("MIT", "inherited"), 3: ("Apache-2.0", "own"), 4: (None, None), 5: (None, None), None: (None, None), 6: ("MIT", "inherited"), 7: ("Apache-2.0", "file"), 8: ("Apache-2.0", "inherited")}
 
 
+def licence_rows():
+    """(doc_id, text) of whole licence files, headers, notices and texts that only look alike."""
+    draw = random.Random(31)
+    t = {(licence, kind): text for licence, kind, text in licenses.TEMPLATES}
+    wrap = lambda text, mark: "\n".join(mark + " ".join(text.split()[k : k + 9]) for k in range(0, len(text.split()), 9))
+    mit = f"MIT License\n\nCopyright (c) 2020 Some One\n\n{wrap(t['MIT', 'file'], '')}\n"
+    bsd = f"BSD 3-Clause License\n\nCopyright (c) 2020, Some One\nAll rights reserved.\n\n{wrap(t['BSD-3-Clause', 'file'], '')}\n"
+    apache = "\n                 Apache License\n           Version 2.0, January 2004\n        http://www.apache.org/licenses/\n\n" + "\n\n".join(prose(draw, 80) for _ in range(5))
+    header = f"#!/bin/sh\n#\n{wrap(t['GPL-3.0', 'header'], '# ')}\n#\n" + prose(draw, 300)
+    two = "Released under the MIT License.\nReleased under the ISC License.\n" + prose(draw, 40)
+    return [(1, mit), (2, bsd), (3, apache), (4, header), (5, two), (6, "the licence of the house and the software"), (7, None), (8, ""), (9, "of the\n\n\n--\n\n"), (10, prose(draw, 50) + " licensed"), (11, "#\n" * 3000 + "Released under the MIT License."), (12, prose(draw, 30_000) + "\n\n" + mit), (13, mit), (14, mit.upper())]
+
+
+def test_whole_licences_headers_and_ties(spark):
+    found = {r["doc_id"]: (r["licence"], r["origin"]) for r in licenses.licences(table(spark, licence_rows()), F.concat(F.lit("d"), F.col("doc_id"), F.lit("/x"))).collect()}
+    assert found == {1: ("MIT", "file"), 2: ("BSD-3-Clause", "file"), 3: ("Apache-2.0", "file"), 4: ("GPL-3.0", "own"), 5: ("ISC", "own"), 6: (None, None), 7: (None, None), 8: (None, None), 9: (None, None), 10: (None, None), 11: ("MIT", "file"), 12: ("MIT", "own"), 13: ("MIT", "file"), 14: ("MIT", "file")}
+
+
+def test_licences_equal_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, t) for i, t in corpus() if i not in (None, 10, 11)] + [(1000 + i, t) for i, t in licence_rows()]
+    docs = table(spark, rows).withColumn("source", F.when(F.col("doc_id") % 3 == 0, "s/a").otherwise("s"))
+    docs.select("doc_id", "text", "lang", "source").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(db.execute(f"select doc_id, path, licence, cosine, origin from ({llm_queries.OP7_SQL})").fetchall(), key=repr)
+    assert got(llm_queries.op7_license_scan(spark, str(tmp_path)), "doc_id", "path", "licence", "cosine", "origin") == want
+
+
 def test_quality_classifier_held_out_accuracy(spark):
     draw = random.Random(13)
     rows = [(k, prose(draw, 60) if k % 2 else " ".join("".join(draw.choices("zqxjwv", k=4)) for _ in range(60))) for k in range(400)] + [(None, "x"), (900, None), (901, "")]
