@@ -464,6 +464,46 @@ def test_toxicity_chain(spark):
     assert not seen[900] and not seen[901]
 
 
+def test_toxicity_chain_tells_kinds_that_one_linear_model_does_not():
+    # toxic: a1 with a2, or b1 with b2; clean: every mixed pair
+    draw = np.random.default_rng(4)
+    pairs = {(0, 1): 1, (2, 3): 1, (0, 2): 0, (0, 3): 0, (1, 2): 0, (1, 3): 0}
+
+    def sample(n):
+        x, y = draw.poisson(0.2, (n, 12)).astype(float), np.zeros(n)
+        x[:, :4] = 0
+        for k in range(n):
+            at, y[k] = list(pairs.items())[draw.integers(len(pairs))]
+            x[k, list(at)] = 1
+        x[:, -1] = 3
+        return x, y
+
+    (x, y), (held_x, held_y) = sample(1500), sample(1000)
+    targets = toxicity.chain_targets(x, y, 2)
+    assert (targets[:, :2].sum(axis=1) == y).all()
+    loss = lambda p: -np.mean(np.log(np.where(held_y > 0, p, 1 - p).clip(1e-9)))
+    chain = toxicity.chain_scores(held_x, toxicity.fit_chain(x, targets))[:, -1]
+    alone = toxicity.predict(held_x, toxicity.fit_linear(x, y))
+    assert loss(chain) < 0.5 * loss(alone)
+
+
+def test_chain_equals_its_models_one_after_the_other():
+    draw = np.random.default_rng(8)
+    x, y = draw.random((300, 6)), (draw.random(300) < 0.3) * 1.0
+    models = toxicity.fit_chain(x, toxicity.chain_targets(x, y, 3))
+    row, want = x[7], []
+    for w in models:
+        z = sum(a * b for a, b in zip([*row, *want], w[:-1])) + w[-1]
+        want.append(1 / (1 + np.exp(-z)))
+    np.testing.assert_allclose(toxicity.chain_scores(x[7:8], models)[0], want, rtol=1e-9)
+
+
+def test_toxicity_of_repeated_ids_is_bounded_in_rows(spark):
+    rows = [(1, f"scum {k}") for k in range(60)] + [(1, "scum 1")] * 40 + [(k, f"fine words {k}") for k in range(2, 40)]
+    found = toxicity.toxicity(table(spark, rows), labels(spark, rows, lambda i: 1, lambda i: int(i == 1)), max_labels=30)
+    assert found.count() == len(rows) and found.where("p_toxic is null").count() == 0
+
+
 def test_toxicity_without_labels(spark):
     rows = corpus()
     found = toxicity.toxicity(table(spark, rows), labels(spark, [], lambda i: 1).where("doc_id is not null"))
