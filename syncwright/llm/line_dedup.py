@@ -9,14 +9,14 @@ by (doc_id, line number), has a similarity of 0.75 or more.
 2.  Every content names its signature: the hashes of its s smallest items.  Of a set
     of n items at most n / 4 are missing in a similar one, so of two similar
     sets the one whose signature ends first finds all but its missing items in the
-    other's signature.
-3.  Items of signatures are counted over all contents and ordered by rarity.
-    Those that no other content has come first and join nothing.  A content probes with
-    its n / 4 + 1 rarest items at most (prefix filter); length and positional
-    filters stand in the join: what precedes the first common item is missing.
+    other's signature.  Contents that share an item of such a signature go on.
+3.  Items of those are counted over all of them and ordered by rarity.  Items that no
+    other content has come first and join nothing; a content meets others by its
+    n / 4 + 1 rarest items at most (prefix filter).  Length and positional filters
+    stand in the join: what precedes the first common item is missing.
 4.  Each content first meets the earliest and the most repeated content that it
     shares most items with; what those remove meets nobody else.  Jaccard is
-    computed on the full sets of the pairs left, read from the texts.
+    computed on the full sets of the pairs left.
 
 Defined cases: null texts have no lines; lines without words stay; rows that repeat
 a doc_id are one document, whose lines at one place are not compared with each
@@ -73,18 +73,27 @@ def _signature_size(n: Column) -> Column:
     return F.least(n, most + F.ceil(most / 4)).cast("int")
 
 
-def _similar(pairs: DataFrame, lines: DataFrame, first: DataFrame, store: Store, name: str) -> DataFrame:
-    """The contents h of the pairs (h, earlier) whose full sets have a similarity of 0.75.
+def _by_rarity(rows: DataFrame, hot_item: DataFrame) -> DataFrame:
+    """(h, n, order) of rows (h, n, item): the items that several h have, as (how often, item), the rarest first.
 
-    Only lines of contents in a pair are read again, each from its first place
-    (where another text of a repeated doc_id may have another line).
+    Hot items are dealt out over tasks and rank last: that others have them is known.
     """
-    wanted = pairs.select("h").union(pairs.select("earlier")).distinct()
-    spots = store.save(first.join(wanted, "h", "left_semi").select("h", "doc_id", "line_no"), f"{name}-spots")
-    cell = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(CELLS))
-    near = lines.withColumn("cell", cell).join(F.broadcast(spots.select(cell.alias("cell")).distinct()), "cell", "left_semi")
-    sets = store.save(_with_items(near.join(spots, ["doc_id", "line_no", "h"]).select("h", "line").dropDuplicates(["h"]), "h"), f"{name}-sets")
-    both = pairs.join(sets.withColumnRenamed("items", "x"), "h").join(sets.select(F.col("h").alias("earlier"), F.col("items").alias("y")), "earlier")
+    rows = rows.join(F.broadcast(hot_item), "item", "left")
+    group = Window.partitionBy(F.when(F.col("hot"), F.xxhash64("item", F.pmod("h", F.lit(1024)))).otherwise(F.col("item")))
+    rows = rows.select("item", "h", "n", "hot", F.min("h").over(group).alias("lo"), F.max("h").over(group).alias("hi"), F.count("*").over(group).alias("df"))
+    rows = rows.where("lo <> hi or hot").select("h", "n", F.struct(F.when(F.col("hot"), F.lit(1 << 40)).otherwise(F.col("df")).alias("df"), "item").alias("o"))
+    return rows.groupBy("h").agg(F.first("n").alias("n"), F.sort_array(F.collect_set("o")).alias("order"))
+
+
+def _prefix(ordered: DataFrame, size: Column) -> DataFrame:
+    """(h, n, i, item) of the items that may be the first common one with a similar set; size: of the set that `order` is of."""
+    rows = ordered.select("h", "n", F.posexplode("order").alias("k", "o"), (size - F.size("order")).alias("alone"))
+    return rows.select("h", "n", (F.col("alone") + F.col("k")).alias("i"), "o.item").where(F.col("i") <= F.floor(F.col("n") / 4))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The contents h of the pairs (h, earlier) whose sets have a similarity of 0.75."""
+    both = pairs.join(sets.select("h", F.col("items").alias("x")), "h").join(sets.select(F.col("h").alias("earlier"), F.col("items").alias("y")), "earlier")
     # 4 both >= 3 (n + m - both)
     return both.where(7 * F.size(F.array_intersect("x", "y")) >= 3 * (F.size("x") + F.size("y"))).select("h").distinct()
 
@@ -110,38 +119,36 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     seen = store.save(seen.where("count >= 16"), "sampled")
     hot_item = seen.where(F.col("count") > F.lit(total // SAMPLE // HOT)).orderBy(F.desc("count"), "item").limit(HOT).select("item", F.lit(True).alias("hot"))
 
+    # contents that share an item with one of which enough items are shared
     once = lines.join(F.broadcast(hot_line), "h", "left").where("first_id is null or (doc_id = first_id and line_no = first_no)")
-    posting = signed(once.select("h", "line")).join(F.broadcast(hot_item), "item", "left")
-    # hot items are dealt out: that others have them is known
-    group = Window.partitionBy(F.when(F.col("hot"), F.xxhash64("item", F.pmod("h", F.lit(1024)))).otherwise(F.col("item")))
-    posting = posting.select("item", "h", "n", "hot", F.min("h").over(group).alias("lo"), F.max("h").over(group).alias("hi"), F.count("*").over(group).alias("df"))
-    shared = posting.where("lo <> hi or hot").select("item", "h", "n", F.when(F.col("hot"), F.lit(1 << 40)).otherwise(F.col("df")).alias("df")).distinct()
-    shared = store.save(shared.join(first, "h").select("item", "df", "h", "n", F.struct("doc_id", "line_no").alias("at"), "copies"), "shared")
-
-    # items in order of rarity, after those that no other content has
-    ordered = shared.groupBy("h").agg(F.first("n").alias("n"), F.first("at").alias("at"), F.sort_array(F.collect_list(F.struct("df", "item"))).alias("order"))
-    alone = _signature_size(F.col("n")) - F.size("order")
-    ordered = ordered.withColumn("alone", alone).where(F.col("alone") <= F.floor(F.col("n") / 4))
-    probe = ordered.select("h", "n", "at", "alone", F.posexplode("order").alias("k", "o")).select("h", "n", "at", (F.col("alone") + F.col("k")).alias("i"), "o.item")
-    probe = store.save(probe.where(F.col("i") <= F.floor(F.col("n") / 4)), "probes")
-    close = (4 * F.least("n", "n2") >= 3 * F.greatest("n", "n2")) & (F.col("i") <= _missing(F.col("n"), F.col("n2")))
+    ordered = store.save(_by_rarity(signed(once.select("h", "line")), hot_item), "shared")
+    probe = _prefix(ordered, _signature_size(F.col("n"))).select("item").distinct()
+    alike = ordered.select("h", F.explode("order.item").alias("item")).join(probe, "item", "left_semi").select("h").distinct()
+
+    # their sets, read again, each from its first place (where another text of a repeated doc_id may have another line)
+    spots = store.save(first.join(alike, "h", "left_semi"), "spots")
+    cell = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(CELLS))
+    near = lines.withColumn("cell", cell).join(F.broadcast(spots.select(cell.alias("cell")).distinct()), "cell", "left_semi")
+    near = near.join(spots, ["doc_id", "line_no", "h"]).select("h", F.struct("doc_id", "line_no").alias("at"), "copies", "line").dropDuplicates(["h"])
+    sets = store.save(_with_items(near, "h", "at", "copies"), "sets")
+
+    ordered = _by_rarity(sets.select("h", F.size("items").alias("n"), F.explode("items").alias("item")), hot_item)
+    probe = store.save(_prefix(ordered, F.col("n")).join(sets.select("h", "at", "copies"), "h"), "probes")
+    other = probe.select("item", *[F.col(c).alias(f"{c}2") for c in ("h", "n", "i", "at")])
+    close = (F.col("at2") < F.col("at")) & (4 * F.least("n", "n2") >= 3 * F.greatest("n", "n2"))
+    close = close & (F.col("i") <= _missing(F.col("n"), F.col("n2"))) & (F.col("i2") <= _missing(F.col("n2"), F.col("n")))
 
     # the earliest and the most repeated content of each item
-    who = F.struct(F.col("h").alias("h2"), F.col("n").alias("n2"), F.col("at").alias("at2"))
-    leaders = shared.groupBy("item").agg(F.min_by(who, "at").alias("early"), F.max_by(who, F.struct("copies", "h")).alias("common"))
+    who = F.struct(*[F.col(c).alias(f"{c}2") for c in ("h", "n", "i", "at")])
+    leaders = probe.groupBy("item").agg(F.min_by(who, "at").alias("early"), F.max_by(who, F.struct("copies", "h")).alias("common"))
     led = probe.join(leaders, "item").select("h", "n", "i", "at", F.posexplode(F.array("early", "common")).alias("kind", "with"))
-    led = led.select("h", "n", "i", "at", "kind", "with.*").where("at2 < at").where(close)
-    met = led.groupBy("h", "h2", "kind").agg(F.count("*").alias("met"))
-    tried = met.groupBy("h", "kind").agg(F.max_by("h2", F.struct("met", "h2")).alias("earlier")).select("h", "earlier").distinct()
-    tried = store.save(tried, "tried")
-    later = store.save(_similar(tried, lines, first, store, "tried"), "later")
-
-    # what no leader removes meets all that its items allow, as the one that probes and as the one that is found
-    index = shared.select("item", F.col("h").alias("h2"), F.col("n").alias("n2"), F.col("at").alias("at2"))
-    left = probe.join(later, "h", "left_anti").join(index, "item").where("at2 < at").where(close).select("h", F.col("h2").alias("earlier"))
-    found = index.join(later.withColumnRenamed("h", "h2"), "h2", "left_anti").join(probe, "item").where("at < at2").where(close).select(F.col("h2").alias("h"), F.col("h").alias("earlier"))
-    rest = store.save(left.union(found).distinct().join(tried, ["h", "earlier"], "left_anti"), "rest")
-    later = later.union(_similar(rest, lines, first, store, "rest")).distinct()
+    met = led.select("h", "n", "i", "at", "kind", "with.*").where(close).groupBy("h", "h2", "kind").agg(F.count("*").alias("met"))
+    tried = store.save(met.groupBy("h", "kind").agg(F.max_by("h2", F.struct("met", "h2")).alias("earlier")).select("h", "earlier").distinct(), "tried")
+    later = store.save(_similar(tried, sets), "later")
+
+    # what no leader removes meets all earlier ones that its items allow
+    rest = probe.join(later, "h", "left_anti").join(other, "item").where(close).select("h", F.col("h2").alias("earlier")).distinct()
+    later = later.union(_similar(rest, sets)).distinct()
 
     near_copies = first.join(later, "h", "left_semi").select("doc_id", "line_no", "h")
     repeated = first.where("copies > 1").select("h", F.col("doc_id").alias("first_id"), F.col("line_no").alias("first_no"))
