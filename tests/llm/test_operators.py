@@ -398,6 +398,42 @@ def test_personal_data(spark):
         assert base <= set(r["spans"].split(","))
 
 
+def secrets_corpus(n, seed):
+    draw = random.Random(seed)
+    hexes = lambda k: "".join(draw.choices("0123456789abcdef", k=k))
+    out = []
+    for _ in range(n):
+        parts = [prose(draw, draw.randint(5, 30)) for _ in range(4)] + ["".join(draw.choices("abcdefghijklmnopqrst", k=draw.randint(16, 24))) for _ in range(2)] + [str(draw.randint(1, 10**8))]
+        parts += draw.choices(([f'token = "{hexes(40)}"'], [f"me{draw.randint(1, 99)}@site.example.org"], [f"{draw.randint(1, 255)}.7.0.{draw.randint(1, 255)}"], []), k=2)[0]
+        draw.shuffle(parts)
+        out.append(" ".join(parts))
+    return out
+
+
+def test_repeats_carry_a_label_that_no_other_evidence_gives():
+    draw = random.Random(41)
+    field = pii_crf.fitted([pii_crf.sampled_graph(t, 64) for t in secrets_corpus(400, 40)])
+    without = pii_crf.Field()
+    without.node, without.edge = field.node, field.edge.copy()
+    without.edge[1:] = 0
+    secret = "correcthorsebatterystaple"
+    text = f"{prose(draw, 40)} password: {secret} {prose(draw, 200)} " + " ".join(f"{prose(draw, 9)} {secret}." for _ in range(50))
+    places = [("secret", m.start(), m.end()) for m in re.finditer(secret, text)]
+    assert len(places) == 51
+    assert set(places) <= set(pii_crf.found_spans([text], field, 0.9)[0][1])
+    assert len(set(places) & set(pii_crf.found_spans([text], without, 0.9)[0][1])) <= 1
+    # a long word of no such kind stays, however often it repeats
+    plain = f"{prose(draw, 40)} " + " ".join(f"{prose(draw, 9)} {secret}" for _ in range(50))
+    assert pii_crf.found_spans([plain], field, 0.9)[0][1] == []
+
+
+def test_personal_data_of_very_long_texts_and_repeated_ids(spark):
+    draw = random.Random(42)
+    text = prose(draw, 40_000) + " me@exa.mple.org " + "1" * 60_000 + " " + "key=" * 20_000 + " " + prose(draw, 1000) + " 10.0.0.1"
+    found = pii_crf.personal_data(table(spark, [(1, text), (1, text), (1, "a@b.co"), (2, "x"), (3, None)])).collect()
+    assert sorted((r["doc_id"], r["n_email"], r["n_ip"]) for r in found) == [(1, 1, 0), (1, 1, 1), (1, 1, 1), (2, 0, 0), (3, 0, 0)]
+
+
 def test_messages_equal_exact_marginals_on_a_tree():
     draw = np.random.default_rng(5)
     field = pii_crf.Field()
@@ -410,7 +446,7 @@ def test_messages_equal_exact_marginals_on_a_tree():
     p /= p.sum()
     want = np.stack([p.sum(axis=(1, 2)), p.sum(axis=(0, 2)), p.sum(axis=(0, 1))])
     assert want.shape == (3, n)
-    np.testing.assert_allclose(field.beliefs(rows, edges, rounds=60), want, atol=1e-6)
+    np.testing.assert_allclose(field.beliefs(rows, edges, rounds=200, settled=1e-9), want, atol=1e-6)
 
 
 # ---- 1 ----------------------------------------------------------------------
