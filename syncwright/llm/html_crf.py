@@ -7,7 +7,8 @@ exact forward-backward gradients and decoded by Viterbi.  The labelled pages are
 drawn from page layouts with the parts that articles come with: menus, headers,
 footers, sidebars, notices, adverts, forms and reader comments.
 
-Defined cases: null and empty pages give an empty text; comments, scripts and
+Defined cases: null and empty pages give an empty text; pages of any length and depth
+of nesting are read whole; labellings of one score (ties) leave a block out; comments, scripts and
 styles have no blocks; an unclosed element ends with its parent or the page; a
 tag cut off at the page's end is dropped; rows that repeat a page_id are
 extracted each; null page_id and url pass through; an empty table gives an empty
@@ -48,27 +49,65 @@ _ENDS_P = BLOCKS - {"p", "body", "html", "head", "title", "button", "option", "s
 _STOPS = frozenset("ul ol table article section div nav aside main body form footer header".split())
 
 
-def blocks(page: str) -> list[tuple[str, tuple[tuple[str, tuple[str, ...]], ...], float]]:
-    """(text, ancestors as (tag, class words), share of linked characters) of the leaf blocks, in page order."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    out, parts, linked, at, depth_a = [], [], 0, 0, 0
+# Names that page layouts give to the parts around an article.
+_AROUND = {
+    "menu": ("nav", "menu navbar navigation topnav breadcrumb breadcrumbs tabs"),
+    "header": ("header", "header masthead banner topbar site branding"),
+    "footer": ("footer", "footer bottom colophon legal copyright"),
+    "sidebar": ("aside", "sidebar related widget recommended trending popular more"),
+    "notice": ("div", "notice cookie consent alert gdpr paywall subscribe popup modal"),
+    "advert": ("div", "ad ads advert advertisement sponsored promo promotion banner"),
+    "form": ("form", "form newsletter signup search login contact"),
+    "comments": ("section", "comments comment discussion replies responses disqus thread"),
+    "share": ("div", "share social sharing toolbar tags meta"),
+}
+_PART_OF = {name: part for part, (_, names) in _AROUND.items() for name in names.split()}
+
+
+def marks(tag: str, attributes: str | None) -> set[str]:
+    """Names of the features that an element gives to all blocks in it."""
+    names = {w for x in _NAMES.findall(attributes) for w in _LETTERS.findall(x.lower())} if attributes else ()
+    own = {f"named {w}" for w in names} | {f"part {_PART_OF[w]}" for w in names if w in _PART_OF}
+    if any(w in _PART_OF for w in names):
+        own.add("part")
+    if tag in BLOCKS:
+        own.add(f"in {tag}")
+    return own
+
+
+def blocks(page: str, known: frozenset[str] | None = None) -> list[tuple[str, tuple[frozenset[str], str], float]]:
+    """(text, (ancestors' marks, nearest block element), share of linked characters) of the leaf blocks, in page order.
+
+    Marks are handed down from element to element, only those in `known` if it is given, so
+    neither time nor memory grows with the depth of nesting.
+    """
+    stack: list[tuple[str, frozenset[str], str]] = []
+    last: dict[str, list[int]] = {}  # places in the stack of each open tag, and of those that stop a search
+    stops: list[int] = []
+    out, parts, linked, at = [], [], 0, 0
+    nothing = (frozenset(), "")
 
     def flush() -> None:
         nonlocal parts, linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append((text, tuple(stack), linked / max(1, sum(map(len, parts)))))
+            out.append((text, stack[-1][1:] if stack else nothing, linked / max(1, sum(map(len, parts)))))
         parts, linked = [], 0
 
     def pop_to(k: int) -> None:
-        nonlocal depth_a
-        depth_a -= sum(t == "a" for t, _ in stack[k:])
+        for tag, _, _ in stack[k:]:
+            last[tag].pop()
         del stack[k:]
+        while stops and stops[-1] >= k:
+            stops.pop()
+
+    def innermost(tag: str) -> int:
+        return last[tag][-1] if last.get(tag) else -1
 
     for m in _PART.finditer(page):
         if m.start() > at:
             parts.append(page[at : m.start()])
-            if depth_a:
+            if last.get("a"):
                 linked += m.start() - at
         at = m.end()
         tag = (m["tag"] or "").lower()
@@ -80,59 +119,40 @@ def blocks(page: str) -> list[tuple[str, tuple[tuple[str, tuple[str, ...]], ...]
             flush()
         elif tag == "br":
             parts.append(" ")
+        stop = stops[-1] if stops else -1
         if m["close"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
-                if stack[k][0] in _STOPS and tag not in BLOCKS:
-                    break
+            k = innermost(tag)
+            if k >= 0 and (tag in BLOCKS or k > stop):
+                pop_to(k)
             continue
         if tag in VOID:
             continue
         closes = _CLOSES.get(tag, frozenset()) | ({"p"} if tag in _ENDS_P else frozenset())
-        for k in range(len(stack) - 1, -1, -1) if closes else ():
-            if stack[k][0] in closes:
-                pop_to(k)
-                break
-            if stack[k][0] in _STOPS:
-                break
-        names = tuple(w for x in _NAMES.findall(m["attributes"]) for w in _LETTERS.findall(x.lower())) if m["attributes"] else ()
-        stack.append((tag, names))
-        depth_a += tag == "a"
+        k = max(map(innermost, closes), default=-1)
+        if k > stop:
+            pop_to(k)
+        inherited, under = stack[-1][1:] if stack else nothing
+        own = marks(tag, m["attributes"])
+        if known is not None:
+            own &= known
+        last.setdefault(tag, []).append(len(stack))
+        if tag in _STOPS:
+            stops.append(len(stack))
+        stack.append((tag, inherited if own <= inherited else inherited | own, tag if tag in BLOCKS else under))
     if at < len(page):
         parts.append(page[at:])
-        linked += (len(page) - at) * bool(depth_a)
+        linked += (len(page) - at) * bool(last.get("a"))
     flush()
     return out
 
 
-# Names that page layouts give to the parts around an article.
-_AROUND = {
-    "menu": ("nav", "menu navbar navigation topnav breadcrumb breadcrumbs tabs"),
-    "header": ("header", "header masthead banner topbar site branding"),
-    "footer": ("footer", "footer bottom colophon legal copyright"),
-    "sidebar": ("aside", "sidebar related widget recommended trending popular more"),
-    "notice": ("div", "notice cookie consent alert gdpr paywall subscribe popup modal"),
-    "advert": ("div", "ad ads advert advertisement sponsored promo promotion banner"),
-    "form": ("form", "form newsletter signup search login contact"),
-    "comments": ("section", "comments comment discussion replies responses disqus thread"),
-    "share": ("div", "share social sharing toolbar tags meta"),
-}
-_PART_OF = {name: part for part, (_, names) in _AROUND.items() for name in names.split()}
-
-
 def features(found: list) -> list[list[str]]:
     """Names of the features that each block of a page has."""
     out = []
-    for k, (text, ancestors, linked) in enumerate(found):
+    for k, (text, (inherited, under), linked) in enumerate(found):
         words = text.count(" ") + 1
         stops = sum(text.count(c) for c in ".,;!?")
-        own = {f"in {t}" for t, _ in ancestors if t in BLOCKS} | {f"named {w}" for _, names in ancestors for w in names}
-        own |= {f"part {_PART_OF[w]}" for _, names in ancestors for w in names if w in _PART_OF}
-        if any(w in _PART_OF for _, names in ancestors for w in names):
-            own.add("part")
-        own.add(f"under {next((t for t, _ in reversed(ancestors) if t in BLOCKS), '')}")
+        own = {*inherited, f"under {under}"}
         own.add(f"words {min(6, words.bit_length())}")
         own.add(f"linked {int(linked * 3.99)}")
         own.add(f"stops {min(4, (4 * stops) // words)}")
@@ -241,8 +261,8 @@ def trained(pages: int = 400, steps: int = 160, decay: float = 1e-4) -> tuple[di
     for page, truth in labelled_pages(pages):
         found = blocks(page)
         left, labels = list(truth), []
-        for text, ancestors, _ in found:
-            hit = bool(left) and text == left[0] and not any(t == "title" for t, _ in ancestors)
+        for text, (inherited, _), _ in found:
+            hit = bool(left) and text == left[0] and "in title" not in inherited
             if hit:
                 left.pop(0)
             labels.append(int(hit))
@@ -306,7 +326,7 @@ def decode(found: list, model: tuple[dict[str, float], np.ndarray]) -> list[int]
 
 
 def main_text(page: str | None, model) -> str:
-    found = blocks(page or "")
+    found = blocks(page or "", frozenset(model[0]))
     return "\n".join(b[0] for b, label in zip(found, decode(found, model)) if label)
 
 

@@ -16,6 +16,8 @@ import corpus_pipeline
 from syncwright.llm import decontaminate, html_crf, licenses, line_dedup, near_dedup, packing, pii_crf, quality_classifier, quality_rules, toxicity
 from syncwright.llm import queries as llm_queries
 
+from pages_by_hand import PAGES
+
 SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, token string, h long, g string"
 
@@ -473,6 +475,25 @@ def test_blocks_after_empty_and_similarly_named_elements():
     assert text("<p>a</p><script src=x />hidden</script><p>b</p>") == ["a", "b"]
 
 
+def test_html_on_pages_written_by_hand():
+    model, right, found, wanted = html_crf.trained(), 0, 0, 0
+    for page, texts in PAGES:
+        got_texts = Counter(html_crf.main_text(page, model).split("\n"))
+        want_texts = Counter(texts)
+        right, found, wanted = right + sum((got_texts & want_texts).values()), found + sum(got_texts.values()), wanted + sum(want_texts.values())
+    assert right >= 0.85 * found and right >= 0.85 * wanted, (right, found, wanted)
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    model = html_crf.trained()
+    began = time.perf_counter()
+    for page in ("<div>x" * 100_000, "<i><div>" + "<b>x" * 50_000 + "</i>" * 50_000, "".join(f"<div class=c{k}>" for k in range(100_000)) + "x", "<p>a" * 100_000):
+        html_crf.main_text(page, model)
+    assert time.perf_counter() - began < 60  # the square of these sizes would take hours
+
+
 def test_viterbi_is_the_best_labelling():
     model = html_crf.trained()
     page = "<body><nav><a href=x>home</a></nav><article><h1>A title</h1><p>Some long text, with words. And more.</p></article><footer>(c) us</footer></body>"
