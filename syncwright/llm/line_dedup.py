@@ -9,7 +9,7 @@ by (doc_id, line number), has a similarity of 0.75 or more.
 2.  Every content names its signature: the hashes of its s smallest items.  Of a set
     of n items at most n / 4 are missing in a similar one, so of two similar
     sets the one whose signature ends first finds all but its missing items in the
-    other's signature.  Contents that share an item of such a signature go on.
+    other's signature.  Contents that share enough items for that with others go on.
 3.  Items of those are counted over all of them and ordered by rarity.  Items that no
     other content has come first and join nothing; a content meets others by its
     n / 4 + 1 rarest items at most (prefix filter).  Length and positional filters
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .store import Store
 
 HOT = 1 << 14  # a line or item with more than a HOT-th of all rows is hot: there are fewer than HOT of them
-CELLS = 1 << 20  # hashed places behind the filter of lines to be read again: a bound for its broadcast
+CELLS = 1 << 22  # hashed places behind the filter of lines to be read again: a bound for its broadcast
 SAMPLE = 256  # one content of so many is looked at for hot items; how rows are dealt depends on it, not the result
 
 
@@ -85,14 +85,26 @@ def _by_rarity(rows: DataFrame, hot_item: DataFrame) -> DataFrame:
     return rows.groupBy("h").agg(F.first("n").alias("n"), F.sort_array(F.collect_set("o")).alias("order"))
 
 
-def _prefix(ordered: DataFrame, size: Column) -> DataFrame:
-    """(h, n, i, item) of the items that may be the first common one with a similar set; size: of the set that `order` is of."""
-    rows = ordered.select("h", "n", F.posexplode("order").alias("k", "o"), (size - F.size("order")).alias("alone"))
+def _prefix(ordered: DataFrame) -> DataFrame:
+    """(h, n, i, item) of the items that may be the first common one with a similar set; i: its place among all n by rarity."""
+    rows = ordered.select("h", "n", F.posexplode("order").alias("k", "o"), (F.col("n") - F.size("order")).alias("alone"))
     return rows.select("h", "n", (F.col("alone") + F.col("k")).alias("i"), "o.item").where(F.col("i") <= F.floor(F.col("n") / 4))
 
 
+def _least_shared(n: Column) -> Column:
+    """How many items of its signature a set of n, or more, has in common with the longer signature of a similar set."""
+    return _signature_size(n) - F.floor(n / 4)
+
+
+def _in_cells(rows: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
+    """rows whose hashed place is that of a row of `wanted`, and some more: CELLS places at most are broadcast."""
+    cell = F.pmod(F.xxhash64(*key), F.lit(CELLS)).cast("int")
+    return rows.withColumn("cell", cell).join(F.broadcast(wanted.select(cell.alias("cell")).distinct()), "cell", "left_semi").drop("cell")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The contents h of the pairs (h, earlier) whose sets have a similarity of 0.75."""
+    sets = _in_cells(sets, pairs.select("h").union(pairs.select(F.col("earlier").alias("h"))), "h")
     both = pairs.join(sets.select("h", F.col("items").alias("x")), "h").join(sets.select(F.col("h").alias("earlier"), F.col("items").alias("y")), "earlier")
     # 4 both >= 3 (n + m - both)
     return both.where(7 * F.size(F.array_intersect("x", "y")) >= 3 * (F.size("x") + F.size("y"))).select("h").distinct()
@@ -119,21 +131,23 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     seen = store.save(seen.where("count >= 16"), "sampled")
     hot_item = seen.where(F.col("count") > F.lit(total // SAMPLE // HOT)).orderBy(F.desc("count"), "item").limit(HOT).select("item", F.lit(True).alias("hot"))
 
-    # contents that share an item with one of which enough items are shared
+    # contents of which enough items are shared, and those that share as many with one of them as a similar set would
     once = lines.join(F.broadcast(hot_line), "h", "left").where("first_id is null or (doc_id = first_id and line_no = first_no)")
     ordered = store.save(_by_rarity(signed(once.select("h", "line")), hot_item), "shared")
-    probe = _prefix(ordered, _signature_size(F.col("n"))).select("item").distinct()
-    alike = ordered.select("h", F.explode("order.item").alias("item")).join(probe, "item", "left_semi").select("h").distinct()
+    prober = F.size("order") >= _least_shared(F.col("n"))
+    probed = ordered.where(prober).select(F.explode("order.item").alias("item")).distinct()
+    others = ordered.where(~prober).select("h", "n", F.explode("order.item").alias("item")).join(probed, "item", "left_semi")
+    others = others.groupBy("h", "n").agg(F.count("*").alias("met")).where(F.col("met") >= _least_shared(F.ceil(3 * F.col("n") / 4)))
+    alike = ordered.where(prober).select("h").union(others.select("h"))
 
     # their sets, read again, each from its first place (where another text of a repeated doc_id may have another line)
     spots = store.save(first.join(alike, "h", "left_semi"), "spots")
-    cell = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(CELLS))
-    near = lines.withColumn("cell", cell).join(F.broadcast(spots.select(cell.alias("cell")).distinct()), "cell", "left_semi")
-    near = near.join(spots, ["doc_id", "line_no", "h"]).select("h", F.struct("doc_id", "line_no").alias("at"), "copies", "line").dropDuplicates(["h"])
-    sets = store.save(_with_items(near, "h", "at", "copies"), "sets")
+    place_key = ["doc_id", "line_no", "h"]
+    near = _in_cells(lines, spots, "doc_id", "line_no").join(spots, place_key).dropDuplicates(place_key)
+    sets = store.save(_with_items(near.select("h", F.struct("doc_id", "line_no").alias("at"), "copies", "line"), "h", "at", "copies"), "sets")
 
     ordered = _by_rarity(sets.select("h", F.size("items").alias("n"), F.explode("items").alias("item")), hot_item)
-    probe = store.save(_prefix(ordered, F.col("n")).join(sets.select("h", "at", "copies"), "h"), "probes")
+    probe = store.save(_prefix(ordered).join(sets.select("h", "at", "copies"), "h"), "probes")
     other = probe.select("item", *[F.col(c).alias(f"{c}2") for c in ("h", "n", "i", "at")])
     close = (F.col("at2") < F.col("at")) & (4 * F.least("n", "n2") >= 3 * F.greatest("n", "n2"))
     close = close & (F.col("i") <= _missing(F.col("n"), F.col("n2"))) & (F.col("i2") <= _missing(F.col("n2"), F.col("n")))
@@ -147,7 +161,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     later = store.save(_similar(tried, sets), "later")
 
     # what no leader removes meets all earlier ones that its items allow
-    rest = probe.join(later, "h", "left_anti").join(other, "item").where(close).select("h", F.col("h2").alias("earlier")).distinct()
+    rest = store.save(probe.join(later, "h", "left_anti").join(other, "item").where(close).select("h", F.col("h2").alias("earlier")).distinct(), "rest")
     later = later.union(_similar(rest, sets)).distinct()
 
     near_copies = first.join(later, "h", "left_semi").select("doc_id", "line_no", "h")
