@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import digest as D
 from .functions import transforms as T
 from .operators import conflict, identity, mapping, origin, progress, state
+from .plans import cycle, report
 from .plans import plan as P
 from .streaming import deliveries
 
@@ -71,25 +72,16 @@ def t_domain_normalize(spark, sf_dir):
 # ---- digests --------------------------------------------------------------
 
 
-def _chunks(*parts: str) -> str:
-    return "sha256(" + " || ".join(f"strlen({p}) || ':' || {p}" for p in parts) + ")"
-
-
-_WHOLE = "'n' || cast(c_custkey as varchar)"
-
-
-@query(f"select c_custkey, {_chunks(chr(39) + 'key' + chr(39), _WHOLE.join('()'), chr(39) + 'name' + chr(39), '(' + chr(39) + 's' + chr(39) + ' || c_name)', chr(39) + 'note' + chr(39), 'case when c_custkey % 3 = 0 then chr(0) || ' + chr(39) + 'absent' + chr(39) + ' else chr(0) || ' + chr(39) + 'null' + chr(39) + ' end')} as h from customer")
+@query("""
+select c_custkey, sha256('3:key' || strlen(k) || ':' || k || '4:name' || strlen(n) || ':' || n || '4:note' || strlen(x) || ':' || x) as h
+from (select c_custkey, 'n' || c_custkey as k, 's' || c_name as n, case when c_custkey % 3 = 0 then chr(0) || 'absent' else chr(0) || 'null' end as x from customer)
+""")
 def digest_snapshot(spark, sf_dir):
     note = F.when(F.col("c_custkey") % 3 != 0, D.NULL)
     fields = F.map_from_entries(F.filter(F.array(F.struct(F.lit("key"), D.tag_number(F.col("c_custkey"))), F.struct(F.lit("name"), D.tag_string(F.col("c_name"))), F.struct(F.lit("note"), note)), lambda e: e["col2"].isNotNull()))
     return _table(spark, sf_dir, "customer").select("c_custkey", fields.alias("fields")).select("c_custkey", D.snapshot_hash(F.col("fields"), ["name", "note", "key"]).alias("h"))
 
 
-ORACLE["digest_snapshot"] = """
-select c_custkey, sha256('3:key' || strlen(k) || ':' || k || '4:name' || strlen(n) || ':' || n || '4:note' || strlen(x) || ':' || x) as h
-from (select c_custkey, 'n' || c_custkey as k, 's' || c_name as n, case when c_custkey % 3 = 0 then chr(0) || 'absent' else chr(0) || 'null' end as x from customer)
-"""
-
 
 @query("""
 select o_orderkey, sha256('4:pair7:contact4:left' || strlen(a) || ':' || a || '5:right' || strlen(b) || ':' || b || strlen(p) || ':' || p) as h
@@ -189,10 +181,10 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with e as (select event_id, event_type, case when event_id % 10 = 0 then '' else 'd-' || (event_id % 997) end as delivery from events union all
-           select event_id, event_type, case when event_id % 10 = 0 then '' else 'd-' || (event_id % 997) end from events),
-k as (select delivery, event_type, count(*) as n from e group by 1, 2)
-select event_type, cast(sum(case when delivery = '' then n else 1 end) as bigint) as n from k group by 1
+with recursive e as (select event_type, case when event_id % 10 = 0 then '' else 'd-' || (event_id % 997) end as delivery, ts from events),
+taken as (select event_type, delivery, min(ts) as ts from e where delivery <> '' group by 1, 2
+          union all select t.event_type, t.delivery, min(e.ts) from taken t join e using (event_type, delivery) where e.ts >= t.ts + interval 24 hour group by t.event_type, t.delivery, t.ts)
+select event_type, count(*) as n from (select event_type from taken union all select event_type from e where delivery = '' union all select event_type from e where delivery = '') group by 1
 """)
 def delivery_dedupe(spark, sf_dir):
     e = _events(spark, sf_dir)
@@ -494,14 +486,21 @@ def dead_letters(spark, sf_dir):
 SYNC = P.Sync("contact:left-right", "left", "right", mapping.Mapping("contact", (mapping.FieldMap("email", "email", "emails.primary", transform="email_normalize"), mapping.FieldMap("segment", "segment", "info.segment"))), ("email",), "left_wins")
 
 
-def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sides_of_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     left, right, links = _peers(spark, sf_dir)
     at = F.expr("timestamp '2024-01-01 00:00:00'")
     as_json = lambda head, tail: F.parse_json(F.concat(F.lit(head), F.upper("email"), F.lit(tail), F.col("seg"), F.lit('"}' + ("}" if "emails" in head else ""))))
     near = left.select(F.col("id").alias("remote_id"), at.alias("updated_at"), as_json('{"email":" ', ' ","segment":"').alias("record"))
     far = right.select(F.col("id").alias("remote_id"), at.alias("updated_at"), as_json('{"emails":{"primary":"', '"},"info":{"segment":"').alias("record"))
-    snapshots = spark.createDataFrame([], "ref string, hash string, fields map<string,string>")
-    return P.planned(P.canonical(near, SYNC, "left").persist(), P.canonical(far, SYNC, "right").persist(), links, snapshots, SYNC)
+    return P.canonical(near, SYNC, "left"), P.canonical(far, SYNC, "right"), links
+
+
+def _no_snapshots(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "ref string, hash string, fields map<string,string>")
+
+
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.planned(*_sides_of_plan(spark, sf_dir), _no_snapshots(spark), SYNC)
 
 
 _PLAN = _PEERS + """,
@@ -525,3 +524,206 @@ def plan_changes(spark, sf_dir):
 @query(_PLAN + "select action, count(*) as n from p group by 1")
 def plan_summary(spark, sf_dir):
     return P.summary(_plan(spark, sf_dir))
+
+
+def _deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "customer")
+    end = lambda side, mark, every: c.where(F.col("c_custkey") % every == 0).select(F.lit(side).alias("side"), F.concat(F.lit(mark), F.col("c_custkey").cast("string")).alias("remote_id"))
+    return end("left", "L-", 2).unionByName(end("right", "R-", 3))
+
+
+def _changes(rows: DataFrame) -> DataFrame:
+    return rows.select("action", "target", "source", _shown(F.col("fields")).alias("fields"), "reason")
+
+
+_ENDS = """, ends as (select a, b, case when cast(substr(a, 3) as bigint) % 2 = 0 then 'left' else 'right' end as side from links
+ where cast(substr(a, 3) as bigint) % 2 = 0 or cast(substr(b, 3) as bigint) % 3 = 0)
+"""
+
+
+@query(_PLAN + _ENDS + """select 'delete' as action, case when side = 'left' then 'right:contact/' || b else 'left:contact/' || a end as target,
+case when side = 'left' then 'left:contact/' || a else 'right:contact/' || b end as source, '' as fields, 'the source was deleted' as reason from ends
+union all select * from p where not exists (select 1 from ends where action = 'update' and target = 'right:contact/' || b and source = 'left:contact/' || a)""")
+def plan_deletes(spark, sf_dir):
+    return _changes(P.planned(*_sides_of_plan(spark, sf_dir), _no_snapshots(spark), SYNC, _deleted(spark, sf_dir)))
+
+
+@query(_PLAN + """select action, case when moved then source else target end as target, case when moved then target else source end as source,
+case when moved then replace(fields, ';segment=' || seg, ';segment=EDITED') else fields end as fields, case when moved then 'only the right side changed' else reason end as reason
+from (select p.*, l.seg, action = 'update' and l.k % 4 <> 0 and starts_with(target, 'right:contact/R-') and not contains(target, 'dup') as moved from p left join l on source = 'left:contact/' || l.id)""")
+def plan_with_base(spark, sf_dir):
+    left, right, links = _sides_of_plan(spark, sf_dir)
+    base = _table(spark, sf_dir, "customer").where("c_custkey % 4 <> 0")
+    fields = F.create_map(F.lit("email"), F.concat(F.lit("s"), F.lower(F.translate("c_name", "#", ".")), F.lit("@example.com")), F.lit("segment"), D.tag_string(F.col("c_mktsegment")))
+    ends = F.explode(F.array(F.concat(F.lit("left:contact/L-"), F.col("c_custkey").cast("string")), F.concat(F.lit("right:contact/R-"), F.col("c_custkey").cast("string"))))
+    snapshots = base.select(ends.alias("ref"), fields.alias("fields")).select("ref", D.snapshot_hash(F.col("fields"), ["email", "segment"]).alias("hash"), "fields")
+    return _changes(P.planned(left, right, links, snapshots, SYNC))
+
+
+_ONE_WAY = P.Sync("contact:left-right", "left", "right", mapping.Mapping("contact", SYNC.mapping.fields, "left_to_right"), ("email",), "left_wins")
+
+
+@query(_PLAN + """select p.* from p where action = 'update' and exists (select 1 from l left join links on l.id = a left join lm on l.id = lm.id where source = 'left:contact/' || l.id and (b is not null or lm.n = 1))
+union all select * from p where action <> 'update' and starts_with(source, 'left:')""")
+def plan_one_way(spark, sf_dir):
+    left, right, links = _sides_of_plan(spark, sf_dir)
+    return _changes(P.planned(left, right, links, _no_snapshots(spark), _ONE_WAY))
+
+
+@query(_PLAN + "select 'contact:left-right' as sync, action, count(*) as n from p group by 2")
+def changes_by_sync(spark, sf_dir):
+    return report.by_sync(_plan(spark, sf_dir).withColumn("sync", F.lit(SYNC.name)))
+
+
+# ---- after a cycle --------------------------------------------------------
+
+_NOW = "timestamp '2024-06-01 00:00:00'"
+
+
+def _after(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    left, right, links = _sides_of_plan(spark, sf_dir)
+    tables = {name: spark.createDataFrame([], schema) for name, schema in state.TABLES.items()}
+    tables["links"] = links.select("a", "b", F.expr("timestamp '2024-01-01 00:00:00'").alias("linked_at"))
+    decisions = P.decided(left, right, links, tables["snapshots"], SYNC)
+    l_ref, r_ref = P.refs(SYNC)
+    source = F.coalesce(l_ref, r_ref)
+    # the peers answer every create but those of customers whose number ends in 7
+    created = decisions.where("outcome = 'create'").select(source.alias("source"), F.concat(F.lit("N-"), F.coalesce("l_id", "r_id")).alias("remote_id")).where("not endswith(source, '7')")
+    return cycle.after(decisions, created, _deleted(spark, sf_dir), tables, SYNC, F.expr(_NOW))
+
+
+_AFTER = _PLAN + _ENDS + """,
+made as (select substr(source, instr(source, '/') + 1) as id, target, fields from p where action = 'create' and not source like '%7'),
+kept as (select lid as a, rid as b from pairs where not exists (select 1 from ends where a = lid and b = rid)),
+step as (select a, b, 'email=' || l.email || ';segment=' || l.seg as lf, 'email=' || l.email || ';segment=' || l.seg as rf, l.seg <> r.seg as to_right, false as to_left from kept join l on a = l.id join r on b = r.id
+         union all select case when target = 'right' then id else 'N-' || id end, case when target = 'right' then 'N-' || id else id end, fields, fields, target = 'right', target = 'left' from made)
+"""
+
+
+@query(_AFTER + f"select a, b, case when (a, b) in (select (a, b) from links) then timestamp '2024-01-01 00:00:00' else {_NOW} end as linked_at from step")
+def apply_links(spark, sf_dir):
+    return _after(spark, sf_dir)["links"].select("a", "b", F.col("linked_at").cast("timestamp_ntz").alias("linked_at"))
+
+
+@query(_AFTER + "select distinct 'left:contact/' || a as ref, lf as fields from step union select 'right:contact/' || b, rf from step")
+def apply_snapshots(spark, sf_dir):
+    return _after(spark, sf_dir)["snapshots"].select("ref", _shown(F.col("fields")).alias("fields")).distinct()
+
+
+@query(_AFTER + f"select 'right:contact/' || b as ref, {_NOW} + interval 300 second as expires_at from step where to_right union all select 'left:contact/' || a, {_NOW} + interval 300 second from step where to_left")
+def apply_origins(spark, sf_dir):
+    return _after(spark, sf_dir)["origins"].select("ref", F.col("expires_at").cast("timestamp_ntz").alias("expires_at"))
+
+
+@query(_AFTER + "select count(*) as n, count(distinct remote_id) as remote_ids from (select b as remote_id from step where to_right union all select a from step where to_left)")
+def apply_idem(spark, sf_dir):
+    return _after(spark, sf_dir)["idem"].agg(F.count("*").alias("n"), F.countDistinct("remote_id").alias("remote_ids"))
+
+
+# ---- routing, deliveries over time, queues, diagnosis ---------------------
+
+
+@query("select event_type, sum(case when event_id % 10 = 0 then 3 when event_id % 4 = 0 then 1 else 2 end)::bigint as n from events group by 1")
+def delivery_ttl(spark, sf_dir):
+    e = _events(spark, sf_dir).select("event_id", F.lit("left").alias("connector"), F.expr("case when event_id % 10 = 0 then '' else 'd-' || event_id end").alias("delivery"), F.col("event_type").alias("kind"), F.lit("x").alias("remote_id"), "at")
+    again = lambda hours: e.withColumn("at", F.col("at") + F.expr(f"interval {hours} hours"))
+    seen = again(-1).where("event_id % 4 = 0").drop("event_id")
+    return deliveries.once(e.unionByName(again(1)).unionByName(again(30)).drop("event_id"), seen).groupBy(F.col("kind").alias("event_type")).agg(F.count("*").alias("n"))
+
+
+@query("select event_id, sync from events join (values ('left', 'purchase', 'both'), ('right', 'purchase', 'both'), ('left', 'click', 'forth'), ('right', 'view', 'back')) t(connector, kind, sync) on event_type = kind and connector = case when event_id % 2 = 0 then 'left' else 'right' end")
+def route_events(spark, sf_dir):
+    sync = lambda name, kind, direction: P.Sync(name, "left", "right", mapping.Mapping(kind, SYNC.mapping.fields, direction), ("email",))
+    e = _events(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 2 == 0, "left").otherwise("right").alias("connector"), F.col("event_type").alias("kind"))
+    return cycle.routed(e, [sync("both", "purchase", "bidirectional"), sync("forth", "click", "left_to_right"), sync("back", "view", "right_to_left")]).select("event_id", "sync")
+
+
+_WINDOWED = "case when event_id % 3 = 0 then 600 when event_id % 3 = 1 then 300 else 30 end"
+
+
+@query(f"select event_id, ts + {_WINDOWED} * interval 1 second as expires_at from events")
+def echo_windows(spark, sf_dir):
+    connector = F.element_at(F.array(F.lit("slow"), F.lit("usual"), F.lit("fast")), (F.col("event_id") % 3 + 1).cast("int"))
+    return _events(spark, sf_dir).select("event_id", origin.expiry(connector, F.col("at"), {"slow": 600, "fast": 30}).cast("timestamp_ntz").alias("expires_at"))
+
+
+def _dead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).select(F.concat(F.lit("q-"), F.lpad(F.col("event_id").cast("string"), 8, "0")).alias("id"), F.when(F.col("event_id") % 5 == 0, "old").otherwise("contact").alias("sync"), F.col("event_type").alias("payload"), "at", "event_id")
+
+
+@query("select 'submitted' as part, 'q-' || lpad(event_id::varchar, 8, '0') as id, null as problem from events where event_id % 7 = 0 and event_id % 5 <> 0 union all select 'left', 'q-' || lpad(event_id::varchar, 8, '0'), null from events where not (event_id % 7 = 0 and event_id % 5 <> 0) union all select 'problem', 'q-' || lpad(event_id::varchar, 8, '0'), 'sync old is not configured' from events where event_id % 35 = 0 union all select 'problem', 'none', 'no such item'")
+def dlq_replay(spark, sf_dir):
+    dead = _dead(spark, sf_dir)
+    ids = dead.where("event_id % 7 = 0").select("id").unionByName(spark.createDataFrame([("none",)], "id string"))
+    submitted, left, wrong = state.replayed(dead, ids, ["contact"])
+    part = lambda name, rows, problem: rows.select(F.lit(name).alias("part"), "id", problem.alias("problem"))
+    none = F.lit(None).cast("string")
+    return part("submitted", submitted, none).unionByName(part("left", left, none)).unionByName(part("problem", wrong, F.col("problem")))
+
+
+@query("select event_id from events where event_id % 3 <> 0")
+def queue_discard(spark, sf_dir):
+    dead = _dead(spark, sf_dir)
+    return state.discarded(dead, dead.where("event_id % 3 = 0")).select("event_id")
+
+
+@query("select event_id from events where event_id % 2 = 0 or ts > timestamp '2024-01-15 00:00:00' order by reverse(event_id::varchar) limit 40")
+def list_in_key_order(spark, sf_dir):
+    rows = _events(spark, sf_dir).withColumn("expires_at", F.when(F.col("event_id") % 2 != 0, F.col("at"))).withColumn("key", F.reverse(F.col("event_id").cast("string")))
+    return state.listed(rows, "key", 40, F.expr("timestamp '2024-01-15 00:00:00'")).select("event_id")
+
+
+@query("select event_id from events where event_id % 4 = 0 or ts <= timestamp '2024-01-10 00:00:00'")
+def delayed_due(spark, sf_dir):
+    queue = _events(spark, sf_dir).select("event_id", F.col("event_id").alias("id"), F.when(F.col("event_id") % 4 != 0, F.col("at")).alias("not_before"))
+    return state.due(queue, F.expr("timestamp '2024-01-10 00:00:00'")).select("event_id")
+
+
+def _idem(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    now = F.expr(_NOW)
+    return _events(spark, sf_dir).where(which).select(F.col("event_id").cast("string").alias("key"), F.lit("r").alias("remote_id"), F.lit(False).alias("created"), F.lit(False).alias("in_flight"), now.alias("written_at"), F.when(F.col("event_id") % 5 == 0, now).otherwise(now + F.expr("interval 1 hour")).alias("expires_at"))
+
+
+@query("select event_id::varchar as key, not (event_id % 2 = 0 and event_id % 5 <> 0) as in_flight from events where event_id % 3 = 0 or (event_id % 2 = 0 and event_id % 5 <> 0)")
+def idem_begin(spark, sf_dir):
+    writes = _events(spark, sf_dir).where("event_id % 3 = 0").select(F.col("event_id").cast("string").alias("key"))
+    return progress.begun(writes.union(writes), _idem(spark, sf_dir, "event_id % 2 = 0"), F.expr(_NOW)).select("key", "in_flight")
+
+
+@query("select event_id::varchar as key, event_id % 3 <> 0 as in_flight from events where event_id % 3 <> 1")
+def idem_settle(spark, sf_dir):
+    e = _events(spark, sf_dir).select(F.col("event_id").cast("string").alias("key"), "event_id")
+    results = e.select("key", F.lit("r").alias("remote_id"), F.lit(True).alias("created"), (F.col("event_id") % 3 != 0).alias("failed"), F.when(F.col("event_id") % 3 == 1, "permanent").alias("error_kind"))
+    return progress.settled(progress.begun(e, _idem(spark, sf_dir, "false"), F.expr(_NOW)), results, F.expr(_NOW)).select("key", "in_flight")
+
+
+@query("select event_id, case when event_id % 2 = 0 then 'unknown' when event_id % 3 = 0 then 'auth' else 'transient' end as kind, event_id % 3 = 0 as answered from events")
+def error_kinds(spark, sf_dir):
+    kind = F.when(F.col("event_id") % 3 == 0, "auth")
+    return _table(spark, sf_dir, "events").select("event_id", progress.kind_of(kind, F.col("event_id") % 2 != 0).alias("kind"), progress.answered(kind).alias("answered"))
+
+
+@query("select distinct o_custkey as id from orders where o_custkey not in (select o_custkey from orders where o_orderdate >= timestamp '1996-06-01 00:00:00')")
+def deleted_scan(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), "o_orderdate")
+    return progress.deleted_scan(orders, orders.where("o_orderdate >= timestamp '1996-06-01 00:00:00'"), "id")
+
+
+@query("select o_orderkey from orders order by o_orderdate, o_orderkey limit 30")
+def delta_in_order(spark, sf_dir):
+    return progress.in_order(_table(spark, sf_dir, "orders"), "o_orderdate", "o_orderkey").limit(30).select("o_orderkey")
+
+
+@query("select 'dlq' as collection, count(*) as n from events union all select 'empty', 0 union all select 'idem', count(*) from events where event_id % 2 = 0 and event_id % 5 <> 0")
+def collection_lengths(spark, sf_dir):
+    dead = _dead(spark, sf_dir)
+    return state.lengths({"dlq": dead, "empty": dead.limit(0), "idem": _idem(spark, sf_dir, "event_id % 2 = 0")}, F.expr(_NOW))
+
+
+@query("""select * from (values ('connector', 'left/contact', true, '2 fields'), ('connector', 'right/contact', true, '3 fields'), ('mapping', 'contact:left-right', false, 'right: info.segment is read-only'), ('watermark', 'right/contact', true, 'not set yet; the next run backfills'), ('queue', 'review queue', true, 'empty')) t(name, subject, ok, detail)
+union all select 'watermark', 'left/contact', true, '3m0s behind' union all select 'queue', 'dead-letter queue', false, count(*) || ' items that exhausted their attempts' from events""")
+def doctor_checks(spark, sf_dir):
+    fields = [("left", "email", False), ("left", "segment", False), ("right", "emails.primary", False), ("right", "info.segment", True), ("right", "nation", False)]
+    schemas = spark.createDataFrame([(c, "contact", f, ro, None) for c, f, ro in fields], "connector string, kind string, field string, read_only boolean, error string")
+    marks = spark.sql(f"select 'left' as connector, 'contact' as kind, {_NOW} - interval 180 seconds as mark")
+    return cycle.diagnosis(schemas, marks, _table(spark, sf_dir, "events").select(F.lit("dlq").alias("queue")), [SYNC], F.expr(_NOW)).drop("k")

@@ -22,10 +22,15 @@ def since(mark: Column, overlap_seconds: int) -> Column:
 
 
 def delta(rows: DataFrame, updated_at: str, start: Column | None) -> DataFrame:
-    """Rows changed at or after `start`; all without one."""
+    """Rows changed at or after `start`; all without one.  `in_order` gives the order in which peers send them."""
     return rows if start is None else rows.where(F.col(updated_at) >= start)
 
 
+def in_order(rows: DataFrame, updated_at: str, id_col: str) -> DataFrame:
+    """A delta in the order of change, ties by id, so that a page cut anywhere loses nothing."""
+    return rows.orderBy(updated_at, id_col)
+
+
 def advanced(marks: DataFrame, seen: DataFrame, keys: list[str], now: Column) -> DataFrame:
     """marks (keys, mark) moved to the highest time seen (keys, at): never back, never past now."""
     top = seen.groupBy(*keys).agg(F.least(F.max("at"), now).alias("_top"))
@@ -40,6 +45,40 @@ def idem_decision(writes: DataFrame, idem: DataFrame, now: Column) -> DataFrame:
     return joined.select(*writes.columns, decision.alias("decision"), F.when(decision == "replayed", F.col("known_id")).alias("known_id"))
 
 
+def begun(writes: DataFrame, idem: DataFrame, now: Column, ttl: int = IDEM_TTL) -> DataFrame:
+    """idem with a mark in flight for each key of writes (key) that has no live row: intent is written before the call."""
+    alive = idem.where(F.col("expires_at").isNull() | (F.col("expires_at") > now))
+    marks = writes.select("key").distinct().join(alive.select("key"), "key", "left_anti")
+    marks = marks.select("key", F.lit(None).cast("string").alias("remote_id"), F.lit(False).alias("created"), F.lit(True).alias("in_flight"), now.alias("written_at"), (now + F.make_dt_interval(secs=F.lit(ttl))).alias("expires_at"))
+    return alive.select(*marks.columns).unionByName(marks)
+
+
+def settled(idem: DataFrame, results: DataFrame, now: Column, ttl: int = IDEM_TTL) -> DataFrame:
+    """idem after the calls: results (key, remote_id, created, failed, error_kind).
+
+    A success is committed.  An error that the peer answered did not land, so its mark
+    goes; a failure without an answer keeps it, since the write may have landed.
+    """
+    good = results.where("not failed").select("key", "remote_id", "created", F.lit(False).alias("in_flight"), now.alias("written_at"), (now + F.make_dt_interval(secs=F.lit(ttl))).alias("expires_at"))
+    gone = results.where(~F.col("failed") | answered(F.col("error_kind"))).select("key").distinct()
+    return idem.join(gone, "key", "left_anti").select(*good.columns).unionByName(good)
+
+
+def kind_of(kind: Column, failed: Column) -> Column:
+    """The class of an outcome: unknown without a failure, transient for a failure of no class."""
+    return F.when(failed, F.coalesce(kind, F.lit("transient"))).otherwise(F.lit("unknown"))
+
+
+def answered(kind: Column) -> Column:
+    """Whether the peer replied: only its own errors have a class; otherwise the outcome is not known."""
+    return kind.isNotNull()
+
+
+def deleted_scan(before: DataFrame, now_there: DataFrame, id_col: str) -> DataFrame:
+    """(id) of records that a peer had and has no more."""
+    return before.select(id_col).distinct().join(now_there.select(id_col), id_col, "left_anti")
+
+
 def retryable(kind: Column) -> Column:
     """Errors worth another try; one without a kind counts as transient."""
     return F.coalesce(kind, F.lit("transient")).isin(*RETRYABLE)

@@ -1,8 +1,8 @@
-"""Keyed state as tables: expiry, latest-wins compaction, overlays, queues and versioned files."""
+"""Keyed state as plain tables: expiry, latest-wins compaction, overlays and queues."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The state tables and their columns.
@@ -15,6 +15,7 @@ TABLES = {
     "dlq": "id string, sync string, ref string, reason string, created_at timestamp, attempts int, payload string",
     "review": "id string, sync string, ref string, reason string, created_at timestamp, attempts int, payload string",
     "watermarks": "connector string, kind string, mark timestamp",
+    "keys": "ref string, key_name string, key_value string",
 }
 
 
@@ -57,37 +58,43 @@ def first_review(items: DataFrame) -> DataFrame:
     return items.groupBy("id").agg(F.min_by(F.struct(*values), "created_at").alias("_row")).select("id", *[F.col(f"_row.{c}").alias(c) for c in values])
 
 
-class TableStore:
-    """State tables as versioned Parquet folders under one root.
+def listed(rows: DataFrame, key: str, limit: int = 0, now: Column | None = None) -> DataFrame:
+    """Live rows in the order of their keys; limit: the first so many, 0 for all."""
+    alive = rows if now is None else rows.where(live(F.col("expires_at"), now))
+    ordered = alive.orderBy(key)
+    return ordered.limit(limit) if limit > 0 else ordered
 
-    A change writes a new version and then the pointer to it, in that order, so a
-    reader sees the old state or the new one.  One writer at a time; commit fails
-    if the pointer moved since the version was read.
-    """
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-        self._seen: dict[str, int] = {}
-
-    def _fs(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def version(self, table: str) -> int:
-        fs, p = self._fs(f"{self.root}/{table}/pointers")
-        return max((int(s.getPath().getName()) for s in fs.listStatus(p)), default=0) if fs.exists(p) else 0
-
-    def read(self, table: str) -> DataFrame:
-        version = self._seen[table] = self.version(table)
-        if version == 0:
-            return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/v{version}")
-
-    def commit(self, table: str, rows: DataFrame) -> int:
-        version = self._seen.get(table, self.version(table)) + 1
-        rows.select(*[c.split()[0] for c in TABLES[table].replace("map<string,string>", "map").split(", ")]).write.mode("overwrite").parquet(f"{self.root}/{table}/v{version}")
-        fs, p = self._fs(f"{self.root}/{table}/pointers/{version}")
-        if not fs.createNewFile(p):
-            raise RuntimeError(f"{table}: version {version} was written by someone else")
-        self._seen[table] = version
-        return version
+def discarded(queue: DataFrame, ids: DataFrame) -> DataFrame:
+    """The queue without the items of `ids` (id)."""
+    return queue.join(ids.select("id").distinct(), "id", "left_anti")
+
+
+def replayed(dead: DataFrame, ids: DataFrame, syncs: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events to submit, the queue left, ids that cannot be replayed with `problem`) of dead letters (id, sync, payload, ...).
+
+    Attempts start anew.  An id that is not there, and an item of a sync that is no
+    longer configured, is a problem and changes nothing.
+    """
+    asked = ids.select("id").distinct()
+    known = F.col("sync").isin(*syncs) if syncs else F.lit(False)
+    found = dead.join(asked, "id", "left_semi").where(known)
+    judged = asked.join(dead.select("id", "sync"), "id", "left")
+    problem = F.when(F.col("sync").isNull(), "no such item").when(~known, F.concat(F.lit("sync "), "sync", F.lit(" is not configured")))
+    return found.select("id", "sync", "payload", F.lit(0).alias("attempts")), dead.join(found.select("id"), "id", "left_anti"), judged.select("id", problem.alias("problem")).where("problem is not null")
+
+
+def due(queue: DataFrame, now: Column) -> DataFrame:
+    """Items whose not_before has come (null: at once), the earliest first."""
+    return queue.where(F.col("not_before").isNull() | (F.col("not_before") <= now)).orderBy(F.col("not_before").asc_nulls_first(), "id")
+
+
+def lengths(tables: dict[str, DataFrame], now: Column) -> DataFrame:
+    """(collection, n) of the live rows of each table; empty ones count 0."""
+    spark = next(iter(tables.values())).sparkSession
+    names = spark.createDataFrame([(n,) for n in tables], "collection string")
+    rows = [t.where(live(F.col("expires_at"), now) if "expires_at" in t.columns else F.lit(True)).select(F.lit(n).alias("collection")) for n, t in tables.items()]
+    found = rows[0]
+    for more in rows[1:]:
+        found = found.unionByName(more)
+    return F.broadcast(names).join(found.groupBy("collection").agg(F.count("*").alias("n")), "collection", "left").select("collection", F.coalesce("n", F.lit(0)).alias("n"))

@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.digest import quoted, ref, review_id, snapshot_hash
+from ..functions.digest import ref, review_id, snapshot_hash
 from ..operators import conflict, identity
-from ..operators.mapping import Mapping
+from ..operators.mapping import DIRECTIONS, Mapping
 
 
 @dataclass(frozen=True)
@@ -33,68 +33,95 @@ def canonical(records: DataFrame, sync: Sync, side: str) -> DataFrame:
     return out.withColumns({f"key_{k}": F.when(F.substring(F.col("fields")[k], 1, 1) == "s", F.substring(F.col("fields")[k], 2, 1 << 30)).otherwise(F.col("fields")[k]) for k in sync.keys})
 
 
-def _state(alias: str, base: str) -> Column:
+def _side(alias: str, base: str) -> Column:
     return F.struct(F.col(f"{alias}.fields").alias("fields"), F.col(f"{alias}.hash").alias("hash"), F.col(f"{alias}.updated_at").alias("updated_at"), F.col(f"{base}.fields").alias("base"), F.col(f"{base}.hash").alias("synced_hash"))
 
 
-def planned(left: DataFrame, right: DataFrame, links: DataFrame, snapshots: DataFrame, sync: Sync) -> DataFrame:
-    """(action, target, source, fields, reason, review) of each change or open question.
+def refs(sync: Sync) -> tuple[Column, Column]:
+    """The refs of l_id and r_id."""
+    kind = F.lit(sync.mapping.kind)
+    return ref(F.lit(sync.left), kind, F.col("l_id")), ref(F.lit(sync.right), kind, F.col("r_id"))
 
-    Both sides are read several times: pass tables that are written or persisted.
 
-    left, right: canonical records; links: (a, b) of remote ids; snapshots:
-    (ref, hash, fields).  Records of either side without a partner are created on
-    the other; pairs are compared once; an ambiguous record waits for a decision.
+def decided(left: DataFrame, right: DataFrame, links: DataFrame, snapshots: DataFrame, sync: Sync) -> DataFrame:
+    """(l_id, r_id, outcome, why, l, r, d) of every record: pairs once, with the decision d; records without a partner with one id.
+
+    left, right: canonical records; links: (a, b) of remote ids; snapshots: (ref,
+    hash, fields).  Sides that a one-way mapping never reads from start nothing.
     """
     keys = {k: f"key_{k}" for k in sync.keys}
     kind = F.lit(sync.mapping.kind)
-    near = identity.resolve(left, right, links, "remote_id", "remote_id", keys, sync.right, sync.on_ambiguous)
-    far = identity.resolve(right, left, links, "remote_id", "remote_id", keys, sync.left, sync.on_ambiguous)
-    pairs = near.where("outcome in ('linked', 'matched')").select("remote_id", "peer_id").union(far.where("outcome in ('linked', 'matched')").select(F.col("peer_id"), F.col("remote_id"))).distinct().toDF("l_id", "r_id")
+    found = []
+    for own, far, peer, other, ids in ((left, right, sync.right, "right", ("remote_id", "peer_id")), (right, left, sync.left, "left", ("peer_id", "remote_id"))):
+        if other in DIRECTIONS[sync.mapping.direction]:
+            who = identity.resolve(own, far, links, "remote_id", "remote_id", keys, peer, sync.on_ambiguous)
+            found.append(who.select(F.col(ids[0]).alias("l_id"), F.col(ids[1]).alias("r_id"), "outcome", F.col("reason").alias("why")))
+    rows = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    rows = rows.groupBy("l_id", "r_id").agg(F.min("outcome").alias("outcome"), F.min("why").alias("why"))
     base = snapshots.select("ref", "hash", "fields")
+    l_ref, r_ref = refs(sync)
+    # an id that is not there is spread by the other one
+    spread = lambda own, far: F.coalesce(F.col(own), F.concat(F.lit("\x00"), F.col(far)))
     joined = (
-        pairs.join(left.alias("l"), F.col("l_id") == F.col("l.remote_id")).join(right.alias("r"), F.col("r_id") == F.col("r.remote_id"))
-        .join(base.alias("lb"), F.col("lb.ref") == ref(F.lit(sync.left), kind, F.col("l_id")), "left")
-        .join(base.alias("rb"), F.col("rb.ref") == ref(F.lit(sync.right), kind, F.col("r_id")), "left")
+        rows.join(left.alias("l"), spread("l_id", "r_id") == F.col("l.remote_id"), "left").join(right.alias("r"), spread("r_id", "l_id") == F.col("r.remote_id"), "left")
+        .join(base.alias("lb"), F.col("lb.ref") == F.coalesce(l_ref, spread("l_id", "r_id")), "left")
+        .join(base.alias("rb"), F.col("rb.ref") == F.coalesce(r_ref, spread("r_id", "l_id")), "left")
     )
-    judged = joined.select("l_id", "r_id", conflict.resolve(_state("l", "lb"), _state("r", "rb"), sync.mapping.names(), sync.policy, dict(sync.per_field)).alias("d"))
-    l_ref, r_ref = ref(F.lit(sync.left), kind, F.col("l_id")), ref(F.lit(sync.right), kind, F.col("r_id"))
-    parts = []
-    for side, target, source, values in (("right", r_ref, l_ref, "d.right_values"), ("left", l_ref, r_ref, "d.left_values")):
-        writes = judged.where(F.col("d.action").isin(f"write_{side}", "write_both"))
-        allowed = F.map_filter(F.col(values), lambda k, _: k.isin(*sync.mapping.writable(side)))
-        parts.append(writes.select(F.lit("update").alias("action"), target.alias("target"), source.alias("source"), allowed.alias("fields"), F.col("d.reason").alias("reason")).where(F.size("fields") > 0))
-    parts.append(judged.where("d.action = 'escalate'").select(F.lit("review").alias("action"), r_ref.alias("target"), l_ref.alias("source"), F.create_map().cast("map<string,string>").alias("fields"), F.col("d.reason").alias("reason")))
-    for side, own, peer, records in (("right", sync.left, sync.right, near), ("left", sync.right, sync.left, far)):
-        allowed = F.map_filter("fields", lambda k, _: k.isin(*sync.mapping.writable(side)))
-        source = ref(F.lit(own), kind, F.col("remote_id"))
-        parts.append(records.where("outcome = 'create'").select(F.lit("create").alias("action"), F.lit(peer).alias("target"), source.alias("source"), allowed.alias("fields"), "reason"))
-        parts.append(records.where("outcome = 'review'").select(F.lit("review").alias("action"), F.lit(peer).alias("target"), source.alias("source"), F.create_map().cast("map<string,string>").alias("fields"), "reason"))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
+    both = F.col("l.remote_id").isNotNull() & F.col("r.remote_id").isNotNull()
+    d = conflict.resolve(_side("l", "lb"), _side("r", "rb"), sync.mapping.names(), sync.policy, dict(sync.per_field))
+    return joined.select("l_id", "r_id", "outcome", "why", _side("l", "lb").alias("l"), _side("r", "rb").alias("r"), F.when(both, d).alias("d"))
+
+
+def _writable(fields: Column, sync: Sync, side: str) -> Column:
+    return F.map_filter(fields, lambda k, _: k.isin(*sync.mapping.writable(side)))
+
+
+def deleted_ends(deletes: DataFrame, links: DataFrame, sync: Sync) -> DataFrame:
+    """(side, l_id, r_id) of the links (a, b) of which an end was deleted: (side, remote_id).  A record without a link ends nothing."""
+    ends = links.select(F.col("a").alias("l_id"), F.col("b").alias("r_id"))
+    by = {side: deletes.where(F.col("side") == side).select(F.col("remote_id").alias(own)).distinct() for side, own in (("left", "l_id"), ("right", "r_id"))}
+    out = [ends.join(gone, own).select(F.lit(side).alias("side"), "l_id", "r_id") for side, own in (("left", "l_id"), ("right", "r_id")) if ("right" if side == "left" else "left") in DIRECTIONS[sync.mapping.direction] for gone in [by[side]]]
+    rows = out[0] if len(out) == 1 else out[0].unionByName(out[1])
+    # with both ends gone one delete is enough: the far one finds no link
+    return rows.groupBy("l_id", "r_id").agg(F.min("side").alias("side")).select("side", "l_id", "r_id")
+
+
+def planned(left: DataFrame, right: DataFrame, links: DataFrame, snapshots: DataFrame, sync: Sync, deletes: DataFrame | None = None) -> DataFrame:
+    """(action, target, source, fields, reason, review) of each change or open question.
+
+    deletes: (side, remote_id) of records that are gone.  Every record is decided
+    once; what follows is made in its row.  A pair with a deleted end is deleted at
+    the other one and not compared.
+    """
+    rows = decided(left, right, links, snapshots, sync)
+    l_ref, r_ref = refs(sync)
+    nothing, d = F.create_map().cast("map<string,string>"), F.col("d")
+    if deletes is not None:
+        ends = deleted_ends(deletes, links, sync)
+        rows = rows.join(ends.select("l_id", "r_id"), ["l_id", "r_id"], "left_anti")
+
+    def act(when: Column, action: str, target: Column, source: Column, fields: Column, reason: Column) -> Column:
+        return F.when(when, F.struct(F.lit(action).alias("action"), target.alias("target"), source.alias("source"), fields.alias("fields"), reason.alias("reason")))
+
+    to_left, to_right = _writable(d["left_values"], sync, "left"), _writable(d["right_values"], sync, "right")
+    from_left = F.col("r_id").isNull()
+    peer, source = F.when(from_left, sync.right).otherwise(sync.left), F.coalesce(l_ref, r_ref)
+    values = F.when(from_left, _writable(F.col("l")["fields"], sync, "right")).otherwise(_writable(F.col("r")["fields"], sync, "left"))
+    actions = F.array_compact(
+        F.array(
+            act(d["action"].isin("write_right", "write_both") & (F.size(to_right) > 0), "update", r_ref, l_ref, to_right, d["reason"]),
+            act(d["action"].isin("write_left", "write_both") & (F.size(to_left) > 0), "update", l_ref, r_ref, to_left, d["reason"]),
+            act(d["action"] == "escalate", "review", r_ref, l_ref, nothing, d["reason"]),
+            act(F.col("outcome") == "create", "create", peer, source, values, F.col("why")),
+            act(F.col("outcome") == "review", "review", peer, source, nothing, F.col("why")),
+        )
+    )
+    out = rows.select(F.explode(actions).alias("x")).select("x.*")
+    if deletes is not None:
+        at_left = F.col("side") == "left"
+        out = out.unionByName(ends.select(F.lit("delete").alias("action"), F.when(at_left, r_ref).otherwise(l_ref).alias("target"), F.when(at_left, l_ref).otherwise(r_ref).alias("source"), nothing.alias("fields"), F.lit("the source was deleted").alias("reason")))
     return out.withColumn("review", F.when(F.col("action") == "review", review_id(F.lit(sync.name), F.col("source"))))
 
 
 def summary(plan: DataFrame) -> DataFrame:
     return plan.groupBy("action").agg(F.count("*").alias("n"))
-
-
-def rendered(plan: DataFrame, sync: str) -> str:
-    """The plan as text, for reading: all of it passes the driver."""
-    lines = F.array_join(F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat(F.lit("    "), e["key"], F.lit(" = "), quoted(e["value"]))), "\n")
-    rows = plan.withColumn("text", lines).orderBy("action", "source").collect()
-    changes = [r for r in rows if r["action"] != "review"]
-    asked = [r for r in rows if r["action"] == "review"]
-    if not rows:
-        return "Nothing to do: both sides already agree.\n"
-    out = [sync] if changes else []
-    for r in changes:
-        out += [f"  {r['action']} on {r['target']}" if r["action"] == "create" else f"  {r['action']} {r['target']}", f"    from {r['source']}", *filter(None, [r["text"]])]
-    if changes:
-        out.append("")
-    if asked:
-        out += [f"Waiting for a decision ({len(asked)})", *(line for r in asked for line in (f"  {r['source']}", f"    {r['reason']}")), ""]
-    counts = [f"{n} to {a}" for a in ("create", "update", "delete") if (n := sum(r["action"] == a for r in rows))]
-    counts += [f"{len(asked)} waiting for a decision"] if asked else []
-    return "\n".join(out) + "\n" + ", ".join(counts) + ".\n"

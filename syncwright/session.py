@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[*]", **conf: str) -> SparkSession:
@@ -11,3 +13,14 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
     for key, value in {**settings, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the folder of spark.checkpoint.dir, its lineage cut; a folder of its own only for a local session without one."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="syncwright-"))
+    return df.checkpoint()

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from ..operators.progress import DELIVERY_TTL
+from ..session import checkpointed
 
 EVENT = "kind string, remote_id string, deleted boolean, record string"
 MOST_BYTES = 4 << 20
@@ -43,15 +47,50 @@ def accepted(deliveries: DataFrame, secret: bytes, now: Column, window: int = 30
 KEY = ["connector", "delivery", "kind", "remote_id"]
 
 
-def once(events: DataFrame) -> DataFrame:
-    """Batch: the first event of each delivery key; events without a delivery id all pass."""
-    values = [c for c in events.columns if c not in KEY]
-    first = events.where("delivery <> ''").groupBy(*KEY).agg(F.min_by(F.struct(*values), "at").alias("_row"))
-    first = first.select(*KEY, *[F.col(f"_row.{c}").alias(c) for c in values]).select(*events.columns)
-    return first.unionByName(events.where("coalesce(delivery, '') = ''"))
+def once(events: DataFrame, seen: DataFrame | None = None, ttl: int = DELIVERY_TTL) -> DataFrame:
+    """Batch: events of a delivery key that was not taken in the `ttl` seconds before; events without a delivery id all pass.
+
+    seen: (connector, delivery, kind, remote_id, at) of keys taken earlier.  A key that
+    comes again after `ttl` is a new delivery.  Each round takes the first event of
+    every key by a partial aggregate, so a key of any number of repeats sends one row a
+    task; there are as many rounds as a key has deliveries more than `ttl` apart.
+    """
+    values = ["at", *[c for c in events.columns if c not in (*KEY, "at")]]
+    apart = F.unix_micros("at") - F.unix_micros("_last") >= ttl * 1_000_000
+    rest = events.where("delivery <> ''")
+    if seen is not None:
+        rest = rest.join(seen.groupBy(*KEY).agg(F.max("at").alias("_last")), KEY, "left").where(F.col("_last").isNull() | apart).drop("_last")
+    taken = events.where("coalesce(delivery, '') = ''")
+    while True:
+        first = rest.groupBy(*KEY).agg(F.min(F.struct(*values)).alias("_row"))
+        taken = taken.unionByName(first.select(*KEY, *[F.col("_row")[c].alias(c) for c in values]).select(*events.columns))
+        again = rest.join(first.select(*KEY, F.col("_row.at").alias("_last")), KEY).where(apart).select(*events.columns)
+        rest = checkpointed(again)
+        if rest.isEmpty():
+            return taken
+
+
+def _first_of_key(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, ttl: int) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
+    last = state.get[0] if state.exists else None
+    rows = pd.concat(list(batches)).sort_values("at", kind="stable")
+    kept = []
+    for k, at in enumerate(rows["at"]):
+        micros = at.value // 1000
+        if last is None or abs(micros - last) >= ttl * 1_000_000:
+            last, _ = micros, kept.append(k)
+    state.update((last,))
+    state.setTimeoutDuration(ttl * 1000)
+    yield rows.iloc[kept]
 
 
 def once_streaming(events: DataFrame, ttl: int = DELIVERY_TTL) -> DataFrame:
-    """Stream: the same, with keys kept for `ttl` seconds of event time."""
-    named = events.where("delivery <> ''").withWatermark("at", f"{ttl} seconds").dropDuplicatesWithinWatermark(KEY)
-    return named.unionByName(events.where("coalesce(delivery, '') = ''").withWatermark("at", f"{ttl} seconds"))
+    """Stream: the same, with each key's last time kept for `ttl` seconds after it was last used.
+
+    There is no watermark, so a late event is judged by its key like any other and never dropped for its time.
+    """
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema)
+    named = events.where("delivery <> ''").groupBy(*KEY).applyInPandasWithState(partial(_first_of_key, ttl=ttl), schema, "last long", "append", "ProcessingTimeTimeout")
+    return named.unionByName(events.where("coalesce(delivery, '') = ''"))
