@@ -89,7 +89,8 @@ def _first_of_key(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
 def once_streaming(events: DataFrame, ttl: int = DELIVERY_TTL) -> DataFrame:
     """Stream: the same, with each key's last time kept for `ttl` seconds after it was last used.
 
-    There is no watermark, so a late event is judged by its key like any other and never dropped for its time.
+    There is no watermark, so a late event is judged by its key like any other and never
+    dropped for its time.  Keys expire by the clock: use a trigger that goes on, not availableNow.
     """
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema)
     named = events.where("delivery <> ''").groupBy(*KEY).applyInPandasWithState(partial(_first_of_key, ttl=ttl), schema, "last long", "append", "ProcessingTimeTimeout")
