@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_crf, licenses, line_dedup, near_dedup, packing, pii_crf, quality_classifier, quality_rules, toxicity
+from . import bpe, decontaminate, hard_negatives, html_crf, licenses, line_dedup, near_dedup, packing, pii_crf, quality_classifier, quality_rules, toxicity, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,9 +54,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, k = _table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    label = F.when(k % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(rows.withColumn("label", label), k % 100 == 0)
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.decoded(bpe.encoded(_table(spark, sf_dir, "documents")))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_near_dedup, op3_quality_rules, op4_decontamination, op5_pii, op6_toxicity, op7_license_scan, op8_quality_classifier, op9_packing, op10_line_dedup)
+    for f in (op1_html_extraction, op2_near_dedup, op3_quality_rules, op4_decontamination, op5_pii, op6_toxicity, op7_license_scan, op8_quality_classifier, op9_packing, op10_line_dedup, op11_hard_negatives, op12_bpe, op13_vector_codes)
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -127,4 +143,43 @@ select doc_id, path, coalesce(best.licence, handed) as licence, -best.less as co
 from placed left join nearest using (dir)
 """
 
-ORACLE_SQL = {"op2_near_dedup": OP2_SQL, "op7_license_scan": OP7_SQL, "op10_line_dedup": OP10_SQL}
+_FINITE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+OP11_SQL = f"""
+with kept as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q
+              from embeddings where label is not null and {_FINITE}),
+pairs as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_inner_product(a.q, b.q) as bigint) as score
+          from kept a join kept b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+positive as (select anchor_id, vec_id as positive_id, score as positive_score from pairs where same
+             qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as integer) as rank, vec_id as negative_id, positive_score, score as negative_score
+from positive join pairs using (anchor_id) where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) <= 5
+"""
+
+
+def _codes_sql(rounds: int = 4, parts: int = 4, entries: int = 256, width: int = 16) -> str:
+    """Plain Lloyd, round by round: entries b0, b1, ... and the assignments a0, a1, ... to them."""
+    steps = [
+        f"kept as materialized (select vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)) as q from embeddings where {_FINITE})",
+        f"part as materialized (select vec_id, p, q[{width} * p + 1:{width} * p + {width}] as x from kept, range({parts}) t(p))",
+        f"b0 as materialized (select p, row_number() over (partition by p order by vec_id) - 1 as e, x as c from part where vec_id in (select vec_id from kept order by vec_id limit {entries}))",
+    ]
+    for k in range(rounds + 1):
+        far = "list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c)"
+        steps.append(f"a{k} as materialized (select vec_id, p, any_value(x) as x, min(row(cast({far} as bigint), e)) as best from part join b{k} using (p) group by vec_id, p)")
+        if k < rounds:
+            at = ", ".join(f"floor(sum(x[{j}]) / count(*))" for j in range(1, width + 1))
+            steps.append(f"b{k + 1} as materialized (select p, e, coalesce(m, c) as c from b{k} left join (select p, best[2] as e, [{at}] as m from a{k} group by p, best[2]) using (p, e))")
+    return f"""
+with {", ".join(steps)},
+coded as (select vec_id, label, string_agg(lower(lpad(hex(best[2]), 2, '0')), '' order by p) as code, cast(sum(best[1]) as bigint) as error from a{rounds} join kept using (vec_id) group by vec_id, label)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+       (select sha256(string_agg(array_to_string(list_transform(c, lambda v: cast(v as bigint)), ','), ',' order by p, e)) from b{rounds}) as codebooks_sha256
+from coded
+"""
+
+
+OP13_SQL = _codes_sql()
+
+ORACLE_SQL = {"op11_hard_negatives": OP11_SQL, "op13_vector_codes": OP13_SQL, "op2_near_dedup": OP2_SQL, "op7_license_scan": OP7_SQL, "op10_line_dedup": OP10_SQL}
