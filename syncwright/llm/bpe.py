@@ -9,8 +9,8 @@ pairs with their neighbours are looked up anew and go back to the index, which m
 lower rank first again.  Texts then take the ids of their words by number.
 
 The order of merges within a word is that of the single word: lowest rank first, of one
-rank the leftmost.  A merge that makes a pair of a lower rank while its word still waits
-for more merges of the same rank would break that order; such a word is merged alone.
+rank the leftmost.  A merge that makes a pair of a lower rank while its word has more
+merges of the same rank breaks that order; such a word is merged alone.
 
 Defined cases: a null text is empty; an empty text has no ids and no bytes; texts and
 words may have any length (a longer text than the share is a share of its own); equal
@@ -128,6 +128,9 @@ class Vocabulary:
                 continue
             gone = nxt[at]
             after = nxt[gone]
+            between = after[:-1][after[:-1] == at[1:]]
+            if len(between):  # merged next to each other: a pair that stands only between the two merges
+                hard.update(word[between[self.made(np.full(len(between), rank), tok[between]) < rank]].tolist())
             tok[at], nxt[at], prv[after] = rank, after, at
             alive[gone], made[gone] = False, NONE
             before = prv[at]

@@ -68,7 +68,7 @@ class Block:
         self.q, self.x = q, q.astype(np.float64) @ axes
         squares = np.cumsum((self.x**2)[:, ::-1], 1)[:, ::-1]
         self.left = np.stack([np.sqrt(squares[:, c]) if c < q.shape[1] else np.zeros(len(q)) for c in cuts], 1)
-        self.norm = np.sqrt(squares[:, 0]) if q.shape[1] else np.zeros(len(q))
+        self.norm = np.sqrt(squares[:, 0])
 
     def take(self, rows) -> Block:
         out = object.__new__(Block)
@@ -132,7 +132,7 @@ def best(a: Block, b: Block, ids: np.ndarray, low: np.ndarray, high: np.ndarray,
 
 
 def _cuts(width: int) -> list[int]:
-    return sorted({max(1, width * k // 4) for k in range(1, 5)}) if width else [0]
+    return sorted({max(1, width * k // 4) for k in range(1, 5)})
 
 
 def _blocks(anchors: pa.Table, rows: pa.Table, axes: np.ndarray) -> tuple[Block, Block, list[int], np.ndarray]:
@@ -188,7 +188,7 @@ def mined(rows: DataFrame, is_anchor: Column, id_col: str = "vec_id", vector_col
     named = whole(rows.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()), F.col(vector_col), factor, F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.coalesce(is_anchor, F.lit(False)).alias("is_anchor"), most=float(1 << 56))
     # numbered in the written table: the number tells a row from its copies
     kept = store.save(named.withColumn("row", F.monotonically_increasing_id()), "rows")
-    n, m, width = kept.agg(F.count("*"), F.count_if("is_anchor"), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
+    n, m, width = kept.agg(F.count("*"), F.count_if("is_anchor"), F.greatest(F.max(F.size("q")), F.lit(1))).first()
     axes = rotation(kept, width)
     body, anchors = kept.drop("is_anchor"), kept.where("is_anchor").drop("is_anchor")
     block = min(rows_per_cell, max(2048, -(-n // spark.sparkContext.defaultParallelism)))

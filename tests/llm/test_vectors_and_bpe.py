@@ -59,15 +59,14 @@ def test_hard_negatives_equal_brute_force(spark, cell):
     r = np.random.default_rng(5)
     centres = r.normal(size=(6, 12))
     rows = []
-    for i in range(2500 if cell[1] == 7 else 400):
+    for i in range(2200 if cell[1] == 7 else 400):
         # a third of all rows have one label and nearly one place; many scores tie
         label = 0 if i % 3 == 0 else int(r.integers(1, 6))
         v = np.round(centres[label] * (1 if i % 3 else 2) + r.normal(size=12) * (0.4 if i % 3 else 0.01), 1)
         rows.append((i, v.tolist(), label))
-    few = rows if cell[1] != 7 else [(i, v, k) for i, v, k in rows]
-    anchor = lambda i: i % 10 == 0 and i < 300
-    found = hard_negatives.mined(vectors(spark, few), (F.col("vec_id") % 10 == 0) & (F.col("vec_id") < 300), rows_per_cell=cell[0], anchors_per_cell=cell[1])
-    assert sorted(map(tuple, found.collect())) == brute_negatives(few, anchor)
+    anchor = lambda i: i % 10 == 0 and i < 120
+    found = hard_negatives.mined(vectors(spark, rows), (F.col("vec_id") % 10 == 0) & (F.col("vec_id") < 120), rows_per_cell=cell[0], anchors_per_cell=cell[1])
+    assert sorted(map(tuple, found.collect())) == brute_negatives(rows, anchor)
 
 
 def test_hard_negatives_of_odd_rows(spark):
@@ -192,9 +191,11 @@ def test_ids_equal_tiktoken(spark):
 def test_every_code_point():
     v = bpe.vocabulary("byte_bpe_50k.tiktoken")
     plain = encoding(v, public_tokenizers.PATTERN)
-    rows = [f"a{chr(c)}b {chr(c)}{chr(c)}1{chr(c)} " for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rows = [f"a{chr(c)}b {chr(c)}{chr(c)}1{chr(c)} " for c in range(0x30000) if not 0xD800 <= c < 0xE000]
     ids, counts = v.encoded(rows)
-    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == plain.encode_ordinary_batch(rows)
+    want = plain.encode_ordinary_batch(rows)
+    assert counts.tolist() == [len(w) for w in want]
+    assert np.array_equal(ids, np.concatenate(want))
 
 
 @pytest.mark.parametrize("seed", range(8))
