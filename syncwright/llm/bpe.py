@@ -1,6 +1,6 @@
 """Byte-level BPE in both directions: texts to ids by merge replay over the words of many texts, ids to bytes by lookup.
 
-A task gathers the texts of its partition, some 32 million bytes at a time.  Their
+A task gathers the texts of its partition, some 16 million bytes at a time.  Their
 distinct words (matches of the vocabulary's pattern) stand in one array of tokens, at
 first single bytes.  An index leads from each mergeable pair to the positions where it
 stands; pairs that make the same token share an entry.  Merges are replayed in rank
@@ -177,8 +177,12 @@ class Vocabulary:
         start = np.empty(len(words), np.int64)
         start[other] = np.cumsum(counts) - counts
         start[whole >= 0] = len(ids) + np.arange(len(words) - len(other))
-        out = [flat[_spans(start[f], size[f])] for f in found]
-        return np.concatenate(out or [np.zeros(0, np.int32)]), np.array([len(x) for x in out], np.int64)
+        lengths = np.array([size[f].sum() for f in found], np.int64)
+        out, at = np.empty(lengths.sum(), np.int32), 0
+        for f, n in zip(found, lengths.tolist()):
+            out[at : at + n] = flat[_spans(start[f], size[f])]
+            at += n
+        return out, lengths
 
     def decoded(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of ids, one after the other."""
@@ -229,7 +233,7 @@ def _encoded_rows(batches: Iterator[pa.RecordBatch], path: str, pattern: str | N
         yield from flushed(keys, texts)
 
 
-def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = "byte_bpe_50k.tiktoken", pattern: str | None = None, share: int = 1 << 25) -> DataFrame:
+def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = "byte_bpe_50k.tiktoken", pattern: str | None = None, share: int = 1 << 24) -> DataFrame:
     """(doc_id, ids) of every text, without special tokens.  share: bytes of text whose words are merged together in a task."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
