@@ -505,14 +505,16 @@ def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PLAN = _PEERS + """,
 lm as (select l.id, count(*) as n, min(r.id) as far from l join r on l.email = r.email group by 1), rm as (select r.id, count(*) as n, min(l.id) as far from r join l on l.email = r.email group by 1),
-pairs as (select l.id as lid, coalesce(b, far) as rid from l left join links on l.id = a left join lm on l.id = lm.id where b is not null or lm.n = 1
-          union select coalesce(a, far), r.id from r left join links on r.id = b left join rm on r.id = rm.id where a is not null or rm.n = 1),
+free as (select l.id as lid, lm.far as rid from l join lm on l.id = lm.id join rm on rm.id = lm.far where lm.n = 1 and rm.n = 1 and l.id not in (select a from links) and lm.far not in (select b from links)),
+pairs as (select a as lid, b as rid from links union all select lid, rid from free),
 p as (select 'update' as action, 'right:contact/' || rid as target, 'left:contact/' || lid as source, 'email=' || l.email || ';segment=' || l.seg as fields, 'both sides changed; the left side is the source of truth' as reason
       from pairs join l on lid = l.id join r on rid = r.id where l.seg <> r.seg or l.email <> r.email
       union all select 'create', 'right', 'left:contact/' || l.id, 'email=' || l.email || ';segment=' || l.seg, 'no match' from l left join links on l.id = a left join lm on l.id = lm.id where a is null and lm.n is null
       union all select 'create', 'left', 'right:contact/' || r.id, 'email=' || r.email || ';segment=' || r.seg, 'no match' from r left join links on r.id = b left join rm on r.id = rm.id where b is null and rm.n is null
       union all select 'review', 'right', 'left:contact/' || l.id, '', lm.n || ' records on right match on email' from l left join links on l.id = a join lm on l.id = lm.id where a is null and lm.n > 1
-      union all select 'review', 'left', 'right:contact/' || r.id, '', rm.n || ' records on left match on email' from r left join links on r.id = b join rm on r.id = rm.id where b is null and rm.n > 1)
+      union all select 'review', 'left', 'right:contact/' || r.id, '', rm.n || ' records on left match on email' from r left join links on r.id = b join rm on r.id = rm.id where b is null and rm.n > 1
+      union all select 'review', 'right', 'left:contact/' || l.id, '', 'matched on email, but the record there has another match' from l left join links on l.id = a join lm on l.id = lm.id where a is null and lm.n = 1 and l.id not in (select lid from free)
+      union all select 'review', 'left', 'right:contact/' || r.id, '', 'matched on email, but the record there has another match' from r left join links on r.id = b join rm on r.id = rm.id where b is null and rm.n = 1 and r.id not in (select rid from free))
 """
 
 
@@ -605,9 +607,14 @@ def apply_links(spark, sf_dir):
     return _after(spark, sf_dir)["links"].select("a", "b", F.col("linked_at").cast("timestamp_ntz").alias("linked_at"))
 
 
-@query(_AFTER + "select distinct 'left:contact/' || a as ref, lf as fields from step union select 'right:contact/' || b, rf from step")
+@query(_AFTER + "select 'left:contact/' || a as ref, lf as fields from step union all select 'right:contact/' || b, rf from step")
 def apply_snapshots(spark, sf_dir):
-    return _after(spark, sf_dir)["snapshots"].select("ref", _shown(F.col("fields")).alias("fields")).distinct()
+    return _after(spark, sf_dir)["snapshots"].select("ref", _shown(F.col("fields")).alias("fields"))
+
+
+@query(_AFTER + "select 'left:contact/' || a as ref, 'email' as key_name, split_part(split_part(lf, ';', 1), '=', 2) as key_value from step union all select 'right:contact/' || b, 'email', split_part(split_part(rf, ';', 1), '=', 2) from step")
+def apply_keys(spark, sf_dir):
+    return _after(spark, sf_dir)["keys"].select("ref", "key_name", "key_value")
 
 
 @query(_AFTER + f"select 'right:contact/' || b as ref, {_NOW} + interval 300 second as expires_at from step where to_right union all select 'left:contact/' || a, {_NOW} + interval 300 second from step where to_left")
@@ -615,9 +622,29 @@ def apply_origins(spark, sf_dir):
     return _after(spark, sf_dir)["origins"].select("ref", F.col("expires_at").cast("timestamp_ntz").alias("expires_at"))
 
 
-@query(_AFTER + "select count(*) as n, count(distinct remote_id) as remote_ids from (select b as remote_id from step where to_right union all select a from step where to_left)")
+_PREFIXED = "strlen({0}) || ':' || {0}"
+_WRITTEN = """, write as (
+ select b as remote_id, 'left' as source, a as source_id, 'right' as target, rf as fields from step where to_right
+ union all select a, 'right', b, 'left', lf from step where to_left),
+payload as (select *, 's' || split_part(split_part(fields, ';', 1), '=', 2) as email, 's' || split_part(split_part(fields, ';', 2), '=', 2) as segment from write),
+part as (select remote_id, starts_with(remote_id, 'N-') as created, source, source || ':contact/' || source_id as source_ref, target, case when starts_with(remote_id, 'N-') then '' else target || ':contact/' || remote_id end as target_ref,
+         sha256('5:email' || strlen(email) || ':' || email || '7:segment' || strlen(segment) || ':' || segment) as hash from payload)
+"""
+
+
+@query(_AFTER + _WRITTEN + f"select remote_id, created, sha256('18:contact:left-right7:contact' || {' || '.join(_PREFIXED.format(c) for c in ('source', 'source_ref', 'target', 'target_ref', 'hash'))}) as key from part")
 def apply_idem(spark, sf_dir):
-    return _after(spark, sf_dir)["idem"].agg(F.count("*").alias("n"), F.countDistinct("remote_id").alias("remote_ids"))
+    return _after(spark, sf_dir)["idem"].select("remote_id", "created", "key")
+
+
+@query(_PLAN + """, gone as (select id from r where k % 4 = 0),
+d as (select a, b from links where b in (select id from gone))
+select 'create' as action, 'right' as target, 'left:contact/' || a as source, 'email=' || l.email || ';segment=' || l.seg as fields, 'the linked record is not there' as reason from d join l on a = l.id""")
+def plan_dangling(spark, sf_dir):
+    """Linked records whose other end is no longer there, and not known as deleted."""
+    left, right, links = _sides_of_plan(spark, sf_dir)
+    plan = P.planned(left, right.where("not regexp_extract(remote_id, '([0-9]+)$', 1) % 4 = 0"), links, _no_snapshots(spark), SYNC)
+    return _changes(plan).where("reason = 'the linked record is not there'")
 
 
 # ---- routing, deliveries over time, queues, diagnosis ---------------------

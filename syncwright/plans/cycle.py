@@ -15,7 +15,8 @@ from ..operators.mapping import DIRECTIONS
 from ..operators.origin import expiry
 from ..operators.progress import IDEM_TTL
 from ..operators.state import overlay, swept
-from .plan import Sync, _writable, deleted_ends, refs
+from ..session import checkpointed
+from .plan import Sync, _writable, deleted_ends, refs, standing
 
 
 def merged(base: Column, values: Column) -> Column:
@@ -24,10 +25,11 @@ def merged(base: Column, values: Column) -> Column:
 
 
 def committed(decisions: DataFrame, created: DataFrame, sync: Sync) -> DataFrame:
-    """(l_id, r_id, l_after, r_after, to_left, to_right) of the pairs that are in step after the cycle.
+    """(l_id, r_id, l_after, r_after, to_left, to_right, made) of the pairs that are in step after the cycle.
 
-    created: (source ref, remote_id), the peers' answers to creates; what waits for a
-    decision, and a create without an answer, is not in step.
+    decisions: as plan.standing gives them; created: (source ref, remote_id), the peers'
+    answers to creates; what waits for a decision, and a create without an answer, is not
+    in step.  made: the pair's other end was created in this cycle.
     """
     l_ref, r_ref = refs(sync)
     answers = created.select(F.col("source").alias("_source"), F.col("remote_id").alias("_new"))
@@ -36,33 +38,38 @@ def committed(decisions: DataFrame, created: DataFrame, sync: Sync) -> DataFrame
     rows = rows.where("outcome <> 'create' and d is not null or _new is not null")
     to_right = F.when(F.col("outcome") == "create", F.when(F.col("r_id").isNull(), _writable(F.col("l")["fields"], sync, "right"))).otherwise(_writable(F.col("d")["right_values"], sync, "right"))
     to_left = F.when(F.col("outcome") == "create", F.when(F.col("l_id").isNull(), _writable(F.col("r")["fields"], sync, "left"))).otherwise(_writable(F.col("d")["left_values"], sync, "left"))
-    rows = rows.select(F.coalesce("l_id", "_new").alias("l_id"), F.coalesce("r_id", "_new").alias("r_id"), F.col("l")["fields"].alias("lf"), F.col("r")["fields"].alias("rf"), to_left.alias("to_left"), to_right.alias("to_right"))
-    return rows.select("l_id", "r_id", merged(F.col("lf"), F.col("to_left")).alias("l_after"), merged(F.col("rf"), F.col("to_right")).alias("r_after"), "to_left", "to_right")
+    rows = rows.select(F.coalesce("l_id", "_new").alias("l_id"), F.coalesce("r_id", "_new").alias("r_id"), F.col("l")["fields"].alias("lf"), F.col("r")["fields"].alias("rf"), to_left.alias("to_left"), to_right.alias("to_right"), (F.col("outcome") == "create").alias("made"))
+    return rows.select("l_id", "r_id", merged(F.col("lf"), F.col("to_left")).alias("l_after"), merged(F.col("rf"), F.col("to_right")).alias("r_after"), "to_left", "to_right", "made")
 
 
 def after(decisions: DataFrame, created: DataFrame, deletes: DataFrame, state: dict[str, DataFrame], sync: Sync, now: Column, windows: dict[str, int] | None = None) -> dict[str, DataFrame]:
     """The tables links, snapshots, origins, idem and keys after a cycle at `now`.
 
-    A deleted end drops its link with both snapshots and keys.  Every write leaves an
-    origin, of the whole record as the peer will send it back, and its result under its
-    idempotency key.  windows: seconds that origins live, by connector.
+    A deleted end drops its link with both snapshots and keys, and so does a link that
+    leads nowhere.  Every write leaves an origin, of the whole record as the peer will send
+    it back, and its result under its idempotency key.  The key of a create names no
+    target, since nobody knows it before the call: a repeat has the same key.  windows:
+    seconds that origins live, by connector.  The pairs are written once; all tables
+    come from them, and no link, snapshot or key has a record twice.
     """
     names = sync.mapping.names()
     ends = deleted_ends(deletes, state["links"], sync)
-    pairs = committed(decisions, created, sync).join(ends.select("l_id", "r_id"), ["l_id", "r_id"], "left_anti")
+    rows, nowhere = standing(decisions, ends, sync)
+    pairs = checkpointed(committed(rows, created, sync))
+    ends = ends.select("l_id", "r_id").union(nowhere)
     l_ref, r_ref = refs(sync)
     links = pairs.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), now.alias("linked_at"))
     links = overlay(state["links"], links.join(state["links"].select("a", "b"), ["a", "b"], "left_anti"), ends.select(F.col("l_id").alias("a"), F.col("r_id").alias("b")), ["a", "b"])
 
-    sides = F.array(F.struct(l_ref.alias("ref"), F.col("l_after").alias("fields"), F.col("to_left").alias("written"), r_ref.alias("source"), F.lit(sync.left).alias("connector")), F.struct(r_ref.alias("ref"), F.col("r_after").alias("fields"), F.col("to_right").alias("written"), l_ref.alias("source"), F.lit(sync.right).alias("connector")))
+    sides = F.array(F.struct(l_ref.alias("ref"), F.col("l_after").alias("fields"), F.col("to_left").alias("written"), r_ref.alias("source"), F.lit(sync.left).alias("connector"), "made"), F.struct(r_ref.alias("ref"), F.col("r_after").alias("fields"), F.col("to_right").alias("written"), l_ref.alias("source"), F.lit(sync.right).alias("connector"), "made"))
     side = pairs.select(F.explode(sides).alias("s")).select("s.*").withColumn("hash", snapshot_hash(F.col("fields"), names))
     gone = ends.select(F.explode(F.array(l_ref, r_ref)).alias("ref"))
     snapshots = overlay(state["snapshots"], side.select("ref", "hash", "fields", now.alias("at")), gone, ["ref"])
 
     write = side.where("size(written) > 0")
     origins = swept(state["origins"], now).unionByName(write.select("ref", "hash", now.alias("written_at"), expiry(F.col("connector"), now, windows).alias("expires_at")))
-    key = idempotency_key(F.lit(sync.name), F.lit(sync.mapping.kind), F.split("source", ":", 2)[0], F.col("source"), F.col("connector"), F.col("ref"), F.col("hash"))
-    result = write.select(key.alias("key"), F.regexp_extract("ref", "^[^/]*/(.*)$", 1).alias("remote_id"), F.lit(False).alias("created"), F.lit(False).alias("in_flight"), now.alias("written_at"), (now + F.make_dt_interval(secs=F.lit(IDEM_TTL))).alias("expires_at"))
+    key = idempotency_key(F.lit(sync.name), F.lit(sync.mapping.kind), F.split("source", ":", 2)[0], F.col("source"), F.col("connector"), F.when(F.col("made"), "").otherwise(F.col("ref")), F.col("hash"))
+    result = write.select(key.alias("key"), F.regexp_extract("ref", "^[^/]*/(.*)$", 1).alias("remote_id"), F.col("made").alias("created"), F.lit(False).alias("in_flight"), now.alias("written_at"), (now + F.make_dt_interval(secs=F.lit(IDEM_TTL))).alias("expires_at"))
     idem = overlay(swept(state["idem"], now), result, result.limit(0), ["key"])
 
     named = F.array(*[F.struct(F.lit(k).alias("key_name"), untag(F.col("fields")[k]).alias("key_value")) for k in sync.keys])

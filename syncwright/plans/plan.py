@@ -44,20 +44,18 @@ def refs(sync: Sync) -> tuple[Column, Column]:
 
 
 def decided(left: DataFrame, right: DataFrame, links: DataFrame, snapshots: DataFrame, sync: Sync) -> DataFrame:
-    """(l_id, r_id, outcome, why, l, r, d) of every record: pairs once, with the decision d; records without a partner with one id.
+    """(l_id, r_id, outcome, why, l, r, d, lost) of every record: pairs once, with the decision d; records without a partner with one id.
 
     left, right: canonical records; links: (a, b) of remote ids; snapshots: (ref,
-    hash, fields).  Sides that a one-way mapping never reads from start nothing.
+    hash, fields).  No record stands in two pairs (identity.partners).  Sides that a
+    one-way mapping never reads from start nothing.  lost: the side whose linked record
+    is not there.
     """
     keys = {k: f"key_{k}" for k in sync.keys}
-    kind = F.lit(sync.mapping.kind)
-    found = []
-    for own, far, peer, other, ids in ((left, right, sync.right, "right", ("remote_id", "peer_id")), (right, left, sync.left, "left", ("peer_id", "remote_id"))):
-        if other in DIRECTIONS[sync.mapping.direction]:
-            who = identity.resolve(own, far, links, "remote_id", "remote_id", keys, peer, sync.on_ambiguous)
-            found.append(who.select(F.col(ids[0]).alias("l_id"), F.col(ids[1]).alias("r_id"), "outcome", F.col("reason").alias("why")))
-    rows = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-    rows = rows.groupBy("l_id", "r_id").agg(F.min("outcome").alias("outcome"), F.min("why").alias("why"))
+    asked = lambda own, far, peer: identity.resolve(own, far, links, "remote_id", "remote_id", keys, peer, sync.on_ambiguous).withColumnRenamed("remote_id", "id")
+    rows = identity.partners(asked(left, right, sync.right), asked(right, left, sync.left))
+    starts = {"bidirectional": "true", "left_to_right": "by_left", "right_to_left": "by_right"}[sync.mapping.direction]
+    rows = rows.where(starts).drop("by_left", "by_right")
     base = snapshots.select("ref", "hash", "fields")
     l_ref, r_ref = refs(sync)
     # an id that is not there is spread by the other one
@@ -67,9 +65,28 @@ def decided(left: DataFrame, right: DataFrame, links: DataFrame, snapshots: Data
         .join(base.alias("lb"), F.col("lb.ref") == F.coalesce(l_ref, spread("l_id", "r_id")), "left")
         .join(base.alias("rb"), F.col("rb.ref") == F.coalesce(r_ref, spread("r_id", "l_id")), "left")
     )
-    both = F.col("l.remote_id").isNotNull() & F.col("r.remote_id").isNotNull()
+    there = {side: F.col(f"{side[0]}.remote_id").isNotNull() for side in ("left", "right")}
     d = conflict.resolve(_side("l", "lb"), _side("r", "rb"), sync.mapping.names(), sync.policy, dict(sync.per_field))
-    return joined.select("l_id", "r_id", "outcome", "why", _side("l", "lb").alias("l"), _side("r", "rb").alias("r"), F.when(both, d).alias("d"))
+    lost = F.when(F.col("outcome") == "linked", F.when(~there["right"], "right").when(~there["left"], "left"))
+    return joined.select("l_id", "r_id", "outcome", "why", _side("l", "lb").alias("l"), _side("r", "rb").alias("r"), F.when(there["left"] & there["right"], d).alias("d"), lost.alias("lost"))
+
+
+def standing(rows: DataFrame, ends: DataFrame | None, sync: Sync) -> tuple[DataFrame, DataFrame]:
+    """(decisions to act on, links (l_id, r_id) that lead nowhere) of decisions and the ends that were deleted.
+
+    A pair with a deleted end is not compared.  A link to a record that is not there, and
+    was not deleted as far as is known, is dropped, and the record at its other end is
+    created anew; otherwise the pair would never be in step again.
+    """
+    if ends is not None:
+        rows = rows.join(ends.select("l_id", "r_id"), ["l_id", "r_id"], "left_anti")
+    nowhere = rows.where("lost is not null").select("l_id", "r_id")
+    lost = F.col("lost")
+    out = rows.withColumns({
+        "l_id": F.when(lost.isNull() | (lost == "right"), F.col("l_id")), "r_id": F.when(lost.isNull() | (lost == "left"), F.col("r_id")),
+        "outcome": F.when(lost.isNull(), F.col("outcome")).otherwise("create"), "why": F.when(lost.isNull(), F.col("why")).otherwise("the linked record is not there"),
+    })
+    return out.drop("lost"), nowhere
 
 
 def _writable(fields: Column, sync: Sync, side: str) -> Column:
@@ -91,14 +108,13 @@ def planned(left: DataFrame, right: DataFrame, links: DataFrame, snapshots: Data
 
     deletes: (side, remote_id) of records that are gone.  Every record is decided
     once; what follows is made in its row.  A pair with a deleted end is deleted at
-    the other one and not compared.
+    the other one and not compared; a link that leads nowhere makes a create.
     """
     rows = decided(left, right, links, snapshots, sync)
     l_ref, r_ref = refs(sync)
     nothing, d = F.create_map().cast("map<string,string>"), F.col("d")
-    if deletes is not None:
-        ends = deleted_ends(deletes, links, sync)
-        rows = rows.join(ends.select("l_id", "r_id"), ["l_id", "r_id"], "left_anti")
+    ends = deleted_ends(deletes, links, sync) if deletes is not None else None
+    rows, _ = standing(rows, ends, sync)
 
     def act(when: Column, action: str, target: Column, source: Column, fields: Column, reason: Column) -> Column:
         return F.when(when, F.struct(F.lit(action).alias("action"), target.alias("target"), source.alias("source"), fields.alias("fields"), reason.alias("reason")))
@@ -117,7 +133,7 @@ def planned(left: DataFrame, right: DataFrame, links: DataFrame, snapshots: Data
         )
     )
     out = rows.select(F.explode(actions).alias("x")).select("x.*")
-    if deletes is not None:
+    if ends is not None:
         at_left = F.col("side") == "left"
         out = out.unionByName(ends.select(F.lit("delete").alias("action"), F.when(at_left, r_ref).otherwise(l_ref).alias("target"), F.when(at_left, l_ref).otherwise(r_ref).alias("source"), nothing.alias("fields"), F.lit("the source was deleted").alias("reason")))
     return out.withColumn("review", F.when(F.col("action") == "review", review_id(F.lit(sync.name), F.col("source"))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+from bisect import bisect
 from collections.abc import Iterator
 from functools import partial
 
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 from ..operators.progress import DELIVERY_TTL
-from ..session import checkpointed
 
 EVENT = "kind string, remote_id string, deleted boolean, record string"
 MOST_BYTES = 4 << 20
@@ -51,47 +51,50 @@ def once(events: DataFrame, seen: DataFrame | None = None, ttl: int = DELIVERY_T
     """Batch: events of a delivery key that was not taken in the `ttl` seconds before; events without a delivery id all pass.
 
     seen: (connector, delivery, kind, remote_id, at) of keys taken earlier.  A key that
-    comes again after `ttl` is a new delivery.  Each round takes the first event of
-    every key by a partial aggregate, so a key of any number of repeats sends one row a
-    task; there are as many rounds as a key has deliveries more than `ttl` apart.
+    comes again after `ttl` is a new delivery.  Repeats at one time are one row before the
+    times of a key meet; those are sorted and folded once.
     """
     values = ["at", *[c for c in events.columns if c not in (*KEY, "at")]]
-    apart = F.unix_micros("at") - F.unix_micros("_last") >= ttl * 1_000_000
-    rest = events.where("delivery <> ''")
-    if seen is not None:
-        rest = rest.join(seen.groupBy(*KEY).agg(F.max("at").alias("_last")), KEY, "left").where(F.col("_last").isNull() | apart).drop("_last")
-    taken = events.where("coalesce(delivery, '') = ''")
-    while True:
-        first = rest.groupBy(*KEY).agg(F.min(F.struct(*values)).alias("_row"))
-        taken = taken.unionByName(first.select(*KEY, *[F.col("_row")[c].alias(c) for c in values]).select(*events.columns))
-        again = rest.join(first.select(*KEY, F.col("_row.at").alias("_last")), KEY).where(apart).select(*events.columns)
-        rest = checkpointed(again)
-        if rest.isEmpty():
-            return taken
+    named = events.where("delivery <> ''").groupBy(*KEY, "at").agg(F.min(F.struct(*values)).alias("_row"))
+    times = named.groupBy(*KEY).agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
+    if seen is None:
+        times = times.withColumn("_last", F.lit(None).cast("timestamp"))
+    else:
+        times = times.join(seen.groupBy(*KEY).agg(F.max("at").alias("_last")), KEY, "left")
+    apart = lambda row, last: last.isNull() | (F.unix_micros(row["at"]) - F.unix_micros(last) >= ttl * 1_000_000)
+    start = F.struct(F.col("_last").alias("last"), F.slice("_rows", 1, 0).alias("kept"))
+    step = lambda so_far, row: F.when(apart(row, so_far["last"]), F.struct(row["at"].alias("last"), F.array_append(so_far["kept"], row).alias("kept"))).otherwise(so_far)
+    taken = times.select(*KEY, F.explode(F.aggregate("_rows", start, step)["kept"]).alias("_row"))
+    taken = taken.select(*KEY, *[F.col("_row")[c].alias(c) for c in values]).select(*events.columns)
+    return taken.unionByName(events.where("coalesce(delivery, '') = ''"))
 
 
 def _first_of_key(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, ttl: int) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
         return
-    last = state.get[0] if state.exists else None
+    times = sorted(state.get[0]) if state.exists else []
     rows = pd.concat(list(batches)).sort_values("at", kind="stable")
     kept = []
     for k, at in enumerate(rows["at"]):
         micros = at.value // 1000
-        if last is None or abs(micros - last) >= ttl * 1_000_000:
-            last, _ = micros, kept.append(k)
-    state.update((last,))
+        place = bisect(times, micros)
+        if all(abs(t - micros) >= ttl * 1_000_000 for t in times[max(0, place - 1) : place + 1]):
+            times.insert(place, micros)
+            kept.append(k)
+    state.update((times,))
     state.setTimeoutDuration(ttl * 1000)
     yield rows.iloc[kept]
 
 
 def once_streaming(events: DataFrame, ttl: int = DELIVERY_TTL) -> DataFrame:
-    """Stream: the same, with each key's last time kept for `ttl` seconds after it was last used.
+    """Stream: the same, with the times at which each key was taken kept for `ttl` seconds after it was last used.
 
     There is no watermark, so a late event is judged by its key like any other and never
-    dropped for its time.  Keys expire by the clock: use a trigger that goes on, not availableNow.
+    dropped for its time: it is taken if it is `ttl` seconds from all that were taken, be
+    they before or after it, and then it counts as they do, so its own repeats stop.  Keys
+    expire by the clock: use a trigger that goes on, not availableNow.
     """
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema)
-    named = events.where("delivery <> ''").groupBy(*KEY).applyInPandasWithState(partial(_first_of_key, ttl=ttl), schema, "last long", "append", "ProcessingTimeTimeout")
+    named = events.where("delivery <> ''").groupBy(*KEY).applyInPandasWithState(partial(_first_of_key, ttl=ttl), schema, "times array<long>", "append", "ProcessingTimeTimeout")
     return named.unionByName(events.where("coalesce(delivery, '') = ''"))

@@ -161,7 +161,11 @@ def test_configuration_reports_all_at_once():
 
 def test_deliveries_as_a_stream_keep_late_events(spark, tmp_path):
     hour = 3600
-    batches = [[("d1", 100 * hour), ("d1", 101 * hour), ("", 100 * hour)], [("d2", 2 * hour), ("d1", 110 * hour)], [("d1", 130 * hour), ("d2", 3 * hour), ("", 1 * hour)]]
+    batches = [
+        [("d1", 100 * hour), ("d1", 101 * hour), ("", 100 * hour), ("d3", 72 * hour)],
+        [("d2", 2 * hour), ("d1", 110 * hour), ("d3", 24 * hour)],
+        [("d1", 130 * hour), ("d2", 3 * hour), ("", 1 * hour), ("d3", 72 * hour), ("d3", 24 * hour), ("d3", 25 * hour)],
+    ]
     schema = "connector string, delivery string, kind string, remote_id string, at timestamp"
     for k, rows in enumerate(batches):
         spark.createDataFrame([("left", d, "contact", "x", s) for d, s in rows], schema.replace("timestamp", "long")).withColumn("at", F.timestamp_seconds("at")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{k}")
@@ -169,11 +173,13 @@ def test_deliveries_as_a_stream_keep_late_events(spark, tmp_path):
     run = deliveries.once_streaming(stream).writeStream.format("memory").queryName("taken").option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="1 second").start()
     began = time.monotonic()
     # expiry by the clock keeps the stream busy for ever, so there is no end to wait for
-    while time.monotonic() - began < 70 and sum(p["numInputRows"] for p in run.recentProgress) < 16:
+    while time.monotonic() - began < 70 and sum(p["numInputRows"] for p in run.recentProgress) < 26:
         time.sleep(1)
     run.stop()
     got = sorted((r["delivery"], r["s"]) for r in spark.sql("select delivery, cast(unix_seconds(at) / 3600 as int) as s from taken").collect())
-    assert got == [("", 1), ("", 100), ("d1", 100), ("d1", 130), ("d2", 2)]
+    assert got == [("", 1), ("", 100), ("d1", 100), ("d1", 130), ("d2", 2), ("d3", 24), ("d3", 72)]
+    whole = spark.read.schema(schema).parquet(f"{tmp_path}/in/*")
+    assert sorted((r["delivery"], r["s"]) for r in deliveries.once(whole).selectExpr("delivery", "cast(unix_seconds(at) / 3600 as int) as s").collect()) == got
 
 
 def test_deliveries_need_a_right_signature(spark):
