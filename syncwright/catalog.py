@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,8 @@ from .functions import transforms as T
 from .operators import conflict, identity, mapping, origin, progress, state
 from .plans import cycle, report
 from .plans import plan as P
+from .session import shared_folder
+from .sources import connector, peers
 from .streaming import deliveries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -647,6 +650,60 @@ def plan_dangling(spark, sf_dir):
     return _changes(plan).where("reason = 'the linked record is not there'")
 
 
+# ---- peers: reading changes, writing once ---------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _peer(spark: SparkSession, sf_dir: str, stream: bool = False):
+    connector.register(spark)
+    reader = spark.readStream if stream else spark.read
+    return reader.format("peer").options(path=f"{sf_dir}/orders.parquet", id="o_orderkey", updated_at="o_orderdate", columns="o_orderkey,o_orderdate,o_orderstatus").load()
+
+
+@query(f"select o_orderkey, o_orderdate, o_orderstatus from orders where o_orderdate >= {_MARK} - interval 120 second")
+def connector_delta(spark, sf_dir):
+    """A peer's changes since a mark, the time taken down to its row groups."""
+    start = progress.since(F.expr(_MARK), progress.overlap()).cast("timestamp_ntz")
+    return progress.delta(_peer(spark, sf_dir), "o_orderdate", start)
+
+
+@query("select o_orderkey, o_orderdate, o_orderstatus from orders")
+def connector_stream(spark, sf_dir):
+    """The same peer as a stream, from its first change to its last; a second run finds nothing new."""
+    out = _folder(spark, "connector-stream")
+    for _ in range(2):
+        changes = _peer(spark, sf_dir, stream=True)
+        run = changes.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.schema(changes.schema).parquet(f"{out}/rows")
+
+
+@query(_PLAN + _ENDS + """, sent as (select *, not exists (select 1 from ends where action = 'update' and target = 'right:contact/' || b and source = 'left:contact/' || a) as stands from p where action in ('create', 'update')),
+doc as (select action, substr(target, 1, instr(target || ':', ':') - 1) as connector, split_part(split_part(fields, ';', 1), '=', 2) as email, split_part(fields, 'segment=', 2) as seg, fields from sent where stands)
+select connector, case when connector = 'left' then '{"email":"' || email || '","segment":"' || seg || '"}' else '{"emails":{"primary":"' || email || '"},"info":{"segment":"' || seg || '"}}' end as record,
+       case when action = 'create' then 1 else 2 end::bigint as version, false as deleted from doc
+union all select case when side = 'left' then 'right' else 'left' end, null, 2, true from ends""")
+def write_once(spark, sf_dir):
+    """A cycle's writes, sent three times: twice as one batch, once as another.  Shown: the versions that they leave at the peers."""
+    left, right, links = _sides_of_plan(spark, sf_dir)
+    decisions = P.decided(left, right, links, _no_snapshots(spark), SYNC)
+    out, now = _folder(spark, "write-once"), F.expr(_NOW)
+    targets = {"left": peers.Target(f"{out}/left", ("email", "segment")), "right": peers.Target(f"{out}/right", ("emails", "info"))}
+    for side, rows in (("left", left), ("right", right)):
+        there = rows.select("remote_id", F.lit(1).cast("long").alias("version"), "updated_at", F.lit(False).alias("deleted"), SYNC.mapping.from_canonical(F.col("fields"), side).alias("record"), F.array().cast("array<string>").alias("keys"))
+        peers.append_once(there, targets[side].folder, "0")
+    sent = cycle.writes(decisions, _deleted(spark, sf_dir), links, SYNC, now)
+    peers.append_once(sent, f"{out}/sent", "1")
+    sent = peers.log(spark, f"{out}/sent", peers.WRITES)
+    for batch in ("1", "1", "2"):
+        peers.write(sent, targets, f"{out}/state", batch, now)
+    versions = [peers.log(spark, t.folder, peers.PEER).where("size(keys) > 0").select(F.lit(side).alias("connector"), F.when(~F.col("deleted"), F.col("record")).alias("record"), "version", "deleted") for side, t in targets.items()]
+    return versions[0].unionByName(versions[1])
+
+
 # ---- routing, deliveries over time, queues, diagnosis ---------------------
 
 

@@ -79,6 +79,36 @@ def after(decisions: DataFrame, created: DataFrame, deletes: DataFrame, state: d
     return {"links": links, "snapshots": snapshots, "origins": origins, "idem": idem, "keys": keys}
 
 
+def writes(decisions: DataFrame, deletes: DataFrame, links: DataFrame, sync: Sync, at: Column) -> DataFrame:
+    """What a cycle sends to its peers, as sources.peers.WRITES.
+
+    hash is that of the whole record as it will be after the write, by which the peer's
+    echo is known again; a create's key names no target.
+    """
+    ends = deleted_ends(deletes, links, sync)
+    rows, _ = standing(decisions, ends, sync)
+    l_ref, r_ref = refs(sync)
+    kind, names = F.lit(sync.mapping.kind), sync.mapping.names()
+
+    def sent(side: str) -> Column:
+        own, far, connector, other = ("l", "r", sync.left, sync.right) if side == "left" else ("r", "l", sync.right, sync.left)
+        new = (F.col("outcome") == "create") & F.col(f"{own}_id").isNull()
+        values = F.when(new, _writable(F.col(far)["fields"], sync, side)).otherwise(_writable(F.col("d")[f"{side}_values"], sync, side))
+        go = (new | F.col("d")["action"].isin(f"write_{side}", "write_both")) & (F.size(values) > 0)
+        source, target = (r_ref, l_ref) if side == "left" else (l_ref, r_ref)
+        digest = snapshot_hash(F.when(new, values).otherwise(merged(F.col(own)["fields"], values)), names)
+        key = idempotency_key(F.lit(sync.name), kind, F.lit(other), source, F.lit(connector), F.when(new, "").otherwise(target), digest)
+        fields = {"connector": F.lit(connector), "sync": F.lit(sync.name), "action": F.when(new, "create").otherwise("update"), "remote_id": F.when(~new, F.col(f"{own}_id")), "record": sync.mapping.from_canonical(values, side), "hash": digest, "key": key, "source": source}
+        return F.when(go, F.struct(*[c.alias(n) for n, c in fields.items()]))
+
+    out = rows.select(F.explode(F.array_compact(F.array(sent("left"), sent("right")))).alias("w")).select("w.*")
+    at_left = F.col("side") == "left"
+    connector, source, target = F.when(at_left, sync.right).otherwise(sync.left), F.when(at_left, l_ref).otherwise(r_ref), F.when(at_left, r_ref).otherwise(l_ref)
+    key = idempotency_key(F.lit(sync.name), kind, F.when(at_left, sync.left).otherwise(sync.right), source, connector, target, F.lit("delete"))
+    gone = ends.select(connector.alias("connector"), F.lit(sync.name).alias("sync"), F.lit("delete").alias("action"), F.when(at_left, F.col("r_id")).otherwise(F.col("l_id")).alias("remote_id"), F.lit(None).cast("string").alias("record"), F.lit("").alias("hash"), key.alias("key"), source.alias("source"))
+    return out.unionByName(gone).withColumn("at", at)
+
+
 def routed(events: DataFrame, syncs: list[Sync]) -> DataFrame:
     """events (connector, kind, ...) with `sync`: a row for each sync that they start work in; others are dropped.
 

@@ -15,12 +15,20 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir, its lineage cut; a folder of its own only for a local session without one."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not spark.sparkContext.master.startswith("local["):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of its own only for a local session without it."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="syncwright-"))
+        found = "file://" + tempfile.mkdtemp(prefix="syncwright-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, its lineage cut."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
