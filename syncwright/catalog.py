@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import digest as D
 from .functions import transforms as T
-from .operators import conflict, identity, mapping, origin, progress, state
+from .operators import conflict, identity, mapping, origin, progress, serial, state
 from .plans import cycle, report
 from .plans import plan as P
 from .session import shared_folder
@@ -704,6 +704,23 @@ def write_once(spark, sf_dir):
     return versions[0].unionByName(versions[1])
 
 
+@query(_PEERS + """, member as (select email, 'left:contact/' || id as ref, 'left' as side from l union all select email, 'right:contact/' || id, 'right' from r),
+own as (select email, 'left:contact/' || a as l_ref, 'right:contact/' || b as r_ref from links join l on a = l.id),
+n as (select email, count(*) filter (side = 'left') as lefts, count(*) filter (side = 'right') as rights, min(ref) filter (side = 'left') as l_ref, min(ref) filter (side = 'right') as r_ref from member where email not in (select email from own) group by 1)
+select case when lefts + rights = 2 then 'pair' else 'create' end as action, l_ref as left, r_ref as right, case when lefts + rights = 1 then coalesce(l_ref, r_ref) end as source from n where lefts <= 1 and rights <= 1
+union all select 'review', case when side = 'left' then ref end, case when side = 'right' then ref end, ref from member join n using (email) where lefts > 1 or rights > 1
+union all select 'review', case when side = 'left' then ref end, case when side = 'right' then ref end, ref from member join own using (email) where ref not in (l_ref, r_ref)
+union all select 'linked', l_ref, r_ref, null from own""")
+def serial_decisions(spark, sf_dir):
+    """Both peers' records as events of one batch, decided by logical record."""
+    left, right, links = _peers(spark, sf_dir)
+    named = lambda rows, side: rows.select(F.concat(F.lit(f"{side}:contact/"), "id").alias("ref"), F.lit(side).alias("side"), F.col("k").alias("at"), "email")
+    e = named(left, "left").unionByName(named(right, "right"))
+    known = spark.createDataFrame([], "ref string, side string, key_name string, key_value string")
+    pairs = links.select(F.concat(F.lit("left:contact/"), "a").alias("a"), F.concat(F.lit("right:contact/"), "b").alias("b"))
+    return serial.decided(e.drop("email"), e.select("ref", F.lit("email").alias("key_name"), F.col("email").alias("key_value")), known, pairs).drop("group")
+
+
 # ---- routing, deliveries over time, queues, diagnosis ---------------------
 
 
