@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from .functions import digest as D
 from .functions import transforms as T
 from .operators import conflict, identity, mapping, origin, progress, serial, state
-from .plans import cycle, report
+from .plans import cycle, outcomes, report
 from .plans import plan as P
 from .session import shared_folder
-from .sources import connector, peers
-from .streaming import deliveries
+from .sources import connector, fixtures, peers
+from .streaming import deliveries, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -136,10 +136,12 @@ def from_canonical_writable(spark, sf_dir):
     return _table(spark, sf_dir, "customer").select("c_custkey", fields.alias("m")).select("c_custkey", _CONTACT.from_canonical(F.col("m"), "right").alias("doc"))
 
 
-@query("select * from (values ('emails.primary', 'missing'), ('info.balance', 'read-only')) t(field, problem)")
+@query("""select field, 'missing' as problem from (values ('k', 'k'), ('nothing.here', 'nothing'), ('meta.type', 'meta')) t(field, head)
+where head not in (select unnest(json_keys(props)) from events where props is not null)""")
 def mapping_missing_fields(spark, sf_dir):
-    schema = spark.createDataFrame([("info.segment", False), ("info.balance", True), ("nation", True)], "field string, read_only boolean")
-    return mapping.problems(_CONTACT, "right", schema)
+    """Mapped fields that no record of the peer holds."""
+    records = _table(spark, sf_dir, "events").select(F.try_parse_json("props").alias("record")).where("record is not null")
+    return mapping.problems(_EVENT_MAP, "left", fixtures.described(records))
 
 
 # ---- incremental reading --------------------------------------------------
@@ -465,11 +467,6 @@ def first_review_wins(spark, sf_dir):
     return state.first_review(items).select("id", F.col("event_id").alias("first_event"))
 
 
-@query("select event_type, count(*) as n, count(distinct user_id) as refs from events group by 1")
-def outcome_stats(spark, sf_dir):
-    return _table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("refs"))
-
-
 _KIND = "case event_id % 7 when 0 then 'unknown' when 1 then 'transient' when 2 then 'rate_limited' when 3 then 'auth' when 4 then 'not_found' when 5 then 'permanent' end"
 
 
@@ -580,6 +577,57 @@ def changes_by_sync(spark, sf_dir):
     return report.by_sync(_plan(spark, sf_dir).withColumn("sync", F.lit(SYNC.name)))
 
 
+_STATS_SQL = _CLASSIFIED.replace("with e as", ", e as").replace("r as (select distinct", "rr as (select distinct").replace("n as (select e.event_id", "tn as (select e.event_id").replace("from n left join r on n.ref = r.ref", "from tn left join rr on tn.ref = rr.ref").replace("r.ref is not null", "rr.ref is not null")
+
+
+@query(_PLAN + _ENDS + _STATS_SQL + """, num as (select action, source, cast(regexp_extract(source, '([0-9]+)$', 1) as bigint) as k from p where not exists (select 1 from ends where action = 'update' and target = 'right:contact/' || b and source = 'left:contact/' || a)),
+done as (select null as verdict, case when action = 'review' then 'reviewed' when k % 17 = 0 then 'retried' when k % 19 = 0 then 'dead_letter' when action = 'create' then 'created' else 'updated' end as outcome from num
+ union all select null, 'no_change' from pairs join l on lid = l.id join r on rid = r.id where not (l.seg <> r.seg or l.email <> r.email) and not exists (select 1 from ends where a = lid and b = rid)
+ union all select null, 'deleted' from ends
+ union all select verdict, case when verdict = 'echo' then 'echo' else 'skipped' end from v)
+select stat, case stat when 'ingested' then count(*) when 'near_misses' then count(*) filter (verdict = 'near_miss') else count(*) filter (outcome = o) end as n
+from done, (values ('ingested', ''), ('echoes', 'echo'), ('near_misses', ''), ('created', 'created'), ('updated', 'updated'), ('deleted', 'deleted'), ('reviewed', 'reviewed'), ('skipped', 'skipped'), ('no_change', 'no_change'), ('retried', 'retried'), ('dead_lettered', 'dead_letter')) t(stat, o) group by stat, o""")
+def outcome_stats(spark, sf_dir):
+    """The eleven counters of a cycle: its decisions, with errors in the peers' answers, and events that no sync routes."""
+    left, right, links = _sides_of_plan(spark, sf_dir)
+    ends = P.deleted_ends(_deleted(spark, sf_dir), links, SYNC)
+    rows, _ = P.standing(P.decided(left, right, links, _no_snapshots(spark), SYNC), ends, SYNC)
+    k = F.regexp_extract(F.coalesce("l_id", "r_id"), "([0-9]+)$", 1).cast("long")
+    error = F.when(k % 17 == 0, "rate_limited").when(k % 19 == 0, "permanent")
+    none = F.lit(None).cast("string")
+    decided = rows.select(none.alias("verdict"), outcomes.after_errors(outcomes.decision_outcome(), error, F.lit(1)).alias("outcome"))
+    deleted = ends.select(none.alias("verdict"), F.lit("deleted").alias("outcome"))
+    seen = _classified(spark, sf_dir).select("verdict", F.when(origin.processed(F.col("verdict")), "skipped").otherwise("echo").alias("outcome"))
+    return outcomes.stats(decided.unionByName(deleted).unionByName(seen))
+
+
+@query(_PLAN + _ENDS + """, d as (select 'delete' as action, case when side = 'left' then 'right:contact/' || b else 'left:contact/' || a end as target, case when side = 'left' then 'left:contact/' || a else 'right:contact/' || b end as source, 0 as later from ends
+union all select action, target, source, 1 from p where action <> 'review' and not exists (select 1 from ends where action = 'update' and target = 'right:contact/' || b and source = 'left:contact/' || a)),
+o as (select *, row_number() over (order by starts_with(source, 'right'), later, source, action) as n from d)
+select n, action, source, case when action = 'create' then target || ':contact/planned-' || n else target end as target from o""")
+def plan_named(spark, sf_dir):
+    """The plan's changes numbered in the order of events, by which records yet to be created are named."""
+    plan = P.planned(*_sides_of_plan(spark, sf_dir), _no_snapshots(spark), SYNC, _deleted(spark, sf_dir))
+    return P.named(plan, SYNC).select("n", "action", "source", "target")
+
+
+@query(_CLASSIFIED + "select lpad(event_id::varchar, 12, '0') as id, ref, hash, verdict from v join e using (event_id)")
+def echo_stream(spark, sf_dir):
+    """echo_classify as a stream with state: first our writes, then the events."""
+    e = _events(spark, sf_dir).select("event_id", F.concat(F.lit("u-"), F.col("user_id").cast("string")).alias("ref"), F.sha2(F.col("event_type").cast("binary"), 256).alias("hash"))
+    at = lambda second: F.timestamp_seconds(F.lit(second))
+    writes = e.where("event_id % 6 = 0").select("ref", "hash", at(0).alias("at"), at(100).alias("expires_at"), F.lit(None).cast("string").alias("id"))
+    seen = e.select("ref", "hash", at(1).alias("at"), F.lit(None).cast("timestamp").alias("expires_at"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"))
+    out, store = _folder(spark, "echo-stream"), "spark.sql.streaming.stateStore.providerClass"
+    writes.unionByName(seen).write.parquet(f"{out}/traffic")
+    before = spark.conf.get(store)
+    verdicts = stateful.classified(stateful.prepared(spark).readStream.schema(stateful.TRAFFIC).parquet(f"{out}/traffic"))
+    run = verdicts.writeStream.format("parquet").option("path", f"{out}/verdicts").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    spark.conf.set(store, before)
+    return spark.read.schema(verdicts.schema).parquet(f"{out}/verdicts")
+
+
 # ---- after a cycle --------------------------------------------------------
 
 _NOW = "timestamp '2024-06-01 00:00:00'"
@@ -804,10 +852,10 @@ def error_kinds(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", progress.kind_of(kind, F.col("event_id") % 2 != 0).alias("kind"), progress.answered(kind).alias("answered"))
 
 
-@query("select distinct o_custkey as id from orders where o_custkey not in (select o_custkey from orders where o_orderdate >= timestamp '1996-06-01 00:00:00')")
+@query("select distinct o_custkey as id from orders where o_custkey not in (select o_custkey from orders where o_orderdate >= timestamp '1998-01-01 00:00:00')")
 def deleted_scan(spark, sf_dir):
     orders = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), "o_orderdate")
-    return progress.deleted_scan(orders, orders.where("o_orderdate >= timestamp '1996-06-01 00:00:00'"), "id")
+    return progress.deleted_scan(orders, orders.where("o_orderdate >= timestamp '1998-01-01 00:00:00'"), "id")
 
 
 @query("select o_orderkey from orders order by o_orderdate, o_orderkey limit 30")
@@ -821,10 +869,13 @@ def collection_lengths(spark, sf_dir):
     return state.lengths({"dlq": dead, "empty": dead.limit(0), "idem": _idem(spark, sf_dir, "event_id % 2 = 0")}, F.expr(_NOW))
 
 
-@query("""select * from (values ('connector', 'left/contact', true, '2 fields'), ('connector', 'right/contact', true, '3 fields'), ('mapping', 'contact:left-right', false, 'right: info.segment is read-only'), ('watermark', 'right/contact', true, 'not set yet; the next run backfills'), ('queue', 'review queue', true, 'empty')) t(name, subject, ok, detail)
-union all select 'watermark', 'left/contact', true, '3m0s behind' union all select 'queue', 'dead-letter queue', false, count(*) || ' items that exhausted their attempts' from events""")
+@query(f"""select * from (values ('connector', 'left/contact', true, '2 fields'), ('connector', 'right/contact', true, '2 fields'), ('mapping', 'contact:left-right', false, 'left: segment is missing'), ('watermark', 'right/contact', true, 'not set yet; the next run backfills'), ('queue', 'review queue', true, 'empty')) t(name, subject, ok, detail)
+union all select 'watermark', 'left/contact', true, case when s >= 3600 then (s // 3600) || 'h' else '' end || case when s >= 60 then (s % 3600 // 60) || 'm' else '' end || (s % 60) || 's behind' from (select cast(epoch({_NOW}) - epoch(date_trunc('second', max(o_orderdate))) as bigint) as s from orders)
+union all select 'queue', 'dead-letter queue', false, count(*) || ' items that exhausted their attempts' from events""")
 def doctor_checks(spark, sf_dir):
-    fields = [("left", "email", False), ("left", "segment", False), ("right", "emails.primary", False), ("right", "info.segment", True), ("right", "nation", False)]
-    schemas = spark.createDataFrame([(c, "contact", f, ro, None) for c, f, ro in fields], "connector string, kind string, field string, read_only boolean, error string")
-    marks = spark.sql(f"select 'left' as connector, 'contact' as kind, {_NOW} - interval 180 seconds as mark")
-    return cycle.diagnosis(schemas, marks, _table(spark, sf_dir, "events").select(F.lit("dlq").alias("queue")), [SYNC], F.expr(_NOW)).drop("k")
+    """Peers described by the records they hold, one without a field that is mapped; a watermark from the last change; a queue."""
+    c = _table(spark, sf_dir, "customer")
+    held = {"left": F.to_json(F.struct(F.col("c_name").alias("email"), F.col("c_nationkey").alias("nation"))), "right": F.to_json(F.struct(F.struct(F.col("c_name").alias("primary")).alias("emails"), F.struct(F.col("c_mktsegment").alias("segment")).alias("info")))}
+    known = [fixtures.described(c.select(F.parse_json(doc).alias("record"))).select(F.lit(side).alias("connector"), F.lit("contact").alias("kind"), "field", "read_only", F.lit(None).cast("string").alias("error")) for side, doc in held.items()]
+    marks = _table(spark, sf_dir, "orders").agg(F.max("o_orderdate").cast("timestamp").alias("mark")).select(F.lit("left").alias("connector"), F.lit("contact").alias("kind"), "mark")
+    return cycle.diagnosis(known[0].unionByName(known[1]), marks, _table(spark, sf_dir, "events").select(F.lit("dlq").alias("queue")), [SYNC], F.expr(_NOW)).drop("k")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.digest import ref, review_id, snapshot_hash
 from ..operators import conflict, identity
+from ..operators.numbering import numbered
 from ..operators.mapping import DIRECTIONS, Mapping
+from ..session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -44,12 +46,13 @@ def refs(sync: Sync) -> tuple[Column, Column]:
 
 
 def decided(left: DataFrame, right: DataFrame, links: DataFrame, snapshots: DataFrame, sync: Sync) -> DataFrame:
-    """(l_id, r_id, outcome, why, l, r, d, lost) of every record: pairs once, with the decision d; records without a partner with one id.
+    """(l_id, r_id, outcome, why, l, r, d, lost, at) of every record: pairs once, with the decision d; records without a partner with one id.
 
     left, right: canonical records; links: (a, b) of remote ids; snapshots: (ref,
     hash, fields).  No record stands in two pairs (identity.partners).  Sides that a
     one-way mapping never reads from start nothing.  lost: the side whose linked record
-    is not there.
+    is not there.  The decisions are made once and written to the shared folder; plan,
+    writes and state come from there.
     """
     keys = {k: f"key_{k}" for k in sync.keys}
     asked = lambda own, far, peer: identity.resolve(own, far, links, "remote_id", "remote_id", keys, peer, sync.on_ambiguous).withColumnRenamed("remote_id", "id")
@@ -68,7 +71,30 @@ def decided(left: DataFrame, right: DataFrame, links: DataFrame, snapshots: Data
     there = {side: F.col(f"{side[0]}.remote_id").isNotNull() for side in ("left", "right")}
     d = conflict.resolve(_side("l", "lb"), _side("r", "rb"), sync.mapping.names(), sync.policy, dict(sync.per_field))
     lost = F.when(F.col("outcome") == "linked", F.when(~there["right"], "right").when(~there["left"], "left"))
-    return joined.select("l_id", "r_id", "outcome", "why", _side("l", "lb").alias("l"), _side("r", "rb").alias("r"), F.when(there["left"] & there["right"], d).alias("d"), lost.alias("lost"))
+    out = joined.select("l_id", "r_id", "outcome", "why", _side("l", "lb").alias("l"), _side("r", "rb").alias("r"), F.when(there["left"] & there["right"], d).alias("d"), lost.alias("lost"), F.coalesce("l.updated_at", "r.updated_at").alias("at"), *[F.coalesce(f"l.key_{k}", f"r.key_{k}").alias(f"key_{k}") for k in sync.keys])
+    return _made_once(checkpointed(out), sync)
+
+
+def _made_once(rows: DataFrame, sync: Sync) -> DataFrame:
+    """rows in which, of the records of one side that share a key and that nobody answers to, only the first (by time, then id) is created.
+
+    The others would make a second record of what may be one, so they wait for review.  The
+    first of each key is a least value, so a key that very many share sends one row a task.
+    """
+    creates, key = F.col("outcome") == "create", [f"key_{k}" for k in sync.keys]
+    side = F.when(F.col("r_id").isNull(), "left").otherwise("right")
+    order = F.struct("at", F.coalesce("l_id", "r_id").alias("id"))
+    for k, name in zip(sync.keys, key):
+        there = creates & (F.coalesce(name, F.lit("")) != "")
+        first = rows.where(there).groupBy(side.alias("_side"), F.col(name).alias("_value")).agg(F.min(order).alias(f"_first_{k}"), F.count("*").alias("_n"))
+        # a key of one record needs no other look
+        first = first.where("_n > 1").drop("_n")
+        rows = rows.join(first, (F.col(name) == F.col("_value")) & there & (side == F.col("_side")), "left").drop("_side", "_value")
+    late = [F.when(F.col(f"_first_{k}") != order, k) for k in sync.keys]
+    shared = F.concat_ws(", ", *late)
+    later = creates & (shared != "")
+    why = F.when(later, F.concat(F.lit("an earlier record that is created matches on "), shared)).otherwise(F.col("why"))
+    return rows.withColumns({"why": why, "outcome": F.when(later, "review").otherwise(F.col("outcome"))}).drop(*key, *[f"_first_{k}" for k in sync.keys])
 
 
 def standing(rows: DataFrame, ends: DataFrame | None, sync: Sync) -> tuple[DataFrame, DataFrame]:
@@ -104,7 +130,7 @@ def deleted_ends(deletes: DataFrame, links: DataFrame, sync: Sync) -> DataFrame:
 
 
 def planned(left: DataFrame, right: DataFrame, links: DataFrame, snapshots: DataFrame, sync: Sync, deletes: DataFrame | None = None) -> DataFrame:
-    """(action, target, source, fields, reason, review) of each change or open question.
+    """(action, target, source, fields, reason, at, review) of each change or open question.
 
     deletes: (side, remote_id) of records that are gone.  Every record is decided
     once; what follows is made in its row.  A pair with a deleted end is deleted at
@@ -132,12 +158,24 @@ def planned(left: DataFrame, right: DataFrame, links: DataFrame, snapshots: Data
             act(F.col("outcome") == "review", "review", peer, source, nothing, F.col("why")),
         )
     )
-    out = rows.select(F.explode(actions).alias("x")).select("x.*")
+    out = rows.select(F.explode(actions).alias("x"), "at").select("x.*", "at")
     if ends is not None:
         at_left = F.col("side") == "left"
-        out = out.unionByName(ends.select(F.lit("delete").alias("action"), F.when(at_left, r_ref).otherwise(l_ref).alias("target"), F.when(at_left, l_ref).otherwise(r_ref).alias("source"), nothing.alias("fields"), F.lit("the source was deleted").alias("reason")))
+        out = out.unionByName(ends.select(F.lit("delete").alias("action"), F.when(at_left, r_ref).otherwise(l_ref).alias("target"), F.when(at_left, l_ref).otherwise(r_ref).alias("source"), nothing.alias("fields"), F.lit("the source was deleted").alias("reason"), F.lit(None).cast("timestamp").alias("at")))
     return out.withColumn("review", F.when(F.col("action") == "review", review_id(F.lit(sync.name), F.col("source"))))
 
 
+def named(plan: DataFrame, sync: Sync) -> DataFrame:
+    """The changes of a plan in the order of events, with `n`, and with planned-n as the id of each record yet to be created.
+
+    Events of the left peer stand before those of the right one, deletes before the rest,
+    then by time and ref.  Open questions have no number.
+    """
+    side = F.when(F.startswith(F.col("source"), F.lit(f"{sync.left}:")), 0).otherwise(1)
+    out = numbered(plan.where("action <> 'review'").withColumn("_side", side), ["_side", F.col("at").asc_nulls_first(), "source", "action"]).drop("_side")
+    target = F.when(F.col("action") == "create", F.concat("target", F.lit(f":{sync.mapping.kind}/planned-"), F.col("n").cast("string"))).otherwise(F.col("target"))
+    return out.withColumn("target", target)
+
+
 def summary(plan: DataFrame) -> DataFrame:
     return plan.groupBy("action").agg(F.count("*").alias("n"))

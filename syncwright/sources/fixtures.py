@@ -54,6 +54,12 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.variant_get("v", "$.id", "string").alias("remote_id"), F.try_variant_get("v", "$.updated_at", "timestamp").alias("updated_at"), F.variant_get("v", "$.fields", "variant").alias("record"))
 
 
+def described(records: DataFrame) -> DataFrame:
+    """(field, type, read_only) of a peer that declares no schema: the top-level fields that its records (record variant) hold."""
+    fields = records.select(F.explode(F.map_entries(F.col("record").cast("map<string,variant>"))).alias("f"))
+    return fields.groupBy(F.col("f.key").alias("field")).agg(F.max(F.schema_of_variant("f.value")).alias("type")).withColumn("read_only", F.lit(False))
+
+
 register("fixture", fixture)
 register("records", records)
 
