@@ -7,6 +7,11 @@ exact forward-backward gradients and decoded by Viterbi.  The labelled pages are
 drawn from page layouts with the parts that articles come with: menus, headers,
 footers, sidebars, notices, adverts, forms and reader comments.
 
+What an ancestor's name says depends on where it stands.  Names on html and body, and on
+a wrapper that holds most of the page's text with its h1, main or only article, say
+nothing.  Marks from outside the nearest article or main are features of their own, and
+so are names on a paragraph, a heading or a list item.
+
 Defined cases: null and empty pages give an empty text; pages of any length and depth
 of nesting are read whole; labellings of one score (ties) leave a block out; comments, scripts and
 styles have no blocks; an unclosed element ends with its parent or the page; a
@@ -64,15 +69,59 @@ _AROUND = {
 _PART_OF = {name: part for part, (_, names) in _AROUND.items() for name in names.split()}
 
 
-def marks(tag: str, attributes: str | None) -> set[str]:
-    """Names of the features that an element gives to all blocks in it."""
+# Elements that hold parts; a name on another one says little of what is in it.
+_HOLDERS = BLOCKS - frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre caption blockquote figcaption option legend summary".split())
+#: The share of a page's text that makes an element with its h1, main or only article a wrapper.
+WRAPPER = 0.6
+
+
+def marks(tag: str, attributes: str | None) -> tuple[set[str], set[str]]:
+    """(names of the features that an element gives to all blocks in it by its class, id and role, and by its tag)."""
     names = {w for x in _NAMES.findall(attributes) for w in _LETTERS.findall(x.lower())} if attributes else ()
     own = {f"named {w}" for w in names} | {f"part {_PART_OF[w]}" for w in names if w in _PART_OF}
     if any(w in _PART_OF for w in names):
         own.add("part")
-    if tag in BLOCKS:
-        own.add(f"in {tag}")
-    return own
+    if tag not in _HOLDERS:
+        own = {f"leaf {m}" for m in own}
+    return own, {f"in {tag}"} if tag in BLOCKS else set()
+
+
+class _Marked:
+    """Elements that give marks, in the order of their start tags; each after the one around it."""
+
+    def __init__(self) -> None:
+        self.up, self.tag, self.names, self.tags, self.chars, self.tops = [-1], [""], [set()], [set()], [0], [[0, 0]]
+
+    def add(self, up: int, tag: str, names: set[str], tags: set[str]) -> int:
+        self.up.append(up)
+        self.tag.append(tag)
+        self.names.append(names)
+        self.tags.append(tags)
+        self.chars.append(0)
+        self.tops.append([int(tag == "article"), int(tag == "main")])
+        return len(self.up) - 1
+
+    def inherited(self, known: frozenset[str] | None) -> list[frozenset[str]]:
+        """The marks of the blocks in each element, only those in `known` if it is given."""
+        for k in range(len(self.up) - 1, 0, -1):
+            self.chars[self.up[k]] += self.chars[k]
+            for j in (0, 1):
+                self.tops[self.up[k]][j] += self.tops[k][j]
+        enough = WRAPPER * self.chars[0]
+        out = [frozenset()]
+        for k in range(1, len(self.up)):
+            above, own = out[self.up[k]], self.tags[k]
+            articles, tops = self.tops[k]
+            wraps = self.tag[k] in ("html", "body") or self.tag[k] not in ("article", "main") and self.chars[k] >= enough and (tops or articles == 1)
+            if not wraps:
+                own = own | self.names[k]
+            if self.tag[k] in ("article", "main") and above:
+                outer = (m if m.startswith("outer ") else f"outer {m}" for m in above)
+                above = frozenset(m for m in outer if known is None or m in known)
+            if known is not None:
+                own = own & known
+            out.append(above if own <= above else above | own)
+        return out
 
 
 def blocks(page: str, known: frozenset[str] | None = None) -> list[tuple[str, tuple[frozenset[str], str], float]]:
@@ -81,17 +130,19 @@ def blocks(page: str, known: frozenset[str] | None = None) -> list[tuple[str, tu
     Marks are handed down from element to element, only those in `known` if it is given, so
     neither time nor memory grows with the depth of nesting.
     """
-    stack: list[tuple[str, frozenset[str], str]] = []
+    stack: list[tuple[str, int, str]] = []
     last: dict[str, list[int]] = {}  # places in the stack of each open tag, and of those that stop a search
     stops: list[int] = []
+    marked = _Marked()
     out, parts, linked, at = [], [], 0, 0
-    nothing = (frozenset(), "")
 
     def flush() -> None:
         nonlocal parts, linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append((text, stack[-1][1:] if stack else nothing, linked / max(1, sum(map(len, parts)))))
+            _, element, under = stack[-1] if stack else ("", 0, "")
+            marked.chars[element] += len(text) if "title" not in last or not last["title"] else 0
+            out.append((text, element, under, linked / max(1, sum(map(len, parts)))))
         parts, linked = [], 0
 
     def pop_to(k: int) -> None:
@@ -131,19 +182,22 @@ def blocks(page: str, known: frozenset[str] | None = None) -> list[tuple[str, tu
         k = max(map(innermost, closes), default=-1)
         if k > stop:
             pop_to(k)
-        inherited, under = stack[-1][1:] if stack else nothing
-        own = marks(tag, m["attributes"])
-        if known is not None:
-            own &= known
+        _, element, under = stack[-1] if stack else ("", 0, "")
+        names, tags = marks(tag, m["attributes"])
+        if tag == "h1":
+            marked.tops[element][1] += 1
+        if names or not tags <= marked.tags[element] or tag in ("article", "main"):
+            element = marked.add(element, tag, names, tags)
         last.setdefault(tag, []).append(len(stack))
         if tag in _STOPS:
             stops.append(len(stack))
-        stack.append((tag, inherited if own <= inherited else inherited | own, tag if tag in BLOCKS else under))
+        stack.append((tag, element, tag if tag in BLOCKS else under))
     if at < len(page):
         parts.append(page[at:])
         linked += (len(page) - at) * bool(last.get("a"))
     flush()
-    return out
+    inherited = marked.inherited(known)
+    return [(text, (inherited[element], under), share) for text, element, under, share in out]
 
 
 def features(found: list) -> list[list[str]]:
@@ -198,7 +252,8 @@ def labelled_pages(n: int, seed: int = 3) -> list[tuple[str, list[str]]]:
         elif kind == "form":
             inner = f"<label>{words(1, 3)}</label><input name='q'><button>{words(1, 2)}</button>" + (f"<p>{sentence()}</p>" if draw.random() < 0.4 else "")
         elif kind == "comments":
-            inner = f"<h3>{words(1, 3)}</h3>" + "".join(f"<div class='comment'><b>{words(1, 2)}</b><p>{prose(1, 4)}</p></div>" for _ in range(draw.randint(1, 4)))
+            box = draw.choice(("div class='comment'", "div class='comment'", "article class='comment'", "article", "li"))
+            inner = f"<h3>{words(1, 3)}</h3>" + "".join(f"<{box}><b>{words(1, 2)}</b><p>{prose(1, 4)}</p></{box.split()[0]}>" for _ in range(draw.randint(1, 4)))
         elif kind in ("advert", "notice"):
             inner = draw.choice((prose(1, 3), f"<p>{prose(1, 2)}</p>", f"<a href='/x'>{words(2, 6)}</a>"))
         elif kind == "sidebar":
@@ -209,15 +264,21 @@ def labelled_pages(n: int, seed: int = 3) -> list[tuple[str, list[str]]]:
             inner = "".join(f"<a href='/x'>{words(1, 2)}</a> " for _ in range(3))
         return f"<{tag}{attribute}>{inner}</{tag}>"
 
+    def any_name() -> str:
+        # no names of comments: those do tell what is in them
+        kind = draw.choice([k for k in _AROUND if k != "comments"])
+        return draw.choice(_AROUND[kind][1].split())
+
     def item() -> tuple[str, list[str]]:
         kind = draw.random()
+        name = f' class="{any_name()}"' if draw.random() < 0.08 else ""
         if kind < 0.66:
             text = prose(1, 6) if draw.random() < 0.8 else words(1, 5)
             linked = f'{text} <a href="/y">{(tail := words(1, 3))}</a>' if draw.random() < 0.15 else text
-            return (f"<p>{linked}</p>", [text if linked == text else f"{text} {tail}"])
+            return (f"<p{name}>{linked}</p>", [text if linked == text else f"{text} {tail}"])
         if kind < 0.76:
             text = words(1, 8)
-            return (f"<h2>{text}</h2>", [text])
+            return (f"<h2{name}>{text}</h2>", [text])
         if kind < 0.86:
             text = prose(1, 3)
             return (f"<blockquote>{text}</blockquote>", [text])
@@ -242,7 +303,22 @@ def labelled_pages(n: int, seed: int = 3) -> list[tuple[str, list[str]]]:
         body = draw.choice(("<article>{}</article>", "<article>{}</article>", "<main><article>{}</article></main>", "<main>{}</main>", '<div class="content">{}</div>', '<div id="article">{}</div>', '<div class="post entry">{}</div>', '<section class="story body">{}</section>')).format(inner)
         before = "".join(around(k) for k in ("header", "menu", "notice", "advert", "share") if draw.random() < 0.5)
         after = "".join(around(k) for k in ("share", "sidebar", "form", "comments", "advert", "footer") if draw.random() < 0.5)
-        pages.append((f"<html><head><title>{title}</title></head><body>{before}{body}{after}</body></html>", truth))
+        if draw.random() < 0.2:  # a wrapper with a telling name, around the article or around all
+            tag = draw.choice(("div", "div", "section"))
+            wrapped = f'<{tag} {draw.choice(("class", "id"))}="{any_name()}">'
+            before, body, after = draw.choice(((before, f"{wrapped}{body}</{tag}>", after), (f"{wrapped}{before}", body, f"{after}</{tag}>")))
+        page = f"<body{f' class={chr(34)}{any_name()} {any_name()}{chr(34)}' if draw.random() < 0.2 else ''}>{before}{body}{after}</body>"
+        bare = draw.random()
+        if bare < 0.08:  # text without any element, or nothing but divs
+            lines = [prose(1, 5) for _ in range(draw.randint(1, 5))]
+            links = lambda: f"<div><a href='/x'>{words(1, 2)}</a> <a href='/y'>{words(1, 2)}</a></div>"
+            if bare < 0.03:
+                page, truth = " ".join(lines), [" ".join(lines)]
+            else:
+                page, truth = (links() if draw.random() < 0.6 else "") + "".join(f"<div>{x}</div>" for x in lines) + (links() if draw.random() < 0.6 else ""), lines
+                page = f"<body>{page}</body>"
+        head = f"<head><title>{title}</title></head>" if bare >= 0.03 else ""
+        pages.append((f"<html>{head}{page}</html>" if head else page, truth))
     return pages
 
 
