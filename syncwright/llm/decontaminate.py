@@ -9,8 +9,13 @@
     its seeds.  Windows overlap by all that a copy of the item can span, so each
     copy lies within one; the score is the best alignment as a share of a full match.
 
-Defined cases: null and wordless texts match nothing; an item of fewer words
-than an n-gram is its own single n-gram; items without words match nothing; rows
+An alignment of half a full match has more than two matches for each mismatch but at its
+very ends, so it holds three words in a row that are the item's: with n = 3 it has an
+n-gram of the item, and only a copy all of whose n-grams are among the commonest part is lost.
+
+Defined cases: null and wordless texts match nothing; an item of fewer words than an
+n-gram is its own single n-gram, so it is found as a whole text only: within another
+one, one or two words prove nothing; items without words match nothing; rows
 that repeat a doc_id are one document; a null doc_id is kept and not reported; an
 empty table on either side gives an empty result; extra columns are ignored.
 """
@@ -127,7 +132,7 @@ def _scored_rows(batches: Iterator[pa.RecordBatch], size: int = 128, cells: int
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(align(items, texts) / full)], names=["doc_id", "item_id", "score"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, seed_share: float = 0.75, least_score: float = 0.5, margin: int = 64) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, seed_share: float = 0.75, least_score: float = 0.5, margin: int = 64) -> DataFrame:
     """(doc_id, item_id, score) of every document that holds a copy of an item, exact or edited.
 
     benchmark: (item_id, text).  seed_share: the share of an item's n-grams, the
@@ -165,7 +170,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return scored.where(F.col("score") >= least_score).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 
-def clean_of(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def clean_of(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without the contaminated ones; its columns unchanged."""
-    gone = contaminated(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)

@@ -3,8 +3,9 @@
 Documents become token ids, then pieces of at most `capacity` ids.  Every task
 packs its pieces best-fit decreasing, emits full and nearly full sequences, and
 hands its underfull ones on as items; each round deals those to fewer tasks, bounded
-in items and pieces, until one task is left or nothing merges any more.  A sequence carries its pieces along (no more than `capacity`), so no round
-joins anything back.
+in items and pieces, until one task is left, or until a round merges less than one item
+in a hundred: tasks hold random items, so a further round would find as little.  A
+sequence carries its pieces along (no more than `capacity`), so no round joins anything back.
 
 Defined cases: a null text is empty, and an empty document is the single id 0;
 texts of any length are cut; of items of one size (ties) the smaller (doc_id, piece)

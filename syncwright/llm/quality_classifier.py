@@ -103,8 +103,8 @@ def pooled(cell: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 def _pool_rows(batches: Iterator[pa.RecordBatch], vectors) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [pooled(c, vectors.value) for c in _cells(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["label", "x"])
+        rows = [pooled(c, vectors.value) for c in _cells(batch.column(2))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -167,8 +167,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     vectors = spark.sparkContext.broadcast(context_vectors(rows))
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     usable = usable.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_labels)
-    learnt = rows.join(F.broadcast(usable), "doc_id").select("label", "text").mapInArrow(partial(_pool_rows, vectors=vectors), "label int, x array<double>")
-    found = learnt.collect()  # max_labels rows of DIM + 5 numbers, unless doc_ids repeat
+    learnt = rows.join(F.broadcast(usable), "doc_id").select("doc_id", "label", "text").mapInArrow(partial(_pool_rows, vectors=vectors), "doc_id long, label int, x array<double>")
+    # different rows of a repeated id count apart, and equal ones once: max_labels rows of DIM + 5 numbers come back in any case
+    found = learnt.distinct().orderBy(F.xxhash64("doc_id", "label", "x"), "doc_id", "label").limit(max_labels).collect()
     x = np.array([r["x"] for r in found]).reshape(len(found), DIM + 1 + LAGS)
     y = np.array([r["label"] for r in found], np.float64)
     order = np.lexsort([y, *x.T[:4]]) if len(y) else []
@@ -177,7 +178,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without those predicted to be of low quality; its columns unchanged."""
-    gone = Store(docs.sparkSession, "quality").save(quality_scores(docs, labels, **options).where("predicted = 0").select("doc_id").distinct(), "rejected")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    low = quality_scores(docs, labels, id_col=id_col, **options).where("predicted = 0").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(Store(docs.sparkSession, "quality").save(low, "rejected"), id_col, "left_anti").select(*docs.columns)

@@ -37,3 +37,34 @@ def test_pages_without_names():
 def test_names_of_paragraphs_in_an_article():
     page = '<article><h1>T</h1><p class="comment-intro">An introduction, of a sentence or two. Here it is.</p><p>Then more text follows in the article.</p></article>'
     assert html_crf.main_text(page, html_crf.trained()).split("\n") == ["T", "An introduction, of a sentence or two. Here it is.", "Then more text follows in the article."]
+
+
+def test_stages_for_other_names_of_the_id(spark):
+    import random
+
+    from syncwright.llm import decontaminate, near_dedup, quality_classifier
+
+    draw = random.Random(9)
+    text = lambda n: " ".join("".join(draw.choices("abcdefgh", k=5)) for _ in range(n))
+    item, doc = text(30), text(60)
+    docs = spark.createDataFrame([(1, doc), (2, doc), (3, f"{text(20)} {item} {text(20)}"), (4, text(50))], "k long, text string")
+    assert sorted(r["k"] for r in near_dedup.one_of_each_group(docs, id_col="k").collect()) == [1, 3, 4]
+    benchmark = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert sorted(r["k"] for r in decontaminate.clean_of(docs, benchmark, id_col="k").collect()) == [1, 2, 4]
+    labels = spark.createDataFrame([(k, 1) for k in range(1, 5)], "doc_id long, quality int")
+    assert quality_classifier.accepted(docs, labels, id_col="k").columns == ["k", "text"]
+
+
+def test_copies_with_every_fourth_word_changed_are_found(spark):
+    import random
+
+    from syncwright.llm import decontaminate
+
+    draw = random.Random(10)
+    word = lambda: "".join(draw.choices("abcdefghij", k=7))
+    item = [word() for _ in range(40)]
+    edited = [word() if k % 4 == 3 else w for k, w in enumerate(item)]
+    pairs = [word() if k % 2 else w for k, w in enumerate(item)]
+    rows = [(1, " ".join([word() for _ in range(50)] + edited + [word() for _ in range(50)])), (2, " ".join(pairs)), (3, " ".join(word() for _ in range(90)))]
+    found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in found] == [(1, 5)] and found[0]["score"] >= 0.6
