@@ -169,9 +169,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     usable = usable.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_labels)
     learnt = rows.join(F.broadcast(usable), "doc_id").select("doc_id", "label", "text").mapInArrow(partial(_pool_rows, vectors=vectors), "doc_id long, label int, x array<double>")
     # different rows of a repeated id count apart, and equal ones once: max_labels rows of DIM + 5 numbers come back in any case
-    found = learnt.distinct().orderBy(F.xxhash64("doc_id", "label", "x"), "doc_id", "label").limit(max_labels).collect()
-    x = np.array([r["x"] for r in found]).reshape(len(found), DIM + 1 + LAGS)
-    y = np.array([r["label"] for r in found], np.float64)
+    found = learnt.distinct().orderBy(F.xxhash64("doc_id", "label", "x"), "doc_id", "label").limit(max_labels).toArrow()
+    x = found["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(found), DIM + 1 + LAGS)
+    y = found["label"].to_numpy().astype(np.float64)
     order = np.lexsort([y, *x.T[:4]]) if len(y) else []
     net = spark.sparkContext.broadcast(train(x[order], y[order]) if len(y) else train(x, y))
     scored = rows.mapInArrow(partial(_score_rows, vectors=vectors, net=net), "doc_id long, score double")
