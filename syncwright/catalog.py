@@ -13,8 +13,9 @@ from .functions import transforms as T
 from .operators import conflict, identity, mapping, origin, progress, serial, state
 from .plans import cycle, outcomes, report
 from .plans import plan as P
+from .plans import run as cycles
 from .session import shared_folder
-from .sources import connector, fixtures, peers
+from .sources import connector, fixtures, peers, versions
 from .streaming import deliveries, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -752,6 +753,48 @@ def write_once(spark, sf_dir):
     return versions[0].unionByName(versions[1])
 
 
+@query(_PLAN + """, now_left as (select id, email, case when k % 11 = 0 then 'MOVED' else seg end as seg from l where k % 17 <> 0),
+doc as (select 'left' as connector, email, seg from now_left
+ union all select 'left', r.email, r.seg from p join r on source = 'right:contact/' || r.id where action = 'create' and target = 'left'
+ union all select 'right', n.email, n.seg from now_left n join pairs on lid = n.id
+ union all select 'right', n.email, n.seg from now_left n join p on source = 'left:contact/' || n.id where action = 'create' and target = 'right'
+ union all select 'right', email, seg from r where id not in (select rid from pairs))
+select connector, case when connector = 'left' then '{"email":"' || email || '","segment":"' || seg || '"}' else '{"emails":{"primary":"' || email || '"},"info":{"segment":"' || seg || '"}}' end as record from doc""")
+def run_cycles(spark, sf_dir):
+    """Two cycles between peers that hold the given records, with edits and deletes of left ones in between.  Shown: what the peers then hold."""
+    left, right, links = _sides_of_plan(spark, sf_dir)
+    out, number = _folder(spark, "run-cycles"), F.regexp_extract("remote_id", "([0-9]+)$", 1).cast("long")
+    targets = {side: peers.Target(f"{out}/{side}") for side in ("left", "right")}
+
+    def version(rows: DataFrame, side: str, n: int, fields: Column, at: Column, deleted: Column) -> None:
+        record = SYNC.mapping.from_canonical(fields, side).alias("record")
+        peers.append_once(rows.select("remote_id", F.lit(n).cast("long").alias("version"), at.alias("updated_at"), deleted.alias("deleted"), record, F.array().cast("array<string>").alias("keys")), targets[side].folder, f"edit-{n}")
+
+    for side, rows in (("left", left), ("right", right)):
+        version(rows, side, 1, F.col("fields"), F.expr("timestamp '2024-01-01 00:00:00'") - F.make_dt_interval(days=(number % 100).cast("int")), F.lit(False))
+    versions.commit(spark, f"{out}/state", 1, {"links": (links.withColumn("linked_at", F.expr(_NOW)), None)})
+    cycles.once(spark, SYNC, targets, f"{out}/state", F.expr(_NOW))
+    edited = left.where((number % 11 == 0) | (number % 17 == 0))
+    version(edited, "left", 2, cycle.merged(F.col("fields"), F.create_map(F.lit("segment"), D.tag_string(F.lit("MOVED")))), F.expr(f"{_NOW} + interval 1 day"), number % 17 == 0)
+    cycles.once(spark, SYNC, targets, f"{out}/state", F.expr(f"{_NOW} + interval 2 days"))
+    held = [peers.current(peers.log(spark, t.folder, peers.PEER)).where("not deleted").select(F.lit(side).alias("connector"), "record") for side, t in targets.items()]
+    return held[0].unionByName(held[1])
+
+
+@query("""with v2 as (select c_name as ref, case when c_custkey % 3 = 0 then 'second' else c_mktsegment end as hash, c_custkey as k from customer)
+select 2 as version, ref, hash from v2 union all select 3, ref, case when k % 4 = 0 then 'third' else hash end from v2 where k % 5 <> 0""")
+def state_versions(spark, sf_dir):
+    """Snapshots in three versions, a base made of the second; the second and third as they read."""
+    c = _table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("ref"), F.col("c_mktsegment").alias("hash"), F.lit(None).cast("map<string,string>").alias("fields"), F.expr(_NOW).alias("at"))
+    out = _folder(spark, "state-versions")
+    versions.commit(spark, out, 1, {"snapshots": (c, None)})
+    versions.commit(spark, out, 2, {"snapshots": (c.where("c_custkey % 3 = 0").withColumn("hash", F.lit("second")), None)})
+    versions.compacted(spark, out, F.expr(_NOW))
+    versions.commit(spark, out, 3, {"snapshots": (c.where("c_custkey % 4 = 0").withColumn("hash", F.lit("third")), c.where("c_custkey % 5 = 0"))})
+    rows = [versions.read(spark, out, v)["snapshots"].select(F.lit(v).alias("version"), "ref", "hash") for v in (2, 3)]
+    return rows[0].unionByName(rows[1])
+
+
 @query(_PEERS + """, member as (select email, 'left:contact/' || id as ref, 'left' as side from l union all select email, 'right:contact/' || id, 'right' from r),
 own as (select email, 'left:contact/' || a as l_ref, 'right:contact/' || b as r_ref from links join l on a = l.id),
 n as (select email, count(*) filter (side = 'left') as lefts, count(*) filter (side = 'right') as rights, min(ref) filter (side = 'left') as l_ref, min(ref) filter (side = 'right') as r_ref from member where email not in (select email from own) group by 1)

@@ -18,6 +18,12 @@ TABLES = {
     "keys": "ref string, key_name string, key_value string",
 }
 
+# What tells a row of each state table from the others; never null.
+KEYS = {
+    "links": ["a", "b"], "snapshots": ["ref"], "origins": ["ref", "hash", "written_at"], "idem": ["key"], "deliveries": ["connector", "delivery"],
+    "dlq": ["id"], "review": ["id"], "watermarks": ["connector", "kind"], "keys": ["ref", "key_name"],
+}
+
 
 def live(expires_at: Column, now: Column) -> Column:
     """No expiry, or one that lies strictly ahead."""

@@ -1,8 +1,9 @@
 """What a cycle leaves behind: links, snapshots, origins, keys and idempotency results, as new tables.
 
-The state is a dict of plain tables (operators.state.TABLES).  A cycle reads one,
-and `after` gives the next one; whoever runs it writes that with DataFrame writers
-into a new folder, so a cycle that fails leaves the old state as it was.
+The state is a dict of plain tables (operators.state.TABLES).  A cycle reads one;
+`changed` gives what it changes, which sources.versions keeps, and `after` the next
+state whole, to be written into a new folder.  Either way a cycle that fails leaves the
+old state as it was.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from ..functions.digest import duration, idempotency_key, snapshot_hash, untag
 from ..operators.mapping import DIRECTIONS
 from ..operators.origin import expiry
 from ..operators.progress import IDEM_TTL
-from ..operators.state import overlay, swept
+from ..operators.state import KEYS, overlay, swept
 from ..session import checkpointed
 from .plan import Sync, _writable, deleted_ends, refs, standing
 
@@ -42,15 +43,16 @@ def committed(decisions: DataFrame, created: DataFrame, sync: Sync) -> DataFrame
     return rows.select("l_id", "r_id", merged(F.col("lf"), F.col("to_left")).alias("l_after"), merged(F.col("rf"), F.col("to_right")).alias("r_after"), "to_left", "to_right", "made")
 
 
-def after(decisions: DataFrame, created: DataFrame, deletes: DataFrame, state: dict[str, DataFrame], sync: Sync, now: Column, windows: dict[str, int] | None = None) -> dict[str, DataFrame]:
-    """The tables links, snapshots, origins, idem and keys after a cycle at `now`.
+def changed(decisions: DataFrame, created: DataFrame, deletes: DataFrame, state: dict[str, DataFrame], sync: Sync, now: Column, windows: dict[str, int] | None = None) -> dict[str, tuple[DataFrame, DataFrame | None]]:
+    """What a cycle at `now` changes in links, snapshots, origins, idem and keys: (rows put, keys removed) of each, as sources.versions takes them.
 
     A deleted end drops its link with both snapshots and keys, and so does a link that
     leads nowhere.  Every write leaves an origin, of the whole record as the peer will send
     it back, and its result under its idempotency key.  The key of a create names no
     target, since nobody knows it before the call: a repeat has the same key.  windows:
-    seconds that origins live, by connector.  The pairs are written once; all tables
-    come from them, and no link, snapshot or key has a record twice.
+    seconds that origins live, by connector.  Rows that the state holds already are not
+    put again.  The pairs are written once; all tables come from them, and no link,
+    snapshot or key has a record twice.
     """
     names = sync.mapping.names()
     ends = deleted_ends(deletes, state["links"], sync)
@@ -58,25 +60,35 @@ def after(decisions: DataFrame, created: DataFrame, deletes: DataFrame, state: d
     pairs = checkpointed(committed(rows, created, sync))
     ends = ends.select("l_id", "r_id").union(nowhere)
     l_ref, r_ref = refs(sync)
-    links = pairs.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), now.alias("linked_at"))
-    links = overlay(state["links"], links.join(state["links"].select("a", "b"), ["a", "b"], "left_anti"), ends.select(F.col("l_id").alias("a"), F.col("r_id").alias("b")), ["a", "b"])
+    links = pairs.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), now.alias("linked_at")).join(state["links"].select("a", "b"), ["a", "b"], "left_anti")
 
     sides = F.array(F.struct(l_ref.alias("ref"), F.col("l_after").alias("fields"), F.col("to_left").alias("written"), r_ref.alias("source"), F.lit(sync.left).alias("connector"), "made"), F.struct(r_ref.alias("ref"), F.col("r_after").alias("fields"), F.col("to_right").alias("written"), l_ref.alias("source"), F.lit(sync.right).alias("connector"), "made"))
     side = pairs.select(F.explode(sides).alias("s")).select("s.*").withColumn("hash", snapshot_hash(F.col("fields"), names))
-    gone = ends.select(F.explode(F.array(l_ref, r_ref)).alias("ref"))
-    snapshots = overlay(state["snapshots"], side.select("ref", "hash", "fields", now.alias("at")), gone, ["ref"])
+    # a record whose link led nowhere may be in step with a new one
+    gone = ends.select(F.explode(F.array(l_ref, r_ref)).alias("ref")).join(side.select("ref"), "ref", "left_anti")
+    snapshots = side.select("ref", "hash", "fields", now.alias("at")).join(state["snapshots"].select("ref", "hash"), ["ref", "hash"], "left_anti")
 
     write = side.where("size(written) > 0")
-    origins = swept(state["origins"], now).unionByName(write.select("ref", "hash", now.alias("written_at"), expiry(F.col("connector"), now, windows).alias("expires_at")))
+    origins = write.select("ref", "hash", now.alias("written_at"), expiry(F.col("connector"), now, windows).alias("expires_at"))
     key = idempotency_key(F.lit(sync.name), F.lit(sync.mapping.kind), F.split("source", ":", 2)[0], F.col("source"), F.col("connector"), F.when(F.col("made"), "").otherwise(F.col("ref")), F.col("hash"))
-    result = write.select(key.alias("key"), F.regexp_extract("ref", "^[^/]*/(.*)$", 1).alias("remote_id"), F.col("made").alias("created"), F.lit(False).alias("in_flight"), now.alias("written_at"), (now + F.make_dt_interval(secs=F.lit(IDEM_TTL))).alias("expires_at"))
-    idem = overlay(swept(state["idem"], now), result, result.limit(0), ["key"])
+    idem = write.select(key.alias("key"), F.regexp_extract("ref", "^[^/]*/(.*)$", 1).alias("remote_id"), F.col("made").alias("created"), F.lit(False).alias("in_flight"), now.alias("written_at"), (now + F.make_dt_interval(secs=F.lit(IDEM_TTL))).alias("expires_at"))
 
     named = F.array(*[F.struct(F.lit(k).alias("key_name"), untag(F.col("fields")[k]).alias("key_value")) for k in sync.keys])
     fresh = side.select("ref", F.explode(named).alias("k")).select("ref", "k.key_name", "k.key_value").where("key_value is not null and key_value <> ''")
-    stale = gone.union(side.select("ref")).distinct()
-    keys = state["keys"].join(stale, "ref", "left_anti").unionByName(fresh)
-    return {"links": links, "snapshots": snapshots, "origins": origins, "idem": idem, "keys": keys}
+    touched = gone.union(side.select("ref")).distinct()
+    stale = state["keys"].join(touched, "ref", "left_semi").join(fresh.select("ref", "key_name"), ["ref", "key_name"], "left_anti").select("ref", "key_name")
+    keys = fresh.join(state["keys"], ["ref", "key_name", "key_value"], "left_anti")
+    return {"links": (links, ends.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))), "snapshots": (snapshots, gone), "origins": (origins, None), "idem": (idem, None), "keys": (keys, stale)}
+
+
+def after(decisions: DataFrame, created: DataFrame, deletes: DataFrame, state: dict[str, DataFrame], sync: Sync, now: Column, windows: dict[str, int] | None = None) -> dict[str, DataFrame]:
+    """The tables links, snapshots, origins, idem and keys after a cycle at `now`: the changes over the state, expired rows left out."""
+    out = {}
+    for name, (put, gone) in changed(decisions, created, deletes, state, sync, now, windows).items():
+        base = swept(state[name], now) if name in ("origins", "idem") else state[name]
+        # an origin is one write's mark: it replaces none
+        out[name] = base.unionByName(put) if name == "origins" else overlay(base, put, put.limit(0) if gone is None else gone, KEYS[name])
+    return out
 
 
 def writes(decisions: DataFrame, deletes: DataFrame, links: DataFrame, sync: Sync, at: Column) -> DataFrame:
