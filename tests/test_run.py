@@ -179,7 +179,8 @@ def test_a_cycle_that_is_killed_runs_again(spark, world):
         assert versions.last(spark, world.folder) == 0
     world.edit("left", 109, ("l1", "ann@x.test", "Anna"))
     assert world.cycle(110) == 1
-    assert len(shown(world.state())) == 4 and len(world.records("left")) == len(world.records("right")) == 4
+    # Di and Dee wait for a decision, so they are not in step
+    assert len(shown(world.state())) == 3 and len(world.records("left")) == len(world.records("right")) == 4
     assert [n for e, n in world.records("right") if e[:3] == "ann"] == ["Ann"]
     assert world.rows("sent", 1).count() == 2 and world.state()["review"].count() == 1
 
@@ -196,7 +197,9 @@ def test_refused_writes_are_not_remembered_and_questions_are_asked_once(spark, w
     # in step before, refused now: the snapshots stay as they were
     world.edit("left", 110, ("l1", "ann@x.test", "Anna"), ("l5", "ed@x.test", "Edd"))
     world.cycle(120)
-    assert len(dead()) == 2 and [r["n"] for r in world.state()["snapshots"].where("endswith(ref, '1')").select(F.col("fields")["name"].alias("n")).distinct().collect()] == ["sAnn"]
+    # l2 stands at the mark, so it was read and refused again, under the same id
+    assert peers.log(spark, f"{world.folder}/peers/dlq", state.TABLES["dlq"]).select("id").distinct().count() == 2
+    assert [r["n"] for r in world.state()["snapshots"].where("endswith(ref, '1')").select(F.col("fields")["name"].alias("n")).distinct().collect()] == ["sAnn"]
     assert sorted((r["ref"], r["reason"], r["created_at"]) for r in world.state()["review"].collect()) == questions
     assert ("ed@x.test", "Edd") not in world.records("right")
 
