@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import digest as D
 from .functions import transforms as T
-from .operators import conflict, identity, mapping, origin, progress, serial, state
+from .operators import conflict, identity, mapping, origin, pacing, progress, serial, state
 from .plans import cycle, outcomes, report
 from .plans import plan as P
 from .plans import run as cycles
@@ -922,3 +922,17 @@ def doctor_checks(spark, sf_dir):
     known = [fixtures.described(c.select(F.parse_json(doc).alias("record"))).select(F.lit(side).alias("connector"), F.lit("contact").alias("kind"), "field", "read_only", F.lit(None).cast("string").alias("error")) for side, doc in held.items()]
     marks = _table(spark, sf_dir, "orders").agg(F.max("o_orderdate").cast("timestamp").alias("mark")).select(F.lit("left").alias("connector"), F.lit("contact").alias("kind"), "mark")
     return cycle.diagnosis(known[0].unionByName(known[1]), marks, _table(spark, sf_dir, "events").select(F.lit("dlq").alias("queue")), [SYNC], F.expr(_NOW)).drop("k")
+
+
+# Fixed values of the queries: rate a second and burst; the other peers have the default
+_LIMITS = {"view": (1 / 1500, 3), "click": (1 / 1200, 5), "error": (1 / 7200, 1)}
+
+
+@query("""with c as (select event_id, event_type, epoch_us(ts) as a, row_number() over (partition by event_type order by ts, event_id) as i,
+  case event_type when 'view' then 1500000000 when 'click' then 1200000000 when 'error' then 7200000000 else 200000 end as step,
+  case event_type when 'view' then 3 when 'click' then 5 when 'error' then 1 else 10 end as burst from events)
+select event_id, cast(greatest(0, (i - burst) * step - a + max(a - (i - 1) * step) over (partition by event_type order by i)) as bigint) as wait_micros from c""")
+def rate_limit_waits(spark, sf_dir):
+    """How long each event, as a call to the peer of its type, waits for a token of that peer's bucket."""
+    calls = _table(spark, sf_dir, "events").select(F.col("event_type").alias("peer"), F.col("ts").alias("at"), F.col("event_id").alias("id"))
+    return pacing.paced(calls, _LIMITS).select(F.col("id").alias("event_id"), "wait_micros")

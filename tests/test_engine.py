@@ -143,6 +143,16 @@ def test_configuration():
     assert s.mapping.writable("left") == ["email"] and s.mapping.writable("right") == ["email", "name"]
 
 
+def test_configuration_of_rates():
+    some = json.loads(json.dumps(GOOD))
+    some["connectors"][0]["rate_limit"] = {"rate_per_sec": 0.5, "burst": 3}
+    some["connectors"][1].pop("rate_limit", None)
+    assert config.parsed(json.dumps(some)).limits() == {"left": (0.5, 3), "right": (5, 10)}
+    some["connectors"][0] = "left"
+    with pytest.raises(ValueError, match="connectors.0.: wants an object"):
+        config.parsed(json.dumps(some))
+
+
 def test_configuration_reports_all_at_once():
     bad = json.loads(json.dumps(GOOD))
     bad |= {"log_level": "loud", "workers": -1, "colour": 1}
