@@ -3,15 +3,16 @@
 1.  The word n-grams of all benchmark items go into a Bloom filter of a fixed
     size.  Each document yields its stretches around n-grams in that filter, with
     as many words on both sides as a copy of the longest item can span.
-2.  The corpus counts of those n-grams order each item's n-grams by rarity; the
-    rarer part (never none) are its seeds.  They join stretches to items.
+2.  The corpus counts of those n-grams order each item's n-grams by rarity; its
+    seeds are the rarest share of them (never none), by default all: an edited copy
+    may keep only a common one.  Seeds join stretches to items.
 3.  The item is aligned locally, word by word, with windows of the stretch around
     its seeds.  Windows overlap by all that a copy of the item can span, so each
     copy lies within one; the score is the best alignment as a share of a full match.
 
-An alignment of half a full match has more than two matches for each mismatch but at its
-very ends, so it holds three words in a row that are the item's: with n = 3 it has an
-n-gram of the item, and only a copy all of whose n-grams are among the commonest part is lost.
+A copy without three unedited words in a row has no seed and is lost, although it may
+align: every third word replaced scores just over half, a word inserted after every
+second one up to three quarters.  Edits at random rarely do that (tests/llm/test_brute_force.py).
 
 Defined cases: null and wordless texts match nothing; an item of fewer words than an
 n-gram is its own single n-gram, so it is found as a whole text only: within another
@@ -132,11 +133,12 @@ def _scored_rows(batches: Iterator[pa.RecordBatch], size: int = 128, cells: int
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(align(items, texts) / full)], names=["doc_id", "item_id", "score"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, seed_share: float = 0.75, least_score: float = 0.5, margin: int = 64) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, seed_share: float = 1.0, least_score: float = 0.5, margin: int = 64) -> DataFrame:
     """(doc_id, item_id, score) of every document that holds a copy of an item, exact or edited.
 
     benchmark: (item_id, text).  seed_share: the share of an item's n-grams, the
-    rarest first, that are its seeds.  A pair counts from least_score of a full match on.
+    rarest first, that are its seeds; under 1 fewer pairs are aligned, and copies that
+    keep common n-grams only are lost.  A pair counts from least_score of a full match on.
     """
     spark = docs.sparkSession
     small_batches(spark)
