@@ -109,9 +109,9 @@ def _spans(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], batch.num_rows)
 
 
-def _forest(n: int, similar) -> list[tuple[int, int]]:
-    """Links that join 0..n-1 as all similar pairs do; similar(i) gives i's similar later ones."""
-    label, links = np.arange(n), []
+def _forest(n: int, similar, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that join 0..n-1 as all similar pairs do; similar(i) gives i's similar later ones; label: equal for those joined already."""
+    label, links = np.arange(n) if label is None else label.copy(), []
     for i in range(n - 1):
         near = similar(i)
         near = near[label[near] != label[i]]
@@ -130,13 +130,16 @@ def _edge_batch(a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64))], schema=_EDGES)
 
 
+def _sketches(column: pa.Array) -> np.ndarray:
+    offsets, raw = column.cast(pa.binary()).buffers()[1:]
+    at = np.frombuffer(offsets, np.int32)[column.offset]
+    return np.frombuffer(raw, np.uint8)[at : at + T * len(column)].reshape(-1, T)
+
+
 def _bucket_links(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Links between nodes of one bucket block whose sketches agree in `least` coordinates."""
     for batch in _groups(batches):
-        node = batch.column(3).to_numpy(zero_copy_only=False)
-        raw = np.frombuffer(batch.column(4).cast(pa.binary()).buffers()[2], np.uint8)
-        at = np.frombuffer(batch.column(4).cast(pa.binary()).buffers()[1], np.int32)[batch.column(4).offset]
-        rows = raw[at : at + T * batch.num_rows].reshape(-1, T)
+        node, rows = batch.column(3).to_numpy(zero_copy_only=False), _sketches(batch.column(4))
         starts, ends = _spans(batch)
         a, b = [], []
         small = ends - starts <= 8
@@ -154,6 +157,20 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.
         yield _edge_batch(a, b)
 
 
+def _rest_links(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Links as in _bucket_links, between nodes of two blocks that are not in one group (column 5) yet."""
+    for batch in _groups(batches):
+        node, rows, root = batch.column(3).to_numpy(zero_copy_only=False), _sketches(batch.column(4)), batch.column(5).to_numpy(zero_copy_only=False)
+        a, b = [], []
+        for s, e in zip(*_spans(batch)):
+            order = s + np.argsort(root[s:e], kind="stable")
+            own, label = rows[order], root[order]
+            other = np.searchsorted(label, label, side="right")  # where the next group starts
+            for i, j in _forest(e - s, lambda i: np.flatnonzero((own[other[i] :] == own[i]).sum(axis=1) >= least) + other[i], label):
+                a.append(node[order[i]]), b.append(node[order[j]])
+        yield _edge_batch(a, b)
+
+
 def _verified_links(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Links between documents of one block whose full sets reach the similarity."""
     for batch in _groups(batches):
@@ -188,14 +205,15 @@ def _verified_links(batches: Iterator[pa.RecordBatch], words: int, percent: int)
         yield _edge_batch(a, b)
 
 
-def _blocked(rows: DataFrame, group: str, blocks: str, node: str, payload: str) -> DataFrame:
-    """Rows (g, i, j, node, payload): a group of several blocks is dealt out as pairs of blocks."""
-    other = F.sequence(F.lit(0).cast("long"), F.col(blocks).cast("long") - 1)
+def _blocked(rows: DataFrame, group: str, blocks: str, node: str, payload: str, others=lambda every: every, more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (g, i, j, node, payload, *more): a group of several blocks is dealt out as pairs of blocks; others: which of `every` one a block (own) meets."""
+    other = others(F.sequence(F.lit(0).cast("long"), F.col(blocks).cast("long") - 1))
     pairs = F.transform(other, lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
     return (
-        rows.withColumn("own", F.pmod(F.xxhash64(node), F.col(blocks)).cast("long"))
-        .select(group, node, payload, F.explode(pairs).alias("p"))
-        .select(F.col(group).alias("g"), "p.i", "p.j", F.col(node).alias("node"), F.col(payload).alias("payload"))
+        # a node's block is another one in each group
+        rows.withColumn("own", F.pmod(F.xxhash64(node, group), F.col(blocks)).cast("long"))
+        .select(group, node, payload, *more, F.explode(pairs).alias("p"))
+        .select(F.col(group).alias("g"), "p.i", "p.j", F.col(node).alias("node"), F.col(payload).alias("payload"), *more)
         .repartition(F.col("g"), F.col("i"), F.col("j"))
         .sortWithinPartitions("g", "i", "j", "node")
     )
@@ -207,8 +225,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents whose sets reach 100 * intersection >= percent * union are linked;
     component_id is the smallest doc_id reachable.  sketch_percent is the share
     of agreeing coordinates below which a pair is not looked at further: five
-    standard deviations under the similarity.  Buckets of more than hot_bucket
-    different sets are first split by a second band, then compared in blocks.
+    standard deviations under the similarity.  Buckets are compared
+    in blocks: up to hot_bucket different sets, all pairs of blocks at once; above,
+    each block with itself first, and then only what that left in separate groups
+    between the blocks.  Either way all pairs of a bucket are compared or in one group
+    already, so hot_bucket changes the work and not the result.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -224,15 +245,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = node.select(F.explode("bands").alias("g"), F.col("doc_id").alias("node"))
     size = member.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
     shared = store.save(member.join(size, "g"), "shared")
-    hot = shared.where(F.col("n") > hot_bucket)
-    # a pair that shares a hot bucket shares one of its other bands with probability 1 - 8e-6
-    refined = hot.join(node.select(F.col("doc_id").alias("node"), "bands"), "node").select("g", "node", F.explode("bands").alias("other")).where("other <> g").select(F.xxhash64("g", "other").alias("g"), "node")
-    refined = store.save(refined, "refined")
-    refined = refined.join(refined.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "g")
-    bucket = shared.where(F.col("n") <= hot_bucket).select("g", "node", "n").unionByName(refined.select("g", "node", "n"))
-    bucket = bucket.join(node.select(F.col("doc_id").alias("node"), "sketch"), "node").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    alike = _blocked(bucket, "g", "blocks", "node", "sketch").mapInArrow(partial(_bucket_links, least=T * sketch_percent // 100), "a long, b long")
-    group = components(alike, store, "alike")
+    sketch_of = node.select(F.col("doc_id").alias("node"), "sketch")
+    bucket = shared.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    least = T * sketch_percent // 100
+    hot = F.col("n") > hot_bucket
+    alike = _blocked(bucket.join(sketch_of, "node"), "g", "blocks", "node", "sketch", lambda every: F.when(hot, F.array("own")).otherwise(every))
+    group = components(alike.mapInArrow(partial(_bucket_links, least=least), "a long, b long"), store, "alike")
+    wide = bucket.where(hot).join(group, "node", "left").select("g", "blocks", "node", F.coalesce("root", "node").alias("root"))
+    apart = wide.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("g")
+    rest = _blocked(wide.join(apart, "g").join(sketch_of, "node"), "g", "blocks", "node", "sketch", lambda every: F.filter(every, lambda k: k != F.col("own")), ("root",))
+    rest = store.save(rest.mapInArrow(partial(_rest_links, least=least), "a long, b long"), "rest")
+    if not rest.isEmpty():
+        group = components(rest.union(group.select("node", "root")), store, "joined")
 
     # the groups, with their texts, in blocks bounded in documents and in shingles
     weight = group.join(node.select(F.col("doc_id").alias("node"), "n_shingles"), "node").groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))

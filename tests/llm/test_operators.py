@@ -108,6 +108,18 @@ def test_near_duplicates_with_small_blocks(spark):
     assert got(found, "doc_id", "component_id") == sorted(((i, root[i]) for i, _ in rows), key=repr)
 
 
+def test_near_duplicates_of_hot_buckets_are_those_of_small_ones(spark):
+    """Pairs of 0.5 share one band only, more often than not: what a bucket counts as must not matter."""
+    draw, rows = random.Random(41), []
+    for k in range(40):
+        both = prose(draw, 80)
+        rows += [(2 * k, both + " " + prose(draw, 30)), (2 * k + 1, both + " " + prose(draw, 30))]
+    found = lambda **sizes: got(near_dedup.near_duplicates(table(spark, rows), percent=50, sketch_percent=35, **sizes), "doc_id", "component_id")
+    want = found()
+    assert sum(i != root for i, root in want) >= 20
+    assert found(hot_bucket=1, block=2) == want
+
+
 def test_sketch_estimates_similarity():
     draw = np.random.default_rng(2)
     a = draw.integers(0, 1 << 63, 900, dtype=np.uint64)
