@@ -44,20 +44,33 @@ class Echoes(StatefulProcessor):
         # a write stands before what happens at its time
         events = own["id"].notna()
         rows = zip(_micros(own["at"]), events, own["id"].where(events, None), own["hash"], _micros(own["expires_at"]))
-        out = []
+        # what the state holds of a digest is read once and written once, however many rows there are
+        any_open, until = self.open.exists(), self.recent.get()[0] if self.recent.exists() else None
+        before: dict[str, list[int]] = {}
+        now: dict[str, list[int]] = {}
+        used, written, out = set(), False, []
         for at, event, name, digest, expires in sorted(rows, key=lambda r: (r[0], r[1], r[2] or "")):
-            waiting = list(self.open.getValue((digest,))[0]) if self.open.containsKey((digest,)) else []
-            until = self.recent.get()[0] if self.recent.exists() else None
+            if digest not in now:
+                before[digest] = list(self.open.getValue((digest,))[0]) if any_open and self.open.containsKey((digest,)) else []
+                now[digest] = before[digest]
+            waiting = now[digest]
             if not event:
-                self.open.updateValue((digest,), ([*waiting, expires],))
-                self.recent.update((max(expires, until or expires),))
+                now[digest] = [*waiting, expires]
+                used.add(digest)
+                until, written = max(expires, until or expires), True
                 continue
             alive = sorted(t for t in waiting if t > at)
-            if len(alive) > 1:  # one entry answers one event: the one that would go first
-                self.open.updateValue((digest,), (alive[1:],))
-            elif waiting:
-                self.open.removeKey((digest,))
+            if waiting:  # one entry answers one event: the one that would go first
+                now[digest] = alive[1:]
+                used.add(digest)
             out.append((name, key[0], digest, "echo" if alive else "near_miss" if until is not None and until > at else "foreign"))
+        for digest in used:
+            if now[digest]:
+                self.open.updateValue((digest,), (now[digest],))
+            elif before[digest]:
+                self.open.removeKey((digest,))
+        if written:
+            self.recent.update((until,))
         yield pd.DataFrame(out, columns=["id", "ref", "hash", "verdict"])
 
     def close(self) -> None:
