@@ -13,6 +13,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .transforms import bound
+
 NULL, ABSENT = "\x00null", "\x00absent"
 
 
@@ -40,8 +42,11 @@ def tag_time(v: Column) -> Column:
 
 def tag_variant(v: Column) -> Column:
     """The tagged value of a variant; null (SQL) where the variant has none."""
-    kind, text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
-    number = F.try_variant_get(v, "$", "double")
+    return bound(v, lambda v: bound(F.schema_of_variant(v), lambda kind: _tagged(v, kind)))
+
+
+def _tagged(v: Column, kind: Column) -> Column:
+    text, number = F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "double")
     return F.when(v.isNotNull(), F.when(kind == "VOID", NULL).when(kind == "STRING", tag_string(text)).when(kind == "BOOLEAN", tag_boolean(text)).when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), tag_number(number)).otherwise(F.concat(F.lit("x"), F.to_json(v))))
 
 

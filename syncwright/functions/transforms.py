@@ -8,6 +8,11 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
+def bound(v: Column, then: Callable[[Column], Column]) -> Column:
+    """then(v), with v worked out once however often `then` names it."""
+    return F.get(F.transform(F.array(v), lambda x: then(x)), F.lit(0))
+
+
 def trim(v: Column) -> Column:
     """Without white space, of all of Unicode, at both ends."""
     return F.regexp_replace(v, r"(?U)^\s+|\s+$", "")
@@ -27,7 +32,10 @@ def domain_normalize(v: Column) -> Column:
 
 def email_normalize(v: Column) -> Column:
     """Lower case, with a normalised domain after the last @."""
-    v = trim(v)
+    return bound(trim(v), _email)
+
+
+def _email(v: Column) -> Column:
     local = F.lower(F.regexp_extract(v, r"(?s)^(.*)@[^@]*$", 1))
     domain = domain_normalize(F.regexp_extract(v, r"(?s)@([^@]*)$", 1))
     return F.when(v.contains("@"), F.concat(local, F.lit("@"), domain)).otherwise(F.lower(v))
@@ -35,7 +43,10 @@ def email_normalize(v: Column) -> Column:
 
 def email_fold_plus(v: Column) -> Column:
     """A normalised address without what follows the first + of its local part."""
-    v = email_normalize(v)
+    return bound(email_normalize(v), _folded)
+
+
+def _folded(v: Column) -> Column:
     local, domain = F.regexp_extract(v, r"(?s)^(.*)@[^@]*$", 1), F.regexp_extract(v, r"(?s)(@[^@]*)$", 1)
     return F.when(v.contains("@"), F.concat(F.regexp_replace(local, r"(?s)[+].*$", ""), domain)).otherwise(v)
 
@@ -58,7 +69,7 @@ def apply(name: str, v: Column) -> Column:
 
 def apply_tagged(name: str, v: Column) -> Column:
     """A transform on a tagged canonical value: only strings (tag s) change."""
-    return v if not name else F.when(F.substring(v, 1, 1) == "s", F.concat(F.lit("s"), apply(name, F.substring(v, 2, 1 << 30)))).otherwise(v)
+    return v if not name else bound(v, lambda t: F.when(F.substring(t, 1, 1) == "s", F.concat(F.lit("s"), apply(name, F.substring(t, 2, 1 << 30)))).otherwise(t))
 
 
 def register_sql(spark: SparkSession) -> None:

@@ -54,6 +54,8 @@ def decided(left: DataFrame, right: DataFrame, links: DataFrame, snapshots: Data
     is not there.  The decisions are made once and written to the shared folder; plan,
     writes and state come from there.
     """
+    # either side is read four times, and its fields are dear to work out
+    left, right = checkpointed(left), checkpointed(right)
     keys = {k: f"key_{k}" for k in sync.keys}
     asked = lambda own, far, peer: identity.resolve(own, far, links, "remote_id", "remote_id", keys, peer, sync.on_ambiguous).withColumnRenamed("remote_id", "id")
     rows = identity.partners(asked(left, right, sync.right), asked(right, left, sync.left))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..operators import progress
 from ..operators.origin import expiry
 from ..operators.state import TABLES
+from ..session import checkpointed
 
 # The columns of a peer's record versions and of the writes that go to peers.
 PEER = "remote_id string, version long, updated_at timestamp, deleted boolean, record string, keys array<string>"
@@ -145,6 +146,9 @@ def write(writes: DataFrame, targets: dict[str, Target], state: str, batch: str,
     for name, target in targets.items():
         refused = F.when(F.col("connector") == name, F.when(F.col("action") != "delete", rejection(target, F.col("record"), F.col("remote_id") == ""))).otherwise(refused)
     asked = asked.withColumn("refused", refused)
+    # read by each step; dead letters are the last one, after which none is left
+    if not _done(spark, f"{state}/dlq/batch={batch}"):
+        asked = checkpointed(asked)
     good = asked.where("refused is null")
 
     marks = good.select("key", F.lit(None).cast("string").alias("remote_id"), F.lit(False).alias("created"), F.lit(True).alias("in_flight"), now.alias("written_at"), (now + F.make_dt_interval(secs=F.lit(progress.IDEM_TTL))).alias("expires_at"), F.lit(0).alias("step"))
