@@ -237,7 +237,8 @@ links as (select 'L-' || c_custkey as a, 'R-' || c_custkey as b from customer wh
 
 
 def _peers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    c = _table(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey"))
+    # a small file is one task, and its addresses are dear to normalise
+    c = _table(spark, sf_dir, "customer").repartition("c_custkey").withColumn("k", F.col("c_custkey"))
     name = F.translate("c_name", "#", ".")
     raw_l, raw_r = F.concat(F.lit(" "), F.upper(name), F.lit("@Example.COM")), F.concat(F.lower(name), F.lit("@www.example.com."))
     text = lambda x: x.cast("string")

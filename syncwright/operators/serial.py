@@ -36,17 +36,18 @@ def groups(keys: DataFrame, links: DataFrame, most_rounds: int = 40) -> DataFram
     edges = keys.select("ref", F.concat_ws("\x00", "key_name", "key_value").alias("key"))
     pair = F.concat_ws("\x01", "a", "b")
     edges = checkpointed(edges.union(links.select("a", pair)).union(links.select("b", pair)).distinct())
+    every = edges.select("ref").distinct()
+    # a key of one ref leads nowhere
+    by_key = edges.groupBy("key").agg(F.min("ref").alias("least"), F.max("ref").alias("most")).where("least <> most")
+    edges = checkpointed(edges.join(by_key.select("key"), "key"))
     found = edges.select("ref", F.col("ref").alias("group")).distinct()
-    last = None
     for _ in range(most_rounds):
-        by_key = edges.join(found, "ref").groupBy("key").agg(F.min("group").alias("least"))
+        by_key = checkpointed(edges.join(found, "ref").groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")))
+        if by_key.where("least <> most").isEmpty():
+            return every.join(found, "ref", "left").select("ref", F.coalesce("group", "ref").alias("group"))
         taken = edges.join(by_key, "key").groupBy("ref").agg(F.min("least").alias("group"))
         up = taken.select(F.col("ref").alias("_ref"), F.col("group").alias("_up"))
         found = checkpointed(taken.join(up, F.col("group") == F.col("_ref"), "left").select("ref", F.coalesce("_up", "group").alias("group")))
-        now = tuple(found.agg(F.count("*"), F.bit_xor(F.xxhash64("ref", "group"))).first())
-        if now == last:
-            return found
-        last = now
     raise RuntimeError(f"groups did not settle in {most_rounds} rounds")
 
 
@@ -60,6 +61,7 @@ def decided(events: DataFrame, keys: DataFrame, known_keys: DataFrame, links: Da
     `review`.  A group with a link and further records keeps the link; each further record
     is a review of its own, and so is each record of a group with several on a side.
     """
+    events, keys = checkpointed(events), checkpointed(keys)  # read many times
     mine = keys.join(events.select("ref", "side").distinct(), "ref")
     near = touched(keys.select("ref", "key_name", "key_value").union(events.select("ref", F.lit("").alias("k"), F.lit("").alias("v"))), known_keys.select("ref", "key_name", "key_value"))
     sides = known_keys.select("ref", "side").union(mine.select("ref", "side")).union(events.select("ref", "side")).distinct()
