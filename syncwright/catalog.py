@@ -14,7 +14,7 @@ from .operators import conflict, identity, mapping, origin, pacing, progress, se
 from .plans import cycle, outcomes, report
 from .plans import plan as P
 from .plans import run as cycles
-from .session import shared_folder
+from .session import empty, shared_folder
 from .sources import connector, fixtures, peers, versions
 from .streaming import deliveries, stateful
 
@@ -237,8 +237,8 @@ links as (select 'L-' || c_custkey as a, 'R-' || c_custkey as b from customer wh
 
 
 def _peers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    # a small file is one task, and its addresses are dear to normalise
-    c = _table(spark, sf_dir, "customer").repartition("c_custkey").withColumn("k", F.col("c_custkey"))
+    # a small file is one task, and its addresses are dear to normalise; by its bytes it would be few tasks again
+    c = _table(spark, sf_dir, "customer").repartition(2 * spark.sparkContext.defaultParallelism, "c_custkey").withColumn("k", F.col("c_custkey"))
     name = F.translate("c_name", "#", ".")
     raw_l, raw_r = F.concat(F.lit(" "), F.upper(name), F.lit("@Example.COM")), F.concat(F.lower(name), F.lit("@www.example.com."))
     text = lambda x: x.cast("string")
@@ -498,7 +498,7 @@ def _sides_of_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 
 def _no_snapshots(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "ref string, hash string, fields map<string,string>")
+    return empty(spark, "ref string, hash string, fields map<string,string>")
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -637,7 +637,7 @@ _NOW = "timestamp '2024-06-01 00:00:00'"
 
 def _after(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     left, right, links = _sides_of_plan(spark, sf_dir)
-    tables = {name: spark.createDataFrame([], schema) for name, schema in state.TABLES.items()}
+    tables = {name: empty(spark, schema) for name, schema in state.TABLES.items()}
     tables["links"] = links.select("a", "b", F.expr("timestamp '2024-01-01 00:00:00'").alias("linked_at"))
     decisions = P.decided(left, right, links, tables["snapshots"], SYNC)
     l_ref, r_ref = P.refs(SYNC)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -25,11 +27,18 @@ def lowercase(v: Column) -> Column:
 def domain_normalize(v: Column) -> Column:
     """The host of a URL, address or domain: no scheme, path, user, port, final dot or leading www."""
     v = lowercase(v)
-    for pattern in (r"^.*?://", r"(?s)[/?#].*$", r"(?s)^.*@", r"(?s):.*$", r"[.]$", r"^www[.]"):
-        v = F.regexp_replace(v, pattern, "")
+    for pattern, marks in ((r"^.*?://", ["://"]), (r"(?s)[/?#].*$", ["/", "?", "#"]), (r"(?s)^.*@", ["@"]), (r"(?s):.*$", [":"]), (r"[.]$", []), (r"^www[.]", ["www."])):
+        v = _without(v, pattern, marks)
     return v
 
 
+def _without(v: Column, pattern: str, marks: list[str]) -> Column:
+    """v without what a pattern finds; where a text holds none of the marks that its finds hold, nothing is searched."""
+    if not marks:
+        return F.regexp_replace(v, pattern, "")
+    return bound(v, lambda x: F.when(reduce(or_, [x.contains(m) for m in marks]), F.regexp_replace(x, pattern, "")).otherwise(x))
+
+
 def email_normalize(v: Column) -> Column:
     """Lower case, with a normalised domain after the last @."""
     return bound(trim(v), _email)

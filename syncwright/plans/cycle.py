@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.digest import duration, idempotency_key, snapshot_hash, untag
+from ..functions.transforms import bound
 from ..operators.mapping import DIRECTIONS
 from ..operators.origin import expiry
 from ..operators.progress import IDEM_TTL
 from ..operators.state import KEYS, overlay, swept
-from ..session import checkpointed
+from ..session import written
 from .plan import Sync, _writable, deleted_ends, refs, standing
 
 
@@ -51,13 +52,13 @@ def changed(decisions: DataFrame, created: DataFrame, deletes: DataFrame, state:
     it back, and its result under its idempotency key.  The key of a create names no
     target, since nobody knows it before the call: a repeat has the same key.  windows:
     seconds that origins live, by connector.  Rows that the state holds already are not
-    put again.  The pairs are written once; all tables come from them, and no link,
+    put again.  The pairs and the ends are written once; all tables come from them, and no link,
     snapshot or key has a record twice.
     """
     names = sync.mapping.names()
-    ends = deleted_ends(deletes, state["links"], sync)
+    ends = written(deleted_ends(deletes, state["links"], sync))
     rows, nowhere = standing(decisions, ends, sync)
-    pairs = checkpointed(committed(rows, created, sync))
+    pairs = written(committed(rows, created, sync))
     ends = ends.select("l_id", "r_id").union(nowhere)
     l_ref, r_ref = refs(sync)
     links = pairs.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), now.alias("linked_at")).join(state["links"].select("a", "b"), ["a", "b"], "left_anti")
@@ -106,12 +107,16 @@ def writes(decisions: DataFrame, deletes: DataFrame, links: DataFrame, sync: Syn
         own, far, connector, other = ("l", "r", sync.left, sync.right) if side == "left" else ("r", "l", sync.right, sync.left)
         new = (F.col("outcome") == "create") & F.col(f"{own}_id").isNull()
         values = F.when(new, _writable(F.col(far)["fields"], sync, side)).otherwise(_writable(F.col("d")[f"{side}_values"], sync, side))
-        go = (new | F.col("d")["action"].isin(f"write_{side}", "write_both")) & (F.size(values) > 0)
+        go = new | F.col("d")["action"].isin(f"write_{side}", "write_both")
         source, target = (r_ref, l_ref) if side == "left" else (l_ref, r_ref)
-        digest = snapshot_hash(F.when(new, values).otherwise(merged(F.col(own)["fields"], values)), names)
-        key = idempotency_key(F.lit(sync.name), kind, F.lit(other), source, F.lit(connector), F.when(new, "").otherwise(target), digest)
-        fields = {"connector": F.lit(connector), "sync": F.lit(sync.name), "action": F.when(new, "create").otherwise("update"), "remote_id": F.when(~new, F.col(f"{own}_id")), "record": sync.mapping.from_canonical(values, side), "hash": digest, "key": key, "source": source}
-        return F.when(go, F.struct(*[c.alias(n) for n, c in fields.items()]))
+
+        def row(values: Column, digest: Column) -> Column:
+            key = idempotency_key(F.lit(sync.name), kind, F.lit(other), source, F.lit(connector), F.when(new, "").otherwise(target), digest)
+            fields = {"connector": F.lit(connector), "sync": F.lit(sync.name), "action": F.when(new, "create").otherwise("update"), "remote_id": F.when(~new, F.col(f"{own}_id")), "record": sync.mapping.from_canonical(values, side), "hash": digest, "key": key, "source": source}
+            return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+        digest = lambda v: snapshot_hash(F.when(new, v).otherwise(merged(F.col(own)["fields"], v)), names)
+        return F.when(go, bound(values, lambda v: F.when(F.size(v) > 0, bound(digest(v), lambda h: row(v, h)))))
 
     out = rows.select(F.explode(F.array_compact(F.array(sent("left"), sent("right")))).alias("w")).select("w.*")
     at_left = F.col("side") == "left"

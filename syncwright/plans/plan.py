@@ -11,7 +11,7 @@ from ..functions.digest import ref, review_id, snapshot_hash
 from ..operators import conflict, identity
 from ..operators.numbering import numbered
 from ..operators.mapping import DIRECTIONS, Mapping
-from ..session import checkpointed
+from ..session import written
 
 
 @dataclass(frozen=True)
@@ -28,9 +28,9 @@ class Sync:
     on_ambiguous: str = "review"
 
 
-def canonical(records: DataFrame, sync: Sync, side: str) -> DataFrame:
-    """(remote_id, updated_at, fields, hash, <keys>) of a peer's (remote_id, record variant, updated_at)."""
-    out = records.select("remote_id", "updated_at", sync.mapping.to_canonical(F.col("record"), side).alias("fields"))
+def canonical(records: DataFrame, sync: Sync, side: str, *more: str) -> DataFrame:
+    """(remote_id, updated_at, fields, hash, <keys>) of a peer's (remote_id, record variant, updated_at); more: further columns to keep."""
+    out = records.select("remote_id", "updated_at", *more, sync.mapping.to_canonical(F.col("record"), side).alias("fields"))
     out = out.withColumn("hash", snapshot_hash(F.col("fields"), sync.mapping.names()))
     return out.withColumns({f"key_{k}": F.when(F.substring(F.col("fields")[k], 1, 1) == "s", F.substring(F.col("fields")[k], 2, 1 << 30)).otherwise(F.col("fields")[k]) for k in sync.keys})
 
@@ -45,17 +45,18 @@ def refs(sync: Sync) -> tuple[Column, Column]:
     return ref(F.lit(sync.left), kind, F.col("l_id")), ref(F.lit(sync.right), kind, F.col("r_id"))
 
 
-def decided(left: DataFrame, right: DataFrame, links: DataFrame, snapshots: DataFrame, sync: Sync) -> DataFrame:
+def decided(left: DataFrame, right: DataFrame, links: DataFrame, snapshots: DataFrame, sync: Sync, stored: bool = False) -> DataFrame:
     """(l_id, r_id, outcome, why, l, r, d, lost, at) of every record: pairs once, with the decision d; records without a partner with one id.
 
     left, right: canonical records; links: (a, b) of remote ids; snapshots: (ref,
     hash, fields).  No record stands in two pairs (identity.partners).  Sides that a
     one-way mapping never reads from start nothing.  lost: the side whose linked record
     is not there.  The decisions are made once and written to the shared folder; plan,
-    writes and state come from there.
+    writes and state come from there.  stored: both sides are tables that were written already.
     """
     # either side is read four times, and its fields are dear to work out
-    left, right = checkpointed(left), checkpointed(right)
+    if not stored:
+        left, right = written(left), written(right)
     keys = {k: f"key_{k}" for k in sync.keys}
     asked = lambda own, far, peer: identity.resolve(own, far, links, "remote_id", "remote_id", keys, peer, sync.on_ambiguous).withColumnRenamed("remote_id", "id")
     rows = identity.partners(asked(left, right, sync.right), asked(right, left, sync.left))
@@ -74,7 +75,7 @@ def decided(left: DataFrame, right: DataFrame, links: DataFrame, snapshots: Data
     d = conflict.resolve(_side("l", "lb"), _side("r", "rb"), sync.mapping.names(), sync.policy, dict(sync.per_field))
     lost = F.when(F.col("outcome") == "linked", F.when(~there["right"], "right").when(~there["left"], "left"))
     out = joined.select("l_id", "r_id", "outcome", "why", _side("l", "lb").alias("l"), _side("r", "rb").alias("r"), F.when(there["left"] & there["right"], d).alias("d"), lost.alias("lost"), F.coalesce("l.updated_at", "r.updated_at").alias("at"), *[F.coalesce(f"l.key_{k}", f"r.key_{k}").alias(f"key_{k}") for k in sync.keys])
-    return _made_once(checkpointed(out), sync)
+    return _made_once(written(out), sync)
 
 
 def _made_once(rows: DataFrame, sync: Sync) -> DataFrame:

@@ -90,3 +90,11 @@ def test_a_batch_of_writes_is_worked_out_once(spark, tmp_path):
         peers.write(w, targets, f"{tmp_path}/state", batch, now())
     assert sum(peers.log(spark, t.folder, peers.PEER).count() for t in targets.values()) == 50
     assert seen.value <= 100  # the second time batch 1 is there
+
+
+def test_decisions_are_read_by_column(spark):
+    sides = [P.canonical(spark.range(10).select(F.col("id").cast("string").alias("remote_id"), now().alias("updated_at"), F.parse_json(F.concat(F.lit('{"email":"X'), "id", F.lit('@www.a.b"}'))).alias("record")), SYNC, side) for side in ("left", "right")]
+    out = P.decided(*sides, spark.createDataFrame([], "a string, b string"), spark.createDataFrame([], "ref string, hash string, fields map<string,string>"), SYNC)
+    plan = out.select("l_id", "outcome")._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "right_values" not in plan
+    assert out.where("outcome = 'matched'").count() == 10
