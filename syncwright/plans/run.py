@@ -17,7 +17,7 @@ from ..functions.digest import review_id
 from ..operators import identity, progress
 from ..operators.mapping import DIRECTIONS
 from ..operators.state import TABLES, first_review, swept
-from ..session import checkpointed
+from ..session import written
 from ..sources import peers, versions
 from . import cycle
 from .plan import Sync, canonical, decided, deleted_ends, refs, standing
@@ -35,7 +35,7 @@ def reached(members: DataFrame, links: DataFrame, ids: DataFrame, hops: int = 2)
         near = members.join(values, ["key_name", "key_value"], "left_semi").select("side", "id")
         ends = links.join(ids.where("side = 'left'").select(F.col("id").alias("a")), "a", "left_semi").select(F.lit("right").alias("side"), F.col("b").alias("id"))
         ends = ends.union(links.join(ids.where("side = 'right'").select(F.col("id").alias("b")), "b", "left_semi").select(F.lit("left"), "a"))
-        ids = checkpointed(ids.union(near).union(ends).distinct())
+        ids = written(ids.union(near).union(ends).distinct())
     return ids
 
 
@@ -48,17 +48,19 @@ def _kept(rows: DataFrame, folder: str, batch: str) -> DataFrame:
 def polled(spark: SparkSession, sync: Sync, targets: dict[str, peers.Target], marks: DataFrame, origins: DataFrame, overlap: int) -> tuple[dict[str, DataFrame], DataFrame]:
     """(canonical records there, by side; (side, id, at, deleted, echo) of what changed since the marks, with the overlap).
 
-    echo: the record is as we last wrote it, so it starts no work.
+    echo: the record is as we last wrote it, so it starts no work.  Either side's records are
+    worked out once and written; all that follows reads them from there.
     """
     known = {r["connector"]: r["mark"] for r in marks.where(F.col("kind") == sync.mapping.kind).collect()}  # a row for each peer
-    records = lambda rows, side: canonical(rows.where("not deleted").withColumn("record", F.parse_json("record")), sync, side)
     own = origins.select("ref", "hash").distinct().withColumn("_own", F.lit(True))
     there, found = {}, []
     for side, name in (("left", sync.left), ("right", sync.right)):
         now_there = peers.current(peers.log(spark, targets[name].folder, peers.PEER))
-        fresh = progress.delta(now_there, "updated_at", progress.since(F.lit(known[name]), overlap) if known.get(name) else None)
-        there[side] = records(now_there, side)
-        alive = records(fresh, side).withColumn("ref", F.concat_ws("/", F.lit(name), "remote_id")).join(own, ["ref", "hash"], "left")
+        record = F.when(~F.col("deleted"), F.parse_json("record"))
+        rows = written(canonical(now_there.withColumn("record", record), sync, side, "deleted"))
+        fresh = progress.delta(rows, "updated_at", progress.since(F.lit(known[name]), overlap) if known.get(name) else None)
+        there[side] = rows.where("not deleted").drop("deleted")
+        alive = fresh.where("not deleted").withColumn("ref", F.concat_ws("/", F.lit(name), "remote_id")).join(own, ["ref", "hash"], "left")
         change = lambda rows, deleted, echo: rows.select(F.lit(side).alias("side"), F.col("remote_id").alias("id"), F.col("updated_at").alias("at"), F.lit(deleted).alias("deleted"), echo.alias("echo"))  # noqa: E731, B023
         found += [change(alive, False, F.coalesce("_own", F.lit(False))), change(fresh.where("deleted"), True, F.lit(False))]
     changes = found[0]
@@ -77,6 +79,7 @@ def once(spark: SparkSession, sync: Sync, targets: dict[str, peers.Target], fold
     """
     said = after or (lambda _: None)
     state = versions.read(spark, folder)
+    state["links"] = written(state["links"])  # read by every step
     number = versions.last(spark, folder) + 1
     batch = f"{number:010d}"
     origins = swept(peers.log(spark, f"{folder}/peers/origins", TABLES["origins"], leave_out=batch), now)
@@ -91,9 +94,9 @@ def once(spark: SparkSession, sync: Sync, targets: dict[str, peers.Target], fold
     if not state["watermarks"].isEmpty():
         keys = {k: f"key_{k}" for k in sync.keys}
         members = [identity.keys_of(rows, "remote_id", keys).select(F.lit(side).alias("side"), "id", "key_name", "key_value") for side, rows in there.items()]
-        near = reached(checkpointed(members[0].unionByName(members[1])), links, ids)
-        there = {side: rows.join(near.where(F.col("side") == side).select(F.col("id").alias("remote_id")), "remote_id", "left_semi") for side, rows in there.items()}
-    rows = decided(there["left"], there["right"], links, state["snapshots"], sync)
+        near = reached(members[0].unionByName(members[1]), links, ids)
+        there = {side: written(rows.join(near.where(F.col("side") == side).select(F.col("id").alias("remote_id")), "remote_id", "left_semi")) for side, rows in there.items()}
+    rows = decided(there["left"], there["right"], links, state["snapshots"], sync, stored=True)
     moved = {side: ids.where(F.col("side") == side).select(F.col("id").alias(f"_{side}")) for side in ("left", "right")}
     rows = rows.join(moved["left"], F.col("l_id") == F.col("_left"), "left").join(moved["right"], F.col("r_id") == F.col("_right"), "left").where("_left is not null or _right is not null").drop("_left", "_right")
     rows = _kept(rows, f"{folder}/decided", batch)
@@ -104,7 +107,7 @@ def once(spark: SparkSession, sync: Sync, targets: dict[str, peers.Target], fold
     peers.write(sent, targets, f"{folder}/peers", batch, now, said)
 
     results = peers.idem_table(peers.log(spark, f"{folder}/peers/idem", TABLES["idem"] + ", step int")).where("not in_flight").select("key", F.col("remote_id").alias("_given"))
-    answers = checkpointed(sent.select("key", "action", "source").join(results, "key", "left"))
+    answers = written(sent.select("key", "action", "source").join(results, "key", "left"))
     created = answers.where("action = 'create' and _given is not null").select("source", F.col("_given").alias("remote_id"))
     l_ref, r_ref = refs(sync)
     lost = answers.where("_given is null").select("source").distinct()

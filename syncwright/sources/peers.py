@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..operators import progress
 from ..operators.origin import expiry
 from ..operators.state import TABLES
-from ..session import checkpointed
+from ..session import empty, written
 
 # The columns of a peer's record versions and of the writes that go to peers.
 PEER = "remote_id string, version long, updated_at timestamp, deleted boolean, record string, keys array<string>"
@@ -54,7 +54,7 @@ def log(spark: SparkSession, folder: str, schema: str, leave_out: str | None = N
     """All rows of the completed batches of a folder; leave_out: a batch that is not read, with all its steps (name-...)."""
     own = lambda path: leave_out is not None and f"{path.rpartition('/batch=')[2]}-".startswith(f"{leave_out}-")
     found = [b for b in _batches(spark, folder.rstrip("/")) if not own(b)]
-    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*found) if found else empty(spark, schema)
 
 
 def current(versions: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def write(writes: DataFrame, targets: dict[str, Target], state: str, batch: str,
     asked = asked.withColumn("refused", refused)
     # read by each step; dead letters are the last one, after which none is left
     if not _done(spark, f"{state}/dlq/batch={batch}"):
-        asked = checkpointed(asked)
+        asked = written(asked)
     good = asked.where("refused is null")
 
     marks = good.select("key", F.lit(None).cast("string").alias("remote_id"), F.lit(False).alias("created"), F.lit(True).alias("in_flight"), now.alias("written_at"), (now + F.make_dt_interval(secs=F.lit(progress.IDEM_TTL))).alias("expires_at"), F.lit(0).alias("step"))

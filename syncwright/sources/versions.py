@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.state import KEYS, TABLES, latest, swept
+from ..session import empty
 from .peers import append_once, log
 
 _MARK = "version long, path string, tables array<string>"
@@ -38,7 +39,8 @@ def last(spark: SparkSession, folder: str) -> int:
 def read(spark: SparkSession, folder: str, version: int | None = None) -> dict[str, DataFrame]:
     """All state tables as of a version, the last one if none is named; expired rows too, until a base drops them.
 
-    The base is not shuffled for a few changes: it only loses the keys that they name.
+    The base is not shuffled for a few changes: it only loses the keys that they name.  A
+    table that one version alone has put is read as it stands, since a version has a key once.
     """
     changes, bases = _marks(spark, folder, "change"), _marks(spark, folder, "base")
     top = max([0, *changes, *bases])
@@ -49,10 +51,11 @@ def read(spark: SparkSession, folder: str, version: int | None = None) -> dict[s
         raise ValueError(f"version {wanted} of {folder} is not there")
     out = {}
     for name, schema in TABLES.items():
-        below = spark.read.schema(schema).parquet(f"{folder}/{bases[base][0]}/{name}") if base else spark.createDataFrame([], schema)
+        below = spark.read.schema(schema).parquet(f"{folder}/{bases[base][0]}/{name}") if base else empty(spark, schema)
         paths = [f"{folder}/{changes[v][0]}/{name}" for v in needed if name in changes[v][1]]
         if paths:
-            rows = latest(spark.read.schema(f"{schema}, gone boolean, version long").parquet(*paths), KEYS[name], "version")
+            rows = spark.read.schema(f"{schema}, gone boolean, version long").parquet(*paths)
+            rows = latest(rows, KEYS[name], "version") if len(paths) > 1 else rows
             below = below.join(rows.select(*KEYS[name]), KEYS[name], "left_anti").unionByName(rows.where("not gone").select(*below.columns))
         out[name] = below
     return out
@@ -68,12 +71,12 @@ def commit(spark: SparkSession, folder: str, version: int, changes: dict[str, tu
     path = f"change-{version:010d}-{uuid.uuid4().hex}"
     for name, (put, gone) in changes.items():
         keys, parts = KEYS[name], []
-        empty = spark.createDataFrame([], TABLES[name])
-        put = (empty if put is None else put).select(*empty.columns)
+        none = empty(spark, TABLES[name])
+        put = (none if put is None else put).select(*none.columns)
         if gone is not None:
             gone = gone.select(*keys).distinct()
             put = put.join(gone, keys, "left_anti")
-            parts = [gone.select(*[F.col(c) if c in keys else F.lit(None).cast(empty.schema[c].dataType).alias(c) for c in empty.columns], F.lit(True).alias("gone"))]
+            parts = [gone.select(*[F.col(c) if c in keys else F.lit(None).cast(none.schema[c].dataType).alias(c) for c in none.columns], F.lit(True).alias("gone"))]
         rows = put.withColumn("gone", F.lit(False))
         for more in parts:
             rows = rows.unionByName(more)

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from syncwright.operators import serial
 from syncwright.operators.mapping import FieldMap, Mapping
 from syncwright.plans import plan as P
-from syncwright.sources import peers
+from syncwright.plans import run
+from syncwright.sources import peers, versions
 from syncwright.streaming.stateful import Echoes
+from test_run import World
 
 def now():
     return F.expr("timestamp '2024-06-01 00:00:00'")
@@ -92,6 +94,35 @@ def test_a_batch_of_writes_is_worked_out_once(spark, tmp_path):
     assert seen.value <= 100  # the second time batch 1 is there
 
 
+def test_a_cycle_works_out_each_record_once(spark, tmp_path, monkeypatch):
+    made = []
+
+    def canonical(*args):
+        rows, seen = counted(P.canonical(*args))
+        made.append(seen)
+        return rows
+
+    monkeypatch.setattr(run, "canonical", canonical)
+    w = World(spark, tmp_path)
+    for side in ("left", "right"):
+        w.edit(side, 0, *[(f"{side}{k}", f"e{k}@x.test", f"N{k}") for k in range(20)])
+    w.cycle(10)
+    assert sum(seen.value for seen in made) == 40
+    w.edit("left", 20, ("left3", "e3@x.test", "Other"), ("left4", None, None))
+    w.cycle(30)
+    assert sum(seen.value for seen in made) <= 80
+    assert ("e3@x.test", "Other") in w.records("right") and len(w.records("right")) == 19
+
+
+def test_a_table_of_one_version_is_read_as_it_stands(spark, tmp_path):
+    links = spark.createDataFrame([("l1", "r1"), ("l2", "r2")], "a string, b string").withColumn("linked_at", now())
+    versions.commit(spark, str(tmp_path), 1, {"links": (links, links.where("a = 'l2'"))})
+    found = versions.read(spark, str(tmp_path))["links"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
+    assert [r["a"] for r in found.collect()] == ["l1"]
+
+
 def test_decisions_are_read_by_column(spark):
     sides = [P.canonical(spark.range(10).select(F.col("id").cast("string").alias("remote_id"), now().alias("updated_at"), F.parse_json(F.concat(F.lit('{"email":"X'), "id", F.lit('@www.a.b"}'))).alias("record")), SYNC, side) for side in ("left", "right")]
     out = P.decided(*sides, spark.createDataFrame([], "a string, b string"), spark.createDataFrame([], "ref string, hash string, fields map<string,string>"), SYNC)
