@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from .store import Store
 
 HOT = 1 << 14  # a line or item with more than a HOT-th of all rows is hot: there are fewer than HOT of them
+SHARES = 1 << 10  # tasks that a hot item is dealt to, at most
+PLACES = HOT * SHARES
 CELLS = 1 << 22  # hashed places behind the filter of lines to be read again: a bound for its broadcast
 SAMPLE = 256  # one content of so many is looked at for hot items; how rows are dealt depends on it, not the result
 
@@ -53,13 +55,13 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _with_items(rows: DataFrame, *keep: str) -> DataFrame:
-    """(keep, items) of rows (keep, line); items: the sorted hashes of its distinct shingles, made of pairs of pairs and a fifth word."""
-    n, both = F.size("hashed"), lambda a, b: F.xxhash64(a, b)
-    rows = rows.select(*keep, F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)).alias("hashed"))
-    rows = rows.select(*keep, "hashed", F.zip_with("hashed", F.slice("hashed", F.lit(2), n), both).alias("pair"))
-    four = F.zip_with("pair", F.slice("pair", F.lit(3), n), both)
-    long = F.sort_array(F.array_distinct(F.slice(F.zip_with(four, F.slice("hashed", F.lit(5), n), both), F.lit(1), F.greatest(n - 4, F.lit(0)))))
-    return rows.select(*keep, F.when(n >= 5, long).otherwise(F.array(F.xxhash64(F.lit("short"), "hashed"))).alias("items"))
+    """(keep, items) of rows (keep, line); items: the sorted hashes of its distinct shingles, made of the pairs at its first, third and fourth word."""
+    n = F.size("words")
+    rows = rows.select(*keep, _words(F.col("line")).alias("words"))
+    rows = rows.select(*keep, "words", F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1))).alias("pair"))
+    five = F.transform("pair", lambda p, i: F.xxhash64(p, F.get("pair", i + 2), F.get("pair", i + 3)))
+    long = F.sort_array(F.array_distinct(F.slice(five, F.lit(1), F.greatest(n - 4, F.lit(0)))))
+    return rows.select(*keep, F.when(n >= 5, long).otherwise(F.array(F.xxhash64(F.lit("short"), "words"))).alias("items"))
 
 
 def _missing(n: Column, m: Column) -> Column:
@@ -68,20 +70,25 @@ def _missing(n: Column, m: Column) -> Column:
 
 
 def _signature_size(n: Column) -> Column:
-    """A quarter more than the n / 4 + 1 items of which a similar set has one."""
+    """An eighth more than the n / 4 + 1 items of which a similar set has one."""
     most = F.floor(n / 4) + 1
-    return F.least(n, most + F.ceil(most / 4)).cast("int")
+    return F.least(n, most + F.ceil(most / 8)).cast("int")
 
 
 def _by_rarity(rows: DataFrame, hot_item: DataFrame) -> DataFrame:
     """(h, n, order) of rows (h, n, item): the items that several h have, as (how often, item), the rarest first.
 
-    Hot items are dealt out over tasks and rank last: that others have them is known.
+    Hot items are dealt out over tasks and rank last: that others have them is known.  In the
+    shuffle they go by number and share, below PLACES, and come out by number; the items
+    whose hashes lie there give way.  So a row is three numbers, of which there is one for each item.
     """
-    rows = rows.join(F.broadcast(hot_item), "item", "left")
-    group = Window.partitionBy(F.when(F.col("hot"), F.xxhash64("item", F.pmod("h", F.lit(1024)))).otherwise(F.col("item")))
-    rows = rows.select("item", "h", "n", "hot", F.min("h").over(group).alias("lo"), F.max("h").over(group).alias("hi"), F.count("*").over(group).alias("df"))
-    rows = rows.where("lo <> hi or hot").select("h", "n", F.struct(F.when(F.col("hot"), F.lit(1 << 40)).otherwise(F.col("df")).alias("df"), "item").alias("o"))
+    rows, own = rows.join(F.broadcast(hot_item), "item", "left"), F.col("item")
+    cold = F.when((own >= 0) & (own < PLACES), own + PLACES).otherwise(own)
+    rows = rows.select(F.when(F.col("hot").isNotNull(), F.col("hot") * SHARES + F.pmod("h", F.lit(SHARES))).otherwise(cold).alias("item"), "h", "n")
+    group, hot = Window.partitionBy("item"), (own >= 0) & (own < PLACES)
+    rows = rows.select("item", "h", "n", F.min("h").over(group).alias("lo"), F.max("h").over(group).alias("hi"), F.count("*").over(group).alias("df"))
+    df, item = F.when(hot, F.lit(1 << 40)).otherwise(F.col("df")), F.when(hot, F.floor(own / SHARES)).otherwise(own)
+    rows = rows.where((F.col("lo") != F.col("hi")) | hot).select("h", "n", F.struct(df.alias("df"), item.alias("item")).alias("o"))
     return rows.groupBy("h").agg(F.first("n").alias("n"), F.sort_array(F.collect_set("o")).alias("order"))
 
 
@@ -129,7 +136,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     seen = signed(place.where("line is not null").dropDuplicates(["h"])).groupBy("item").count()
     seen = store.save(seen.where("count >= 16"), "sampled")
-    hot_item = seen.where(F.col("count") > F.lit(total // SAMPLE // HOT)).orderBy(F.desc("count"), "item").limit(HOT).select("item", F.lit(True).alias("hot"))
+    hot_item = seen.where(F.col("count") > F.lit(total // SAMPLE // HOT)).orderBy(F.desc("count"), "item").limit(HOT)
+    hot_item = hot_item.select("item", (F.row_number().over(Window.orderBy("item")) - 1).cast("long").alias("hot"))
 
     # contents of which enough items are shared, and those that share as many with one of them as a similar set would
     once = lines.join(F.broadcast(hot_line), "h", "left").where("first_id is null or (doc_id = first_id and line_no = first_no)")

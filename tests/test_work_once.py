@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from syncwright.llm import line_dedup
 from syncwright.operators import serial
 from syncwright.operators.mapping import FieldMap, Mapping
 from syncwright.plans import plan as P
@@ -129,3 +130,14 @@ def test_decisions_are_read_by_column(spark):
     plan = out.select("l_id", "outcome")._jdf.queryExecution().executedPlan().toString()
     assert "ExistingRDD" not in plan and "right_values" not in plan
     assert out.where("outcome = 'matched'").count() == 10
+
+
+def test_items_go_to_their_counts_as_three_numbers(spark):
+    places = line_dedup.PLACES
+    hot = spark.createDataFrame([(77, 0)], "item long, hot long")
+    rows = spark.createDataFrame([(1, 9, 77), (1, 9, 5), (2, 9, 5), (2, 9, places + 1), (3, 9, 77), (3, 9, -4)], "h long, n int, item long")
+    out = line_dedup._by_rarity(rows, hot)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(item#" in plan and "_w0" not in plan
+    # a hot item keeps one name, last in order; one whose hash lies among the places moves on
+    assert {r["h"]: [tuple(o) for o in r["order"]] for r in out.collect()} == {1: [(2, places + 5), (1 << 40, 0)], 2: [(2, places + 5)], 3: [(1 << 40, 0)]}
