@@ -9,7 +9,10 @@ by (doc_id, line number), has a similarity of 0.75 or more.
 2.  Every content names its signature: the hashes of its s smallest items.  Of a set
     of n items at most n / 4 are missing in a similar one, so of two similar
     sets the one whose signature ends first finds all but its missing items in the
-    other's signature.  Contents that share enough items for that with others go on.
+    other's signature.  A pair of which one content's signature holds no item that more
+    than FEW lines have meets in items of few lines: such pairs are counted, and those
+    that share enough items are compared.  Of the other contents, those that share
+    enough items with others go on.
 3.  Items of those are counted over all of them and ordered by rarity.  Items that no
     other content has come first and join nothing; a content meets others by its
     n / 4 + 1 rarest items at most (prefix filter).  Length and positional filters
@@ -29,6 +32,8 @@ whatever their names.  Lines and items are known by 64-bit hashes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +43,7 @@ HOT = 1 << 14  # a line or item with more than a HOT-th of all rows is hot: ther
 SHARES = 1 << 10  # tasks that a hot item is dealt to, at most
 PLACES = HOT * SHARES
 CELLS = 1 << 22  # hashed places behind the filter of lines to be read again: a bound for its broadcast
+FEW = 32  # lines that share an item of their signatures: up to so many meet in pairs; the work depends on it, not the result
 SAMPLE = 256  # one content of so many is looked at for hot items; how rows are dealt depends on it, not the result
 
 
@@ -54,14 +60,20 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value): an array that is worked out once and not written as a column between."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _with_items(rows: DataFrame, *keep: str) -> DataFrame:
     """(keep, items) of rows (keep, line); items: the sorted hashes of its distinct shingles, made of the pairs at its first, third and fourth word."""
-    n = F.size("words")
-    rows = rows.select(*keep, _words(F.col("line")).alias("words"))
-    rows = rows.select(*keep, "words", F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1))).alias("pair"))
-    five = F.transform("pair", lambda p, i: F.xxhash64(p, F.get("pair", i + 2), F.get("pair", i + 3)))
-    long = F.sort_array(F.array_distinct(F.slice(five, F.lit(1), F.greatest(n - 4, F.lit(0)))))
-    return rows.select(*keep, F.when(n >= 5, long).otherwise(F.array(F.xxhash64(F.lit("short"), "words"))).alias("items"))
+
+    def hashed(words: Column) -> Column:
+        pair = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1)))
+        five = _let(pair, lambda pair: F.transform(pair, lambda p, i: F.xxhash64(p, F.get(pair, i + 2), F.get(pair, i + 3))))
+        return F.when(F.size(words) >= 5, F.slice(five, F.lit(1), F.greatest(F.size(words) - 4, F.lit(1)))).otherwise(F.array(F.xxhash64(F.lit("short"), words)))
+
+    return rows.select(*keep, F.sort_array(F.array_distinct(_let(_words(F.col("line")), hashed))).alias("items"))
 
 
 def _missing(n: Column, m: Column) -> Column:
@@ -103,18 +115,36 @@ def _least_shared(n: Column) -> Column:
     return _signature_size(n) - F.floor(n / 4)
 
 
+def _pairs_of_few(shared: DataFrame) -> DataFrame:
+    """(h, other) that share enough items which few lines have, of the rows (h, n, common, df, item); common: has an item of many lines, too."""
+    few = shared.where(F.col("df") <= FEW).drop("df")
+    n, m = F.col("a.n"), F.col("b.n")
+    met = few.alias("a").join(few.alias("b"), F.col("a.item") == F.col("b.item"))
+    met = met.where((F.col("a.h") < F.col("b.h")) & ~(F.col("a.common") & F.col("b.common")) & (4 * F.least(n, m) >= 3 * F.greatest(n, m)))
+    met = met.select("a.h", F.col("b.h").alias("other"), n.alias("n"), m.alias("m"))
+    n, m = F.col("n"), F.col("m")
+    least = F.least(_signature_size(n) - _missing(n, m), _signature_size(m) - _missing(m, n))
+    return met.groupBy("h", "other", "n", "m").agg(F.count("*").alias("met")).where(F.col("met") >= least).select("h", "other")
+
+
 def _in_cells(rows: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
     """rows whose hashed place is that of a row of `wanted`, and some more: CELLS places at most are broadcast."""
     cell = F.pmod(F.xxhash64(*key), F.lit(CELLS)).cast("int")
     return rows.withColumn("cell", cell).join(F.broadcast(wanted.select(cell.alias("cell")).distinct()), "cell", "left_semi").drop("cell")
 
 
+def _of_pairs(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets of the contents of the pairs (h, other), and some more."""
+    return _in_cells(sets, pairs.select(F.explode(F.array("h", "other")).alias("h")), "h")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The contents h of the pairs (h, earlier) whose sets have a similarity of 0.75."""
-    sets = _in_cells(sets, pairs.select("h").union(pairs.select(F.col("earlier").alias("h"))), "h")
-    both = pairs.join(sets.select("h", F.col("items").alias("x")), "h").join(sets.select(F.col("h").alias("earlier"), F.col("items").alias("y")), "earlier")
+    """The later content h of each of the pairs (h, other) whose sets have a similarity of 0.75; two at one place are not compared."""
+    one = pairs.join(sets.select("h", F.col("at").alias("at1"), F.col("items").alias("x")), "h")
+    both = one.join(sets.select(F.col("h").alias("other"), F.col("at").alias("at2"), F.col("items").alias("y")), "other").where("at1 <> at2")
     # 4 both >= 3 (n + m - both)
-    return both.where(7 * F.size(F.array_intersect("x", "y")) >= 3 * (F.size("x") + F.size("y"))).select("h").distinct()
+    both = both.where(7 * F.size(F.array_intersect("x", "y")) >= 3 * (F.size("x") + F.size("y")))
+    return both.select(F.when(F.col("at1") > F.col("at2"), F.col("h")).otherwise(F.col("other")).alias("h")).distinct()
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,18 +172,25 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # contents of which enough items are shared, and those that share as many with one of them as a similar set would
     once = lines.join(F.broadcast(hot_line), "h", "left").where("first_id is null or (doc_id = first_id and line_no = first_no)")
     ordered = store.save(_by_rarity(signed(once.select("h", "line")), hot_item), "shared")
+    common = F.element_at("order", -1)["df"] > FEW
+    few = store.save(_pairs_of_few(ordered.select("h", "n", common.alias("common"), F.inline("order"))), "few")
+    ordered = ordered.where(common)
     prober = F.size("order") >= _least_shared(F.col("n"))
     probed = ordered.where(prober).select(F.explode("order.item").alias("item")).distinct()
     others = ordered.where(~prober).select("h", "n", F.explode("order.item").alias("item")).join(probed, "item", "left_semi")
     others = others.groupBy("h", "n").agg(F.count("*").alias("met")).where(F.col("met") >= _least_shared(F.ceil(3 * F.col("n") / 4)))
     alike = ordered.where(prober).select("h").union(others.select("h"))
+    alike = alike.select("h", F.lit(True).alias("led")).union(few.select(F.explode(F.array("h", "other")).alias("h"), F.lit(False))).groupBy("h").agg(F.max("led").alias("led"))
 
     # their sets, read again, each from its first place (where another text of a repeated doc_id may have another line)
-    spots = store.save(first.join(alike, "h", "left_semi"), "spots")
+    spots = store.save(first.join(alike, "h"), "spots")
     place_key = ["doc_id", "line_no", "h"]
     near = _in_cells(lines, spots, "doc_id", "line_no").join(spots, place_key).dropDuplicates(place_key)
-    sets = store.save(_with_items(near.select("h", F.struct("doc_id", "line_no").alias("at"), "copies", "line"), "h", "at", "copies"), "sets")
+    sets = store.save(_with_items(near.select("h", F.struct("doc_id", "line_no").alias("at"), "copies", "led", "line"), "h", "at", "copies", "led"), "sets")
+    later = _similar(few, sets)
 
+    # those that share items of many lines
+    sets = sets.where("led")
     ordered = _by_rarity(sets.select("h", F.size("items").alias("n"), F.explode("items").alias("item")), hot_item)
     probe = store.save(_prefix(ordered).join(sets.select("h", "at", "copies"), "h"), "probes")
     other = probe.select("item", *[F.col(c).alias(f"{c}2") for c in ("h", "n", "i", "at")])
@@ -165,12 +202,12 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     leaders = probe.groupBy("item").agg(F.min_by(who, "at").alias("early"), F.max_by(who, F.struct("copies", "h")).alias("common"))
     led = probe.join(leaders, "item").select("h", "n", "i", "at", F.posexplode(F.array("early", "common")).alias("kind", "with"))
     met = led.select("h", "n", "i", "at", "kind", "with.*").where(close).groupBy("h", "h2", "kind").agg(F.count("*").alias("met"))
-    tried = store.save(met.groupBy("h", "kind").agg(F.max_by("h2", F.struct("met", "h2")).alias("earlier")).select("h", "earlier").distinct(), "tried")
-    later = store.save(_similar(tried, sets), "later")
+    tried = store.save(met.groupBy("h", "kind").agg(F.max_by("h2", F.struct("met", "h2")).alias("other")).select("h", "other").distinct(), "tried")
+    led = store.save(_similar(tried, _of_pairs(sets, tried)), "led")
 
     # what no leader removes meets all earlier ones that its items allow
-    rest = store.save(probe.join(later, "h", "left_anti").join(other, "item").where(close).select("h", F.col("h2").alias("earlier")).distinct(), "rest")
-    later = later.union(_similar(rest, sets)).distinct()
+    rest = store.save(probe.join(led, "h", "left_anti").join(other, "item").where(close).select("h", F.col("h2").alias("other")).distinct(), "rest")
+    later = later.union(led).union(_similar(rest, _of_pairs(sets, rest))).distinct()
 
     near_copies = first.join(later, "h", "left_semi").select("doc_id", "line_no", "h")
     repeated = first.where("copies > 1").select("h", F.col("doc_id").alias("first_id"), F.col("line_no").alias("first_no"))
@@ -181,8 +218,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, n_removed, removed_lines) for every row of docs; removed_lines: numbers from 0, comma-joined."""
     gone = repeated_lines(docs, id_col, text_col).select("doc_id", "line_no").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
-    n = F.coalesce(F.size(F.split(F.col(text_col), "\n", -1)), F.lit(0))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long").alias("n_lines"))
+    n = F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(n, F.lit(0)).cast("long").alias("n_lines"))
     gone_here = F.coalesce("gone", F.array().cast("array<int>"))
     return rows.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.size(gone_here).cast("long").alias("n_removed"), F.array_join(gone_here.cast("array<string>"), ",").alias("removed_lines"))
 

@@ -11,9 +11,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from syncwright.llm import decontaminate, near_dedup, quality_rules
+from syncwright.llm import decontaminate, line_dedup, near_dedup, quality_rules
 
-from test_operators import base_counts, corpus, labels, lower, prose, smith_waterman, table, words
+from test_operators import base_counts, corpus, edited, got, labels, lower, prose, removed_lines, smith_waterman, table, words
 
 
 def hashed(*parts, seed=42):
@@ -107,3 +107,29 @@ def test_pairs_of_a_split_bucket_share_another_band():
         same = int((a == b).sum())
         shared, alone = shared + (same > 0), alone + (same == 1)
     assert shared >= pairs - 4 and alone <= 8  # 5e-6 and 8e-5 are expected of each pair
+
+
+@pytest.mark.parametrize("few", [2, 6])
+def test_lines_that_meet_in_pairs_or_by_rarity_equal_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    draw = random.Random(41)
+    bases = [prose(draw, draw.choice((8, 40, 70))) for _ in range(12)]
+    rows = [(k, "\n".join(edited(draw, bases[min(int(draw.expovariate(0.4)), 11)], 0.02) + " " + prose(draw, draw.choice((0, 3, 9))) for _ in range(3))) for k in range(50)]
+    gone = removed_lines(rows)
+    assert sum(map(len, gone.values())) > 40
+    assert got(line_dedup.line_report(table(spark, rows)), "doc_id", "removed_lines") == sorted(((i, ",".join(map(str, sorted(gone[i])))) for i, _ in rows), key=repr)
+
+
+def test_lines_that_meet_in_pairs_are_not_ordered_by_rarity(spark, monkeypatch):
+    counted, by_rarity = [], line_dedup._by_rarity
+
+    def spied(rows, hot_item):
+        counted.append(rows.count())
+        return by_rarity(rows, hot_item)
+
+    monkeypatch.setattr(line_dedup, "_by_rarity", spied)
+    draw = random.Random(42)
+    rows = [(k, prose(draw, 60)) for k in range(20)]
+    rows += [(100 + k, t + " and more") for k, t in rows]
+    assert got(line_dedup.line_report(table(spark, rows)), "doc_id", "removed_lines") == sorted([(k, "") for k in range(20)] + [(100 + k, "0") for k in range(20)], key=repr)
+    assert counted[0] > 0 and counted[1:] == [0]
